@@ -1,0 +1,6 @@
+"""Streaming.
+
+The analysed application has no stream source, watermark, window or state:
+every analysis is a batch over one table.  Nothing is mapped here; the batch
+operators work unchanged inside ``foreachBatch`` if a caller needs it.
+"""
