@@ -153,3 +153,259 @@ select coalesce({dsum('l_tax')}, 0) as l_tax, coalesce({dsum('l_quantity')}, 0)
 """)
 def q_formula_totals(spark, sf):
     return M.formula_totals(T(spark, sf, "lineitem"), ["l_tax", "l_quantity"])
+
+
+# =============================================================== cleaning
+from proofsheet.functions.expr import normalize_text, parse_numeric_text, text_changed  # noqa: E402
+from proofsheet.operators import clean as C  # noqa: E402
+from proofsheet.operators import quality as Q  # noqa: E402
+from proofsheet.operators.profile import ColumnProfile  # noqa: E402
+
+
+def _money_text(k, price):
+    fmt = price.cast("decimal(18,2)").cast("string")
+    return (F.when(k % 31 == 0, F.lit("n/a")).when(k % 37 == 0, F.lit("12abc"))
+             .when(k % 5 == 0, F.concat(F.lit("("), fmt, F.lit(")")))
+             .otherwise(F.concat(F.lit("$"), fmt, F.lit(" USD"))))
+
+
+@register("numeric_parse_currency", """
+select o_orderkey, case when o_orderkey % 31 = 0 then null when o_orderkey % 37 = 0 then null
+  when o_orderkey % 5 = 0 then -abs(cast(cast(o_totalprice as decimal(18,2)) as double))
+  else cast(cast(o_totalprice as decimal(18,2)) as double) end as parsed_value
+from orders
+""")
+def q_numeric_parse(spark, sf):
+    o = T(spark, sf, "orders")
+    return o.select("o_orderkey", parse_numeric_text(_money_text(F.col("o_orderkey"), F.col("o_totalprice"))).alias("parsed_value"))
+
+
+def _padded_priority(o):
+    k, p = F.col("o_orderkey"), F.col("o_orderpriority")
+    return (F.when(k % 11 == 0, F.lit("N/A")).when(k % 3 == 0, F.concat(F.lit("  "), p, F.lit(" ")))
+             .when(k % 7 == 0, F.concat(F.lit(" "), p)).otherwise(p))
+
+
+@register("text_normalize", """
+select case when o_orderkey % 11 = 0 then null else o_orderpriority end as value, count(*) as cells,
+  sum(case when o_orderkey % 11 <> 0 and (o_orderkey % 3 = 0 or o_orderkey % 7 = 0) then 1 else 0 end) as changed
+from orders group by 1
+""")
+def q_text_normalize(spark, sf):
+    raw = _padded_priority(T(spark, sf, "orders")).alias("raw")
+    o = T(spark, sf, "orders").select(raw)
+    return o.groupBy(normalize_text(F.col("raw")).alias("value")).agg(
+        F.count(F.lit(1)).alias("cells"), F.sum(text_changed(F.col("raw"))).alias("changed"))
+
+
+ROLE_STATUS = [ColumnProfile("status", "category", "dimension"), ColumnProfile("priority", "category", "dimension"),
+               ColumnProfile("total_price", "number", "measure"), ColumnProfile("order_date", "date", "date")]
+
+
+@register("summary_row_filter", f"""
+select count(*) as kept_rows, {dsum('o_totalprice')} as kept_total, 1 as excluded_rows from orders
+""")
+def q_summary_rows(spark, sf):
+    o = T(spark, sf, "orders")
+    body = o.select(F.col("o_orderkey").alias("__source_row"), F.col("o_orderstatus").alias("status"),
+                    F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").alias("total_price"),
+                    F.col("o_orderdate").alias("order_date"))
+    total = o.agg(F.lit(-1).cast("long").alias("__source_row"), F.lit("Grand Total").alias("status"),
+                  F.lit(None).cast("string").alias("priority"), M.exact_sum(F.col("o_totalprice")).alias("total_price"),
+                  F.lit(None).cast("timestamp_ntz").alias("order_date"))
+    df = body.unionByName(total)
+    flagged = df.withColumn("__summary", C.summary_row_predicate(df, ROLE_STATUS))
+    return flagged.agg(F.count_if(~F.col("__summary")).alias("kept_rows"),
+                       M.exact_sum(F.when(~F.col("__summary"), F.col("total_price"))).alias("kept_total"),
+                       F.count_if("__summary").alias("excluded_rows"))
+
+
+def _doc_content(spark, sf):
+    d = T(spark, sf, "documents")
+    return d.select(F.col("doc_id").alias("__source_row"), "text", "lang", "source", "n_chars")
+
+
+@register("dedupe_keep_first", """
+select min(doc_id) as doc_id, count(*) - 1 as removed from documents group by text, lang, source, n_chars
+""")
+def q_dedupe(spark, sf):
+    kept = C.drop_duplicates_keep_first(_doc_content(spark, sf))
+    return kept.select(F.col("__source_row").alias("doc_id"), F.col("__dups").alias("removed"))
+
+
+@register("duplicate_rows_removed", """
+select doc_id from documents d where doc_id not in (select min(doc_id) from documents group by text, lang, source, n_chars)
+""")
+def q_dup_removed(spark, sf):
+    df = _doc_content(spark, sf)
+    kept = C.drop_duplicates_keep_first(df)
+    return C.duplicate_rows(df, kept).select(F.col("__source_row").alias("doc_id"))
+
+
+@register("quality_duplicates", """
+select coalesce(sum(c - 1), 0) as duplicate_rows from (select count(*) c from documents group by text, lang, source, n_chars)
+""")
+def q_quality_dups(spark, sf):
+    return Q.duplicate_row_count(_doc_content(spark, sf))
+
+
+def _dirty_orders(spark, sf):
+    o = T(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    return o.select(k.alias("__source_row"), "o_orderkey", "o_orderstatus",
+                    F.when(k % 17 == 0, F.lit(None).cast("double")).otherwise(F.col("o_totalprice")).alias("o_totalprice"),
+                    "o_orderdate",
+                    F.when(k % 23 == 0, F.lit(None).cast("string")).otherwise(F.col("o_orderpriority")).alias("o_orderpriority"))
+
+
+DIRTY_ORDERS_SQL = """(select o_orderkey, o_orderstatus,
+  case when o_orderkey % 17 = 0 then null else o_totalprice end as o_totalprice, o_orderdate,
+  case when o_orderkey % 23 = 0 then null else o_orderpriority end as o_orderpriority from orders)"""
+
+
+@register("missing_locations", f"""
+select 'o_totalprice' as "column", o_orderkey as source_row from {DIRTY_ORDERS_SQL} where o_totalprice is null
+union all select 'o_orderpriority', o_orderkey from {DIRTY_ORDERS_SQL} where o_orderpriority is null
+""")
+def q_missing_locations(spark, sf):
+    return C.missing_locations(_dirty_orders(spark, sf))
+
+
+@register("impute_mean_label", f"""
+with d as {DIRTY_ORDERS_SQL}, m as (select {dsum('o_totalprice')} / count(o_totalprice) as mean from d)
+select o_orderkey, coalesce(o_totalprice, (select mean from m)) as o_totalprice,
+  coalesce(o_orderpriority, 'غير محدد') as o_orderpriority from d
+""")
+def q_impute_mean_label(spark, sf):
+    df = _dirty_orders(spark, sf)
+    from proofsheet.operators.profile import infer_columns
+    prof = infer_columns(df, ORDERS_MAPPING)
+    res = C.clean_dataset(df, prof)
+    return res.cleaned.select("o_orderkey", "o_totalprice", "o_orderpriority")
+
+
+@register("impute_audit_counts", f"""
+with d as {DIRTY_ORDERS_SQL}
+select 'o_totalprice' as "column", 'mean' as strategy, count(*) as cells from d where o_totalprice is null
+union all select 'o_orderpriority', 'label', count(*) from d where o_orderpriority is null
+""")
+def q_impute_audit(spark, sf):
+    df = _dirty_orders(spark, sf)
+    from proofsheet.operators.profile import infer_columns
+    res = C.clean_dataset(df, infer_columns(df, ORDERS_MAPPING))
+    return res.actions.groupBy("column", "strategy").agg(F.count(F.lit(1)).alias("cells"))
+
+
+@register("impute_median", """
+with d as (select case when l_orderkey % 13 = 0 then null else l_quantity end as q from lineitem)
+select sum(cast(coalesce(q, (select quantile_cont(q, 0.5) from d)) as decimal(38,6)))::double as total_quantity,
+  (select quantile_cont(q, 0.5) from d) as fill_value, count(*) as rows from d
+""")
+def q_impute_median(spark, sf):
+    li = T(spark, sf, "lineitem")
+    d = li.select(F.when(F.col("l_orderkey") % 13 == 0, F.lit(None).cast("double")).otherwise(F.col("l_quantity")).alias("l_quantity"))
+    strategy, fill = C.fill_value_for(d, ColumnProfile("l_quantity", "number", "measure"), "")
+    assert strategy == "median"
+    return d.agg(M.exact_sum(F.coalesce(F.col("l_quantity"), F.lit(fill))).alias("total_quantity"),
+                 F.lit(fill).alias("fill_value"), F.count(F.lit(1)).alias("rows"))
+
+
+SEQ_NUMERIC_SQL = """
+with d as (select c_custkey as src, case when c_custkey % 29 = 0 then null else c_custkey end as cust_id from customer),
+p as (select *, row_number() over (order by src) - 1 as pos from d),
+o as (select cust_id - pos as off, count(*) as n from p where cust_id is not null group by 1),
+b as (select off from o order by n desc, off limit 1)
+select src as source_row, coalesce(cust_id, (select off from b) + pos) as cust_id from p
+"""
+
+
+@register("sequential_id_numeric", SEQ_NUMERIC_SQL)
+def q_seq_numeric(spark, sf):
+    c = T(spark, sf, "customer")
+    d = c.select(F.col("c_custkey").alias("__source_row"),
+                 F.when(F.col("c_custkey") % 29 == 0, F.lit(None).cast("long")).otherwise(F.col("c_custkey")).alias("cust_id"))
+    out, how = C.sequential_identifier(d, "cust_id")
+    return out.select(F.col("__source_row").alias("source_row"), "cust_id")
+
+
+SEQ_TEXT_SQL = """
+with d as (select c_custkey as src, case when c_custkey % 29 = 0 then null else c_name end as cust_code from customer),
+p as (select *, row_number() over (order by src) - 1 as pos,
+      regexp_extract(cust_code, '^(.*?)(\\d+)$', 1) as prefix, regexp_extract(cust_code, '^(.*?)(\\d+)$', 2) as digits from d),
+pre as (select prefix from p where digits <> '' group by 1 order by count(*) desc, prefix limit 1),
+m as (select cast(digits as bigint) - pos as off, length(digits) as w from p where digits <> '' and prefix = (select prefix from pre)),
+b as (select off from m group by 1 order by count(*) desc, off limit 1),
+w as (select w from m group by 1 order by count(*) desc, w limit 1)
+select src as source_row, coalesce(cust_code, (select prefix from pre) ||
+  case when length(cast((select off from b) + pos as varchar)) >= (select w from w) then cast((select off from b) + pos as varchar)
+       else lpad(cast((select off from b) + pos as varchar), cast((select w from w) as integer), '0') end) as cust_code from p
+"""
+
+
+@register("sequential_id_text", SEQ_TEXT_SQL)
+def q_seq_text(spark, sf):
+    c = T(spark, sf, "customer")
+    d = c.select(F.col("c_custkey").alias("__source_row"),
+                 F.when(F.col("c_custkey") % 29 == 0, F.lit(None).cast("string")).otherwise(F.col("c_name")).alias("cust_code"))
+    out, how = C.sequential_identifier(d, "cust_code")
+    return out.select(F.col("__source_row").alias("source_row"), "cust_code")
+
+
+DERIVED_SQL = """
+with d as (select l_orderkey * 10 + l_linenumber as src,
+    case when l_orderkey % 7 = 0 and l_orderkey % 11 <> 0 and l_orderkey % 13 <> 0 then null else l_quantity end as quantity,
+    case when l_orderkey % 11 = 0 and l_orderkey % 13 <> 0 then null else l_extendedprice end as unit_price,
+    case when l_orderkey % 13 = 0 then null else l_quantity * l_extendedprice end as total_sales from lineitem),
+t as (select src, quantity, unit_price,
+    case when total_sales is null and quantity is not null and unit_price is not null then quantity * unit_price else total_sales end as total_sales from d),
+pr as (select src, quantity, total_sales,
+    case when unit_price is null and total_sales is not null and quantity is not null and quantity <> 0 then total_sales / quantity else unit_price end as unit_price from t),
+qq as (select *, case when unit_price <> 0 then total_sales / unit_price end as cand from pr)
+select src as source_row,
+  case when quantity is null and total_sales is not null and unit_price is not null
+       and abs(cand - round(cand)) <= greatest(1e-9, 1e-9 * abs(cand)) then round(cand) else quantity end as quantity,
+  unit_price, total_sales from qq
+"""
+
+
+@register("derived_repairs", DERIVED_SQL)
+def q_derived(spark, sf):
+    li = T(spark, sf, "lineitem")
+    k = F.col("l_orderkey")
+    d = li.select((k * 10 + F.col("l_linenumber")).alias("__source_row"),
+                  F.when((k % 7 == 0) & (k % 11 != 0) & (k % 13 != 0), F.lit(None).cast("double")).otherwise(F.col("l_quantity")).alias("quantity"),
+                  F.when((k % 11 == 0) & (k % 13 != 0), F.lit(None).cast("double")).otherwise(F.col("l_extendedprice")).alias("unit_price"),
+                  F.when(k % 13 == 0, F.lit(None).cast("double")).otherwise(F.col("l_quantity") * F.col("l_extendedprice")).alias("total_sales"))
+    prof = [ColumnProfile("quantity", "number", "measure"), ColumnProfile("unit_price", "number", "measure"),
+            ColumnProfile("total_sales", "number", "measure")]
+    out, _ = C.derived_repairs(d, prof)
+    return out.select(F.col("__source_row").alias("source_row"), "quantity", "unit_price", "total_sales")
+
+
+# =============================================================== quality
+@register("iqr_outliers_by_type", """
+with f as (select event_type, quantile_cont(value, 0.25) q1, quantile_cont(value, 0.75) q3, count(value) n from events group by 1)
+select e.event_type, count_if(value < q1 - 1.5 * (q3 - q1) or value > q3 + 1.5 * (q3 - q1)) as outliers
+from events e join f using (event_type) where n >= 4 and q3 - q1 > 0 group by 1
+""")
+def q_iqr(spark, sf):
+    return Q.iqr_outliers(T(spark, sf, "events"), "value", ["event_type"])
+
+
+EVENTS_MAPPING = {"event_type": "dimension", "value": "measure", "user_id": "identifier"}
+
+
+@register("quality_report_events", """
+with f as (select quantile_cont(value, 0.25) q1, quantile_cont(value, 0.75) q3 from events),
+o as (select count_if(value < q1 - 1.5 * (q3 - q1) or value > q3 + 1.5 * (q3 - q1)) as outliers from events, f)
+select count(*) as row_count, 6 as column_count, 0 as missing_cells, 0.0 as missing_rate, 0 as duplicate_rows,
+  0 as invalid_values, (select outliers from o) as outlier_count,
+  count_if(regexp_matches(event_type, '^[=+\\-@]')) + count_if(regexp_matches(props, '^[=+\\-@]')) as formula_like_cells,
+  greatest(0, 100 - least(100, round((select outliers from o)))) as score,
+  greatest(0, 100 - least(100, round((select outliers from o) / (count(*) * 6.0) * 100))) as score_normalized
+from events
+""")
+def q_quality_events(spark, sf):
+    from proofsheet.operators.profile import infer_columns
+    ev = T(spark, sf, "events")
+    return Q.quality_report(ev, infer_columns(ev, EVENTS_MAPPING))
