@@ -409,3 +409,101 @@ def q_quality_events(spark, sf):
     from proofsheet.operators.profile import infer_columns
     ev = T(spark, sf, "events")
     return Q.quality_report(ev, infer_columns(ev, EVENTS_MAPPING))
+
+
+# =============================================================== insights
+from proofsheet.operators import insights as I  # noqa: E402
+from proofsheet.operators import verify as VF  # noqa: E402
+
+TOP8_PART_SQL = f"""(select row_number() over (order by value_0 desc nulls last, category) - 1 as rank, category, value_0 from (
+  select cast(p_brand as varchar) as category, {dsum('p_retailprice')} as value_0
+  from part where p_brand is not null group by 1 order by value_0 desc nulls last, category limit 8))"""
+
+MONTHS_SQL = f"""(select row_number() over (order by period) - 1 as ordinal, period, value_0 from (
+  select strftime(o_orderdate, '%Y-%m') as period, {dsum('o_totalprice')} as value_0
+  from orders where o_orderdate is not null group by 1 order by 1 limit 24))"""
+
+
+@register("category_readings", f"""
+with t as {TOP8_PART_SQL},
+a as (select max(case when rank = 0 then value_0 end) as top_value, max(case when rank = 1 then value_0 end) as second_value,
+      max(case when rank = (select max(rank) from t) then value_0 end) as bottom_value, {dsum('value_0')} as total from t)
+select * from (
+  select 'category.primary.lead_margin' as key, round(top_value - second_value, 2) as value from a
+  union all select 'category.primary.gap', round(top_value - bottom_value, 2) from a
+  union all select 'category.primary.top_share', round(top_value / total * 100, 2) from a)
+""")
+def q_category_readings(spark, sf):
+    top = M.category_topk(T(spark, sf, "part"), "p_brand", ["p_retailprice"])
+    return I.category_readings(top, "p_brand", "p_retailprice").select("key", "value")
+
+
+@register("trend_readings", f"""
+with t as {MONTHS_SQL},
+a as (select max(case when ordinal = 0 then value_0 end) as first, max(case when ordinal = (select max(ordinal) from t) then value_0 end) as last,
+      max(value_0) as peak, {dsum('value_0')} / count(*) as average from t)
+select * from (
+  select 'trend.primary.change' as key, round(last - first, 2) as value from a
+  union all select 'trend.primary.average', round(average, 2) from a
+  union all select 'trend.primary.change_rate', round((last - first) / abs(first) * 100, 2) from a
+  union all select 'trend.primary.periods_above_average', round(cast((select count(*) from t where value_0 > (select average from a)) as double), 2)
+  union all select 'trend.primary.distance_from_peak', round(peak - last, 2) from a)
+""")
+def q_trend_readings(spark, sf):
+    tr = M.trend(T(spark, sf, "orders"), ["o_orderdate"], ["o_totalprice"], is_date=True)
+    return I.trend_readings(tr, "o_orderdate", "o_totalprice").select("key", "value")
+
+
+@register("trend_extremes", f"""
+with t as {MONTHS_SQL}
+select arg_max(period, value_0 * 1e6 - ordinal) as peak_period, max(value_0) as peak_value,
+       arg_min(period, value_0 * 1e6 + ordinal) as low_period, min(value_0) as low_value from t
+""")
+def q_trend_extremes(spark, sf):
+    tr = M.trend(T(spark, sf, "orders"), ["o_orderdate"], ["o_totalprice"], is_date=True)
+    return I.trend_extremes(tr)
+
+
+@register("range_readings", f"""
+with r as (select min(l_extendedprice) mn, {davg('l_extendedprice')} av, max(l_extendedprice) mx from lineitem)
+select 'distribution.primary.spread' as key, round(mx - mn, 2) as value from r
+union all select 'distribution.primary.relative_spread', round((mx - mn) / abs(av) * 100, 2) from r
+""")
+def q_range_readings(spark, sf):
+    return I.range_readings(M.value_range(T(spark, sf, "lineitem"), "l_extendedprice"), "l_extendedprice").select("key", "value")
+
+
+@register("reconcile_grouped", """
+select * from (select 1 as l_returnflag, 1.0 as value_0, 1.0 as __check) where false
+""")
+def q_reconcile(spark, sf):
+    li = T(spark, sf, "lineitem")
+    top = li.groupBy("l_returnflag").agg(M.aggregate("sum", F.col("l_extendedprice")).alias("value_0"))
+    bad = VF.reconcile(top, li, ["l_returnflag"], "value_0", "sum", "l_extendedprice")
+    return bad.select(F.col("l_returnflag").cast("int").alias("l_returnflag"), "value_0", "__check")
+
+
+@register("analysis_registry_keys", """
+select key from (values ('rows.total'), ('sum.o_totalprice'), ('metric.average.o_totalprice'), ('metric.max.o_totalprice'),
+  ('metric.min.o_totalprice'), ('quality.score'), ('quality.missing'), ('quality.duplicates'), ('quality.invalid'),
+  ('quality.outliers'), ('quality.completeness'), ('category.primary.lead_margin'), ('category.primary.gap'),
+  ('category.primary.top_share'), ('trend.primary.change'), ('trend.primary.average'), ('trend.primary.change_rate'),
+  ('trend.primary.periods_above_average'), ('trend.primary.distance_from_peak'), ('dist.o_totalprice.min'),
+  ('dist.o_totalprice.avg'), ('dist.o_totalprice.max'), ('distribution.primary.spread'),
+  ('distribution.primary.relative_spread')) v(key)
+union all select 'chart.category.0.' || cast(row_number() over (order by o_orderstatus) - 1 as varchar)
+  from (select distinct o_orderstatus from orders)
+union all select 'chart.trend.0.' || cast(n as varchar) from range(0, 24) t(n)
+""")
+def q_analysis_registry_keys(spark, sf):
+    from proofsheet.plans.analysis import analyze
+    res = analyze(T(spark, sf, "orders"), ORDERS_MAPPING, source_row="o_orderkey")
+    return res.results.select("key")
+
+
+@register("registry_integrity", """
+select 'x' as ref where false
+""")
+def q_integrity(spark, sf):
+    from proofsheet.plans.analysis import analyze
+    return analyze(T(spark, sf, "orders"), ORDERS_MAPPING, source_row="o_orderkey").integrity
