@@ -507,3 +507,120 @@ select 'x' as ref where false
 def q_integrity(spark, sf):
     from proofsheet.plans.analysis import analyze
     return analyze(T(spark, sf, "orders"), ORDERS_MAPPING, source_row="o_orderkey").integrity
+
+
+# =============================================================== questions
+from proofsheet.plans import question as QP  # noqa: E402
+from proofsheet.operators.positions import join_small as _join_small  # noqa: E402
+
+SALES_PROFILES = [ColumnProfile("brand", "category", "dimension"), ColumnProfile("year", "category", "dimension"),
+                  ColumnProfile("quarter", "category", "dimension"), ColumnProfile("revenue", "number", "measure"),
+                  ColumnProfile("quantity", "number", "measure")]
+
+SALES_SQL = """(select p_brand as brand, year(l_shipdate) as year, 'Q' || cast(quarter(l_shipdate) as varchar) as quarter,
+  l_extendedprice as revenue, l_quantity as quantity, l_orderkey * 10 + l_linenumber as src
+  from lineitem join part on l_partkey = p_partkey)"""
+
+
+def brand_sales(spark, sf):
+    """Sales by brand: lineitem ⋈ part (part is broadcast only when its
+    checked row count is small; otherwise a shuffle join)."""
+    li = T(spark, sf, "lineitem")
+    pt = T(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    j = _join_small(li, pt, "l_partkey", "inner")
+    return j.select(F.col("p_brand").alias("brand"), F.year("l_shipdate").alias("year"),
+                    F.concat(F.lit("Q"), F.quarter("l_shipdate").cast("string")).alias("quarter"),
+                    F.col("l_extendedprice").alias("revenue"), F.col("l_quantity").alias("quantity"),
+                    (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("__source_row"))
+
+
+def ask(spark, sf, question):
+    df = brand_sales(spark, sf)
+    cat = QP.build_catalog(df, SALES_PROFILES)
+    plan = QP.plan_question(question, cat)
+    return df, plan, QP.run_plan(df, plan)
+
+
+@register("question_aggregate", f"""
+select coalesce({dsum('revenue')}, 0) as value, count(revenue) as rows from {SALES_SQL} s where year = 1996 and brand = 'Brand#3'
+""")
+def q_question_aggregate(spark, sf):
+    return ask(spark, sf, "What is the total revenue of Brand#3 in 1996?")[2]
+
+
+@register("question_ranking_top", f"""
+select row_number() over (order by value desc, label) - 1 as ordinal, label, value, rows from (
+  select brand as label, coalesce({dsum('revenue')}, 0) as value, count(revenue) as rows from {SALES_SQL} s
+  where year = 2000 group by 1 order by value desc, label limit 3)
+""")
+def q_question_top(spark, sf):
+    return ask(spark, sf, "Top 3 brands by revenue 2000")[2]
+
+
+@register("question_ranking_bottom", f"""
+select row_number() over (order by value, label) - 1 as ordinal, label, value, rows from (
+  select quarter as label, coalesce({dsum('revenue')}, 0) as value, count(revenue) as rows from {SALES_SQL} s
+  where year = 2000 group by 1 order by value, label limit 1)
+""")
+def q_question_bottom(spark, sf):
+    return ask(spark, sf, "Which quarter had the lowest revenue 2000?")[2]
+
+
+@register("question_comparison", f"""
+select row_number() over (order by value desc, label) - 1 as ordinal, label, value, rows from (
+  select brand as label, coalesce({dsum('revenue')}, 0) as value, count(revenue) as rows from {SALES_SQL} s
+  where brand in ('Brand#5', 'Brand#6') group by 1 order by value desc, label limit 10)
+""")
+def q_question_comparison(spark, sf):
+    return ask(spark, sf, "Compare revenue of Brand#5 and Brand#6")[2]
+
+
+GROWTH_SQL = f"""(select row_number() over (order by year) - 1 as ordinal, cast(year as varchar) as label,
+  coalesce({dsum('revenue')}, 0) as value, count(revenue) as rows from {SALES_SQL} s where brand = 'Brand#7' group by year)"""
+
+
+@register("question_growth", f"select * from {GROWTH_SQL}")
+def q_question_growth(spark, sf):
+    return ask(spark, sf, "Revenue growth of Brand#7 by year")[2]
+
+
+@register("question_growth_rate", f"""
+with g as {GROWTH_SQL}
+select min_by(label, ordinal) as first_label, max_by(label, ordinal) as last_label, min_by(value, ordinal) as first_value,
+  max_by(value, ordinal) as last_value, count(*) as periods,
+  (max_by(value, ordinal) - min_by(value, ordinal)) / abs(min_by(value, ordinal)) * 100 as growth_pct from g
+""")
+def q_question_growth_rate(spark, sf):
+    return QP.growth_answer(ask(spark, sf, "Revenue growth of Brand#7 by year")[2])
+
+
+@register("question_comparison_gap", f"""
+with c as (select row_number() over (order by value desc, label) - 1 as ordinal, label, value from (
+  select brand as label, coalesce({dsum('revenue')}, 0) as value from {SALES_SQL} s
+  where brand in ('Brand#5', 'Brand#6') group by 1))
+select max(case when ordinal = 0 then label end) as first_label, max(case when ordinal = 1 then label end) as second_label,
+  max(case when ordinal = 0 then value end) - max(case when ordinal = 1 then value end) as difference from c
+""")
+def q_question_comparison_gap(spark, sf):
+    return QP.comparison_answer(ask(spark, sf, "Compare revenue of Brand#5 and Brand#6")[2])
+
+
+@register("value_dictionary", f"""
+select 'brand' as "column", brand as value, min(src) as first_row from {SALES_SQL} s group by brand
+union all select 'year', cast(year as varchar), min(src) from {SALES_SQL} s group by year
+union all select 'quarter', quarter, min(src) from {SALES_SQL} s group by quarter
+""")
+def q_value_dictionary(spark, sf):
+    return QP.build_catalog(brand_sales(spark, sf), SALES_PROFILES).dictionary.select("column", "value", "first_row")
+
+
+@register("quality_question_audit", f"""
+with d as {DIRTY_ORDERS_SQL}
+select 'o_totalprice' as "column", count(*) as cells, 'mean' as actions, 0 as remaining, min(o_orderkey) as first_row from d where o_totalprice is null
+union all select 'o_orderpriority', count(*), 'label', 0, min(o_orderkey) from d where o_orderpriority is null
+""")
+def q_quality_question(spark, sf):
+    df = _dirty_orders(spark, sf)
+    from proofsheet.operators.profile import infer_columns
+    res = C.clean_dataset(df, infer_columns(df, ORDERS_MAPPING))
+    return QP.quality_answer(res.actions)
