@@ -624,3 +624,110 @@ def q_quality_question(spark, sf):
     from proofsheet.operators.profile import infer_columns
     res = C.clean_dataset(df, infer_columns(df, ORDERS_MAPPING))
     return QP.quality_answer(res.actions)
+
+
+# =============================================================== formulas
+from proofsheet.plans import formula as FP  # noqa: E402
+from proofsheet.operators import explore as X  # noqa: E402
+
+LINEITEM_MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@register("formula_ratio", f"""
+select 'margin' as name, 'l_tax / l_quantity * 100' as expression,
+  round({dsum('l_tax')} / {dsum('l_quantity')} * 100, 6) as value, 'percent' as format, true as verified,
+  cast(null as varchar) as error from lineitem
+""")
+def q_formula_ratio(spark, sf):
+    return FP.execute_formula(T(spark, sf, "lineitem"), "margin = l_tax / l_quantity * 100", LINEITEM_MEASURES)
+
+
+@register("formula_grouped", f"""
+select l_returnflag, 'net' as name, 'l_extendedprice - l_discount' as expression,
+  round({dsum('l_extendedprice')} - {dsum('l_discount')}, 6) as value, 'decimal' as format, true as verified,
+  cast(null as varchar) as error from lineitem group by l_returnflag
+""")
+def q_formula_grouped(spark, sf):
+    return FP.execute_formula(T(spark, sf, "lineitem"), "net = l_extendedprice minus l_discount", LINEITEM_MEASURES,
+                              group_by=["l_returnflag"])
+
+
+@register("formula_zero_denominator", f"""
+select l_linestatus, 'share' as name, 'l_tax / l_discount' as expression,
+  case when abs(sum(l_discount)) <= 1e-12 then null else round({dsum('l_tax')} / {dsum('l_discount')}, 6) end as value,
+  'decimal' as format,
+  case when abs(sum(l_discount)) <= 1e-12 then null else true end as verified_flag,
+  case when abs(sum(l_discount)) <= 1e-12 then 'zero denominator or non-finite result' end as error
+from (select l_linestatus, l_tax, case when l_linestatus = 'O' then 0.0 else l_discount end as l_discount from lineitem)
+group by l_linestatus
+""")
+def q_formula_zero(spark, sf):
+    li = T(spark, sf, "lineitem").withColumn(
+        "l_discount", F.when(F.col("l_linestatus") == "O", F.lit(0.0)).otherwise(F.col("l_discount")))
+    out = FP.execute_formula(li, "share = l_tax / l_discount", LINEITEM_MEASURES, group_by=["l_linestatus"])
+    return out.select("l_linestatus", "name", "expression", "value", "format",
+                      F.when(F.col("error").isNull(), F.col("verified")).alias("verified_flag"), "error")
+
+
+# =============================================================== explore
+@register("explore_bar", f"""
+select event_type as label, {dsum('value')} as value from events
+where event_type is not null and trim(event_type) <> '' and value is not null
+group by 1 order by value desc, label limit 10
+""")
+def q_explore_bar(spark, sf):
+    return X.explore(T(spark, sf, "events"), "event_type", "value", "bar")
+
+
+@register("explore_line", f"""
+select cast(l_linenumber as varchar) as label, {dsum('l_quantity')} as value from lineitem
+where l_quantity is not null group by 1 order by try_cast(label as double), label limit 24
+""")
+def q_explore_line(spark, sf):
+    return X.explore(T(spark, sf, "lineitem"), "l_linenumber", "l_quantity", "line")
+
+
+@register("selection_range", f"""
+select min(l_extendedprice) as min_value, {davg('l_extendedprice')} as avg_value, max(l_extendedprice) as max_value
+from lineitem where l_returnflag = 'R'
+""")
+def q_selection_range(spark, sf):
+    return X.selection_range(T(spark, sf, "lineitem"), "l_extendedprice", {"l_returnflag": "R", "l_linestatus": ""})
+
+
+@register("kpi_under_selection", f"""
+select coalesce({dsum('o_totalprice')}, 0) as value from orders where o_orderstatus = 'F' and o_orderpriority = '1-URGENT'
+""")
+def q_kpi_selection(spark, sf):
+    return X.kpi_under_selection(T(spark, sf, "orders"), "sum", "o_totalprice",
+                                 {"o_orderstatus": "F", "o_orderpriority": "1-URGENT"})
+
+
+@register("global_search", """
+select c_custkey from customer where contains(lower(concat_ws(chr(1), cast(c_custkey as varchar), c_name,
+  cast(c_nationkey as varchar), cast(c_acctbal as varchar), c_mktsegment)), 'build')
+""")
+def q_global_search(spark, sf):
+    return X.global_search(T(spark, sf, "customer"), "BUILD").select("c_custkey")
+
+
+@register("sorted_page", """
+select o_orderkey, o_totalprice from orders order by o_totalprice desc nulls last, o_orderkey limit 50 offset 100
+""")
+def q_sorted_page(spark, sf):
+    o = T(spark, sf, "orders").withColumn("__source_row", F.col("o_orderkey"))
+    return X.sorted_page(o, "o_totalprice", True, page=2).select("o_orderkey", "o_totalprice")
+
+
+@register("repaired_cells", f"""
+with d as {DIRTY_ORDERS_SQL}
+select o_orderkey, concat_ws(',', case when o_orderpriority is null then 'o_orderpriority' end,
+  case when o_totalprice is null then 'o_totalprice' end) as repaired
+from d where o_orderpriority is null or o_totalprice is null
+""")
+def q_repaired_cells(spark, sf):
+    df = _dirty_orders(spark, sf)
+    from proofsheet.operators.profile import infer_columns
+    res = C.clean_dataset(df, infer_columns(df, ORDERS_MAPPING))
+    out = X.repaired_cells(res.cleaned, res.actions)
+    return out.where(F.size("repaired_columns") > 0).select("o_orderkey", F.array_join("repaired_columns", ",").alias("repaired"))
