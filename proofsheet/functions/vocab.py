@@ -132,7 +132,7 @@ QUESTION_MAX_LIMIT = 20
 # Question understanding.
 ARABIC_DIACRITICS_CLASS = r"[\u064b-\u065f\u0670]"
 FOLD_FROM = "أإآىة"
-FOLD_TO = "اااية"
+FOLD_TO = "ااايه"
 VALUE_ALIASES = {
     "jarir": ("جرير",),
     "nahdi": ("النهدي", "نهدي"),
