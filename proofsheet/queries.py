@@ -731,3 +731,252 @@ def q_repaired_cells(spark, sf):
     res = C.clean_dataset(df, infer_columns(df, ORDERS_MAPPING))
     out = X.repaired_cells(res.cleaned, res.actions)
     return out.where(F.size("repaired_columns") > 0).select("o_orderkey", F.array_join("repaired_columns", ",").alias("repaired"))
+
+
+# =============================================================== remaining inventory
+from proofsheet.operators.positions import with_row_index, exact_quantiles  # noqa: E402
+from proofsheet.functions.expr import display_number, day_label  # noqa: E402
+
+
+@register("row_index", """
+select count(*) as n, 2 as first_row, count(*) + 1 as last_row, count(*) as distinct_rows from lineitem
+""")
+def q_row_index(spark, sf):
+    df = with_row_index(T(spark, sf, "lineitem").select("l_orderkey"), "__source_row", 2)
+    return df.agg(F.count(F.lit(1)).alias("n"), F.min("__source_row").alias("first_row"),
+                  F.max("__source_row").alias("last_row"), F.countDistinct("__source_row").alias("distinct_rows"))
+
+
+@register("sample_values", """
+with c as (select * from customer),
+s as (
+  select 0 as ordinal, cast(c_custkey as varchar) as v, c_custkey as o from c
+  union all select 1, c_name, c_custkey from c union all select 2, cast(c_nationkey as varchar), c_custkey from c
+  union all select 3, cast(c_acctbal as varchar), c_custkey from c union all select 4, c_mktsegment, c_custkey from c),
+r as (select ordinal, v, o, row_number() over (partition by ordinal order by o) as rn from s where v is not null)
+select ordinal, string_agg(v, '|' order by o) as sample_values from r where rn <= 3 group by ordinal
+""")
+def q_sample_values(spark, sf):
+    c = T(spark, sf, "customer")
+    out = P.sample_values(c, c.columns, "c_custkey")
+    return out.select("ordinal", F.array_join("sample_values", "|").alias("sample_values"))
+
+
+@register("filter_values", """
+select * from (
+  select 'o_orderstatus' as "column", o_orderstatus as value, min(o_orderkey) as first_row from orders where o_orderstatus is not null group by 2
+  order by first_row limit 30)
+union all select * from (
+  select 'o_orderpriority', o_orderpriority, min(o_orderkey) from orders where o_orderpriority is not null group by 2
+  order by 3 limit 30)
+""")
+def q_filter_values(spark, sf):
+    from proofsheet.plans.question import build_catalog
+    o = T(spark, sf, "orders").withColumn("__source_row", F.col("o_orderkey"))
+    prof = [ColumnProfile("o_orderstatus", "category", "dimension"), ColumnProfile("o_orderpriority", "category", "dimension")]
+    d = build_catalog(o, prof).dictionary
+    from pyspark.sql import Window
+    w = Window.partitionBy("column").orderBy("first_row")
+    return d.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= 30).select("column", "value", "first_row")
+
+
+def _text_measure_view(spark, sf):
+    o = T(spark, sf, "orders")
+    return o.select(F.col("o_orderkey").alias("__source_row"), F.col("o_orderstatus").alias("status"),
+                    _money_text(F.col("o_orderkey"), F.col("o_totalprice")).alias("amount"))
+
+
+@register("quality_invalid_text", """
+select count(*) as row_count, 2 as column_count, 0 as missing_cells, 0.0 as missing_rate,
+  (select coalesce(sum(c - 1), 0) from (select count(*) c from orders group by o_orderstatus,
+     case when o_orderkey % 31 = 0 then 'n/a' when o_orderkey % 37 = 0 then '12abc'
+          when o_orderkey % 5 = 0 then '(' || cast(cast(o_totalprice as decimal(18,2)) as varchar) || ')'
+          else '$' || cast(cast(o_totalprice as decimal(18,2)) as varchar) || ' USD' end)) as duplicate_rows,
+  count_if(o_orderkey % 31 = 0 or o_orderkey % 37 = 0) as invalid_values
+from orders
+""")
+def q_quality_invalid(spark, sf):
+    df = _text_measure_view(spark, sf)
+    prof = [ColumnProfile("status", "category", "dimension"), ColumnProfile("amount", "number", "measure")]
+    return Q.quality_report(df, prof).select("row_count", "column_count", "missing_cells", "missing_rate",
+                                             "duplicate_rows", "invalid_values")
+
+
+@register("quality_notes", """
+select 0 as ordinal, cast(count(*) as varchar) || ' missing cells found.' as note from orders where o_orderkey % 17 = 0 or o_orderkey % 23 = 0
+""")
+def q_quality_notes(spark, sf):
+    df = _dirty_orders(spark, sf).drop("o_totalprice", "o_orderpriority").withColumn(
+        "flag", F.when((F.col("o_orderkey") % 17 == 0) | (F.col("o_orderkey") % 23 == 0), F.lit(None)).otherwise(F.lit("x")))
+    prof = [ColumnProfile("o_orderkey", "text", "identifier"), ColumnProfile("o_orderstatus", "category", "dimension"),
+            ColumnProfile("o_orderdate", "date", "date"), ColumnProfile("flag", "category", "dimension")]
+    return Q.quality_notes(Q.quality_report(df, prof))
+
+
+@register("quality_readings", f"""
+with f as (select quantile_cont(o_totalprice, 0.25) q1, quantile_cont(o_totalprice, 0.75) q3 from orders),
+o as (select count_if(o_totalprice < q1 - 1.5 * (q3 - q1) or o_totalprice > q3 + 1.5 * (q3 - q1)) as n from orders, f)
+select 'rows.total' as key, cast(count(*) as double) as value from orders
+union all select 'quality.score', greatest(0, 100 - least(100, round((select n from o)))) union all select 'quality.missing', 0.0
+union all select 'quality.duplicates', 0.0 union all select 'quality.completeness', 100.0
+union all select 'quality.invalid', 0.0 union all select 'quality.outliers', cast((select n from o) as double)
+""")
+def q_quality_readings(spark, sf):
+    from proofsheet.operators.profile import infer_columns
+    o = T(spark, sf, "orders")
+    return Q.quality_readings(Q.quality_report(o, infer_columns(o, ORDERS_MAPPING)))
+
+
+@register("fallback_chart", """
+select 'quality-overview' as chart_id, 0 as ordinal, 'quality.score' as label, 100.0 as value
+union all select 'quality-overview', 0, 'quality.missing', 0.0
+union all select 'quality-overview', 0, 'quality.duplicates', cast(count(*) - count(distinct r_name) as double) from region
+""")
+def q_fallback_chart(spark, sf):
+    from proofsheet.plans.analysis import analyze
+    r = T(spark, sf, "region")
+    res = analyze(r, {"r_regionkey": "identifier", "r_name": "dimension"}, source_row="r_regionkey")
+    return res.charts
+
+
+@register("kpi_fallback", f"""
+with d as (select l_discount as discount_rate from lineitem)
+select 'metric.average.discount_rate' as key, round({davg('discount_rate')}, 2) as value from d
+union all select 'metric.max.discount_rate', round(max(discount_rate), 2) from d
+union all select 'metric.min.discount_rate', round(min(discount_rate), 2) from d
+union all select 'metric.fallback.sum.discount_rate', round({dsum('discount_rate')}, 2) from d
+""")
+def q_kpi_fallback(spark, sf):
+    d = T(spark, sf, "lineitem").select(F.col("l_discount").alias("discount_rate"))
+    res, _ = M.kpi_frame(d, ["discount_rate"])
+    return res.where(F.col("key") != "rows.total").select("key", "value")
+
+
+@register("insight_completion", """
+select 25 as insights, 25 as distinct_titles, 0 as unreferenced
+""")
+def q_insight_completion(spark, sf):
+    from proofsheet.plans.analysis import analyze
+    res = analyze(T(spark, sf, "orders"), ORDERS_MAPPING, source_row="o_orderkey")
+    ins = res.insights
+    unref = VF.missing_refs(ins.select("result_refs"), res.results).count()
+    return ins.agg(F.count(F.lit(1)).alias("insights"), F.countDistinct("title").alias("distinct_titles"),
+                   F.lit(unref).alias("unreferenced"))
+
+
+@register("numeric_provenance", """
+select 'x' as raw where false
+""")
+def q_provenance(spark, sf):
+    from proofsheet.plans.analysis import analyze
+    res = analyze(T(spark, sf, "orders"), ORDERS_MAPPING, source_row="o_orderkey")
+    texts = res.results.select(F.format_string("The value is %s.", F.col("value").cast("string")).alias("text"))
+    return VF.unproven_numbers(texts, res.results)
+
+
+@register("verified_summary", """
+select 'metric-o_totalprice' as id, 1 as n_values union all select 'average-o_totalprice', 1
+union all select 'max-o_totalprice', 1 union all select 'min-o_totalprice', 1
+""")
+def q_verified_summary(spark, sf):
+    from proofsheet.plans.analysis import analyze
+    res = analyze(T(spark, sf, "orders"), ORDERS_MAPPING, source_row="o_orderkey")
+    items = res.kpis.select("id", F.array("result_ref").alias("result_refs"))
+    return VF.verified_summary(items, res.results).select("id", F.size("values").alias("n_values"))
+
+
+@register("display_numbers", f"""
+select o_orderstatus, case when abs(v) >= 1e9 then format('{{:,.2f}}', v / 1e9) || ' billion'
+  when abs(v) >= 1e6 then format('{{:,.2f}}', v / 1e6) || ' million' else format('{{:,.2f}}', v) end || ' SAR' as shown
+from (select o_orderstatus, {dsum('o_totalprice')} as v from orders group by 1)
+""")
+def q_display_numbers(spark, sf):
+    o = T(spark, sf, "orders").groupBy("o_orderstatus").agg(M.exact_sum(F.col("o_totalprice")).alias("v"))
+    return o.select("o_orderstatus", display_number(F.col("v"), "SAR").alias("shown"))
+
+
+@register("preview_rows", """
+select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as o_orderdate, o_totalprice from orders
+""")
+def q_preview_rows(spark, sf):
+    o = T(spark, sf, "orders")
+    return o.select("o_orderkey", day_label(F.col("o_orderdate")).alias("o_orderdate"), "o_totalprice")
+
+
+@register("audit_summary", f"""
+with d as {DIRTY_ORDERS_SQL}
+select 'The working copy was cleaned: found ' || cast(count_if(o_totalprice is null) + count_if(o_orderpriority is null) as varchar)
+  || ' missing values, treated ' || cast(count_if(o_totalprice is null) + count_if(o_orderpriority is null) as varchar)
+  || ' missing values under a documented policy; the source file was not changed.' as summary from d
+""")
+def q_audit_summary(spark, sf):
+    from proofsheet.operators.profile import infer_columns
+    df = _dirty_orders(spark, sf)
+    return C.clean_dataset(df, infer_columns(df, ORDERS_MAPPING)).summary().select("summary")
+
+
+@register("role_inference", """
+with s as (select count(*) n, count(distinct o_orderstatus) d2, count(distinct o_orderpriority) d5 from orders)
+select 'o_orderkey' as name, 'number' as inferred_type, 'measure' as semantic_role, false as ambiguous
+union all select 'o_custkey', 'number', 'measure', false
+union all select 'o_orderstatus', case when (select d2 from s) <= greatest(20, (select n from s) * 0.2) then 'category' else 'text' end, 'unknown', true
+union all select 'o_totalprice', 'number', 'measure', false
+union all select 'o_orderdate', 'date', 'date', false
+union all select 'o_orderpriority', case when (select d5 from s) <= greatest(20, (select n from s) * 0.2) then 'category' else 'text' end, 'unknown', true
+""")
+def q_role_inference(spark, sf):
+    prof = P.infer_columns(T(spark, sf, "orders"))
+    return spark.createDataFrame([(p.name, p.inferred_type, p.semantic_role, p.ambiguous) for p in prof],
+                                 "name string, inferred_type string, semantic_role string, ambiguous boolean")
+
+
+@register("ambiguity_gate", """
+with s as (select count(*) n, count(distinct event_type) d3, count(distinct props) d5 from events)
+select 3 as ordinal, 'event_type' as name, case when d3 <= greatest(20, n * 0.2) then 'category' else 'text' end as inferred_type from s
+union all select 5, 'props', case when d5 <= greatest(20, n * 0.2) then 'category' else 'text' end from s
+""")
+def q_ambiguity_gate(spark, sf):
+    ev = T(spark, sf, "events")
+    return P.ambiguities(P.profile_frame(spark, P.infer_columns(ev))).select("ordinal", "name", "inferred_type")
+
+
+@register("median_by_type", """
+select event_type, 0.5 as p, quantile_cont(value, 0.5) as q from events group by 1
+""")
+def q_median_by_type(spark, sf):
+    return exact_quantiles(T(spark, sf, "events"), "value", [0.5], ["event_type"])
+
+
+@register("delete_rows", f"""
+select count(*) as rows, {dsum('o_totalprice')} as total from orders where o_orderstatus <> 'P'
+""")
+def q_delete_rows(spark, sf):
+    o = T(spark, sf, "orders").withColumn("__source_row", F.col("o_orderkey"))
+    chosen = o.where(F.col("o_orderstatus") == "P").select("__source_row")
+    kept = C.delete_rows(o, chosen)
+    return kept.agg(F.count(F.lit(1)).alias("rows"), M.exact_sum(F.col("o_totalprice")).alias("total"))
+
+
+@register("manual_overrides", """
+select o_orderkey, o_totalprice, o_orderpriority from orders
+""")
+def q_manual_overrides(spark, sf):
+    from proofsheet.operators.profile import infer_columns
+    df = _dirty_orders(spark, sf)
+    o = T(spark, sf, "orders")
+    ov = (o.where(F.col("o_orderkey") % 17 == 0)
+            .select(F.lit("o_totalprice").alias("column"), F.col("o_orderkey").alias("source_row"),
+                    F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("value"))
+            .unionByName(o.where(F.col("o_orderkey") % 23 == 0)
+                         .select(F.lit("o_orderpriority").alias("column"), F.col("o_orderkey").alias("source_row"),
+                                 F.col("o_orderpriority").alias("value"))))
+    res = C.clean_dataset(df, infer_columns(df, ORDERS_MAPPING), mode="manual", overrides=ov)
+    return res.cleaned.select("o_orderkey", "o_totalprice", "o_orderpriority")
+
+
+@register("cross_filter", f"""
+select count(*) as rows, {dsum('o_totalprice')} as total from orders where cast(o_orderpriority as varchar) = '1-URGENT'
+""")
+def q_cross_filter(spark, sf):
+    o = X.cross_filter(T(spark, sf, "orders"), "o_orderpriority", "1-URGENT")
+    return o.agg(F.count(F.lit(1)).alias("rows"), M.exact_sum(F.col("o_totalprice")).alias("total"))
