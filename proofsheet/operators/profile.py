@@ -49,13 +49,20 @@ def _is_null(c, dt):
     return c.isNull()
 
 
-def column_stats(df: DataFrame, columns: list[str] | None = None, distinct: str = "exact") -> DataFrame:
-    """A13/A14/P4 per column: ``ordinal, column, rows, null_count,
-    present_count, numeric_count, unique_count``.
+EXACT_DISTINCT_BELOW = 100_000   # exact counting is cheap below this many distinct values
+THRESHOLD_BAND = 0.10            # …and needed when HLL lands this close to the role threshold
+
 
-    ``distinct="exact"`` counts distinct values with one explode + distinct
-    (partial dedup map-side); ``"approx"`` uses HyperLogLog in the same
-    single aggregate, for very wide or very large tables.
+def column_stats(df: DataFrame, columns: list[str] | None = None, distinct: str = "auto") -> DataFrame:
+    """A13/A14/P4 per column: ``ordinal, column, rows, null_count,
+    present_count, numeric_count, unique_count, unique_exact``.
+
+    ``distinct``: ``"exact"`` counts every column exactly (one explode +
+    distinct, deduplicated map-side); ``"approx"`` uses HyperLogLog inside
+    the single wide aggregate; ``"auto"`` (default) takes HyperLogLog for
+    every column and recounts exactly only the columns where the role rule
+    ``unique ≤ max(20, 0.2·rows)`` could flip, or whose distinct count is
+    small — so a 200-column, 10¹²-row table is not exploded cell by cell.
     """
     columns = columns or [c for c in df.columns if not c.startswith("__")]
     fields = {f.name: f.dataType for f in df.schema.fields}
@@ -68,46 +75,51 @@ def column_stats(df: DataFrame, columns: list[str] | None = None, distinct: str
             aggs.append(F.sum(F.when(ok, 1).otherwise(0)).cast("long").alias(f"k{i}"))
         else:
             aggs.append(F.lit(None).cast("long").alias(f"k{i}"))
-        if distinct == "approx":
-            aggs.append(F.approx_count_distinct(F.when(~_is_null(c, dt), c)).cast("long").alias(f"d{i}"))
-    wide = df.agg(*aggs)
-    stack = ", ".join(
-        f"{i}, '{name.replace(chr(39), chr(92) + chr(39))}', n{i}, k{i}" + (f", d{i}" if distinct == "approx" else ", cast(null as bigint)")
-        for i, name in enumerate(columns)
-    )
-    long = wide.selectExpr("rows", f"stack({len(columns)}, {stack}) as (ordinal, column, null_count, numeric_count, unique_count)")
-    if distinct != "approx":
+        if distinct != "exact":
+            aggs.append(F.approx_count_distinct(F.when(~_is_null(c, dt), c), 0.02).cast("long").alias(f"d{i}"))
+    wide = df.agg(*aggs).collect()[0]  # one row of per-column scalars
+    rows = int(wide["rows"])
+    threshold = max(V.CATEGORY_DISTINCT_FLOOR, rows * V.CATEGORY_DISTINCT_SHARE)
+    if distinct == "exact":
+        exact_set = list(range(len(columns)))
+    elif distinct == "approx":
+        exact_set = []
+    else:
+        exact_set = [i for i in range(len(columns))
+                     if wide[f"d{i}"] <= EXACT_DISTINCT_BELOW
+                     or abs(wide[f"d{i}"] - threshold) <= THRESHOLD_BAND * threshold]
+    exact: dict[int, int] = {}
+    if exact_set:
         cells = df.select(F.explode(F.array(*[
-            F.struct(F.lit(i).alias("ordinal"), col(name).cast("string").alias("value"))
-            for i, name in enumerate(columns) if True
-        ])).alias("cell")).select("cell.ordinal", "cell.value")
-        # NaN of float columns is missing, not a value
-        nan_ordinals = [i for i, n in enumerate(columns) if isinstance(fields[n], (T.FloatType, T.DoubleType))]
-        cells = cells.where(F.col("value").isNotNull())
+            F.struct(F.lit(i).alias("ordinal"), col(columns[i]).cast("string").alias("value")) for i in exact_set
+        ])).alias("cell")).select("cell.ordinal", "cell.value").where(F.col("value").isNotNull())
+        nan_ordinals = [i for i in exact_set if isinstance(fields[columns[i]], (T.FloatType, T.DoubleType))]
         if nan_ordinals:
             cells = cells.where(~(F.col("ordinal").isin(nan_ordinals) & (F.col("value") == "NaN")))
-        uniq = cells.distinct().groupBy("ordinal").agg(F.count(F.lit(1)).alias("unique_count"))
-        long = long.drop("unique_count").join(uniq, "ordinal", "left") \
-            .withColumn("unique_count", F.coalesce("unique_count", F.lit(0)).cast("long"))
-    return long.select(
-        "ordinal", "column", "rows", "null_count",
-        (F.col("rows") - F.col("null_count")).alias("present_count"),
-        "numeric_count", "unique_count",
-    )
+        exact = {r["ordinal"]: r["n"] for r in cells.distinct().groupBy("ordinal").agg(F.count(F.lit(1)).alias("n")).collect()}
+    out = []
+    for i, name in enumerate(columns):
+        n = int(wide[f"n{i}"])
+        unique = exact.get(i, 0) if i in exact_set else int(wide[f"d{i}"])
+        k = wide[f"k{i}"]
+        out.append((i, name, rows, n, rows - n, None if k is None else int(k), int(unique), i in exact_set))
+    return df.sparkSession.createDataFrame(out, "ordinal int, column string, rows long, null_count long, present_count long, "
+                                               "numeric_count long, unique_count long, unique_exact boolean")
 
 
 def sample_values(df: DataFrame, columns: list[str], order_col: str | None = None, k: int = 3) -> DataFrame:
-    """First ``k`` present values per column (top-k per column, unioned)."""
-    parts = []
-    for i, name in enumerate(columns):
-        sel = df.where(col(name).isNotNull())
-        sel = sel.orderBy(col(order_col)) if order_col else sel
-        parts.append(sel.limit(k).select(F.lit(i).alias("ordinal"), col(name).cast("string").alias("value"),
-                                         *( [col(order_col).alias("__o")] if order_col else [F.lit(0).alias("__o")])))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("ordinal").agg(F.array_sort(F.collect_list(F.struct("__o", "value"))).alias("s")) \
+    """First ``k`` present values per column in ONE pass: cells are
+    exploded once and ``row_number() <= k`` per column becomes a partial
+    window-group limit before the shuffle, so a column never ships more
+    than k rows per partition."""
+    from pyspark.sql import Window
+    order = col(order_col) if order_col else F.monotonically_increasing_id()
+    cells = df.select(order.alias("__o"), F.explode(F.array(*[
+        F.struct(F.lit(i).alias("ordinal"), col(n).cast("string").alias("value")) for i, n in enumerate(columns)
+    ])).alias("c")).select("__o", "c.ordinal", "c.value").where(F.col("value").isNotNull())
+    w = Window.partitionBy("ordinal").orderBy("__o")
+    first = cells.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k)
+    return first.groupBy("ordinal").agg(F.array_sort(F.collect_list(F.struct("__r", "value"))).alias("s")) \
         .select("ordinal", F.col("s.value").alias("sample_values"))
 
 
@@ -145,7 +157,7 @@ def decide_role(name: str, dtype: T.DataType, stats: dict, mapping: dict[str, st
     return "text", "unknown"
 
 
-def infer_columns(df: DataFrame, mapping: dict[str, str] | None = None, distinct: str = "exact",
+def infer_columns(df: DataFrame, mapping: dict[str, str] | None = None, distinct: str = "auto",
                   samples: bool = False, order_col: str | None = None) -> list[ColumnProfile]:
     """Role inference.  Collects only the per-column statistics rows."""
     mapping = mapping or {}
