@@ -75,7 +75,8 @@ def parse_numeric_text(c: Column) -> Column:
     blocked = is_missing_token(t) | t.rlike("^[=@]")
     s = F.when(blocked, F.lit("x")).otherwise(t)
     s = F.translate(s, "\u00a0\u202f", "")
-    s = F.regexp_replace(s, "(?iU)" + V.CURRENCY_TOKEN_PATTERN, "")
+    # the cased tokens are ASCII currency codes: ASCII case folding suffices
+    s = F.regexp_replace(s, "(?i)" + V.CURRENCY_TOKEN_PATTERN, "")
     s = F.regexp_replace(s, V.CURRENCY_SYMBOL_PATTERN, "")
     s = F.translate(s, "%٪٬,", "")
     s = F.translate(s, "٫", ".")
@@ -83,7 +84,9 @@ def parse_numeric_text(c: Column) -> Column:
     # "(x)" → "-x" with any sign inside dropped: -abs(x) of the inner number
     s = F.regexp_replace(s, r"^\([+-]?(.*)\)$", "-$1")
     number = F.regexp_extract(s, "^(" + V.NUMBER_PATTERN[1:-1] + ")$", 1)
-    return number.try_cast("double")
+    # the grammar already proved the text numeric: a plain cast cannot fail,
+    # and skipping "" avoids exception-driven parsing of non-numbers
+    return F.when(number != "", number.cast("double"))
 
 
 def parse_numeric(c: Column, dt: T.DataType) -> Column:

@@ -213,17 +213,18 @@ def coerce_columns(df: DataFrame, profiles: list[ColumnProfile], original_order:
 
 
 # ------------------------------------------------------------------ step 5
-def drop_duplicates_keep_first(df: DataFrame, src: str = SRC, carry: list[str] | None = None) -> DataFrame:
+def drop_duplicates_keep_first(df: DataFrame, src: str = SRC, carry: list[str] | None = None,
+                               extra_keys: list[str] | None = None) -> DataFrame:
     """Exact duplicates over every data column (null equals null) go;
     the survivor is the smallest source row.  ``carry`` counter columns are
     summed over each group; ``__dups`` = removed rows of the group.
     Map-side partial aggregation collapses a hot duplicate group before the
     shuffle."""
-    cols = data_columns(df)
+    cols = data_columns(df) + list(extra_keys or [])
     carry = carry or []
     return (df.groupBy(*[col(c) for c in cols])
               .agg(F.min(col(src)).alias(src), (F.count(F.lit(1)) - 1).alias("__dups"),
-                   *[F.sum(c).alias(c) for c in carry]))
+                   F.count(F.lit(1)).alias("__n"), *[F.sum(c).alias(c) for c in carry]))
 
 
 def duplicate_rows(df: DataFrame, kept: DataFrame, src: str = SRC) -> DataFrame:
@@ -409,25 +410,34 @@ def clean_dataset(df: DataFrame, profiles: list[ColumnProfile], mode: str = "rec
     s1 = s1.withColumn("__summary", summary_row_predicate(s1.select(*original), profiles))
     if deleted_rows is not None:
         s1 = delete_rows(s1, deleted_rows, src)
-    one = s1.agg(
-        F.count(F.lit(1)).alias("input_rows"),
-        F.sum("__txt").alias("normalized_text_cells"),
-        F.count_if("__summary").alias("excluded_summary_rows"),
-        *[F.count_if(~F.col("__summary") & col(c).isNotNull()).alias(f"p{i}") for i, c in enumerate(original)],
-    ).collect()[0]
-    empty = [c for i, c in enumerate(original) if one[f"p{i}"] == 0]
     summary_rows = s1.where("__summary").select(col(src).alias("source_row"), F.lit("summary").alias("reason"))
-    kept_cols = [c for c in original if c not in empty]
-    s2 = s1.where(~F.col("__summary")).select(col(src), *[col(c) for c in kept_cols])
-    # 4: formulas and coercion
-    s3 = coerce_columns(s2, profiles, original, src)
+    # 3 is decided from presence *before* coercion, outside summary rows
+    pres = [f"__pres{i}" for i in range(len(original))]
+    s1 = s1.select("*", *[(col(c).isNotNull() & ~F.col("__summary")).cast("int").alias(pres[i])
+                          for i, c in enumerate(original)])
+    # 4: formulas and coercion (summary rows are coerced too, never counted)
     carry = ["__nconv", "__ninv", "__dconv", "__dinv", "__formula"]
-    # 5: duplicates (keep first) — the working copy is checkpointed here
-    dedup = cut_lineage(drop_duplicates_keep_first(s3, src, carry))
-    dup_rows = duplicate_rows(s3, dedup, src).select(col(src).alias("source_row"), F.lit("duplicate").alias("reason"))
-    conv = dedup.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in carry],
-                     F.coalesce(F.sum("__dups"), F.lit(0)).alias("__dups")).collect()[0]
-    work = dedup.select(col(src), *[col(c) for c in kept_cols])
+    s3 = coerce_columns(s1, profiles, original, src)
+    s3 = s3.select(*[F.when(F.col("__summary"), F.lit(0)).otherwise(F.col(c)).alias(c) if c in carry else col(c)
+                     for c in s3.columns])
+    # 5: duplicates (keep first).  ONE pass over the source: summary rows ride
+    # along as their own groups and every counter is summed in the same
+    # aggregate; the result is the checkpointed working copy.
+    dedup = cut_lineage(drop_duplicates_keep_first(s3, src, carry + ["__txt"] + pres, extra_keys=["__summary"]))
+    stats = dedup.agg(
+        F.sum("__n").alias("input_rows"),
+        F.coalesce(F.sum("__txt"), F.lit(0)).alias("normalized_text_cells"),
+        F.coalesce(F.sum(F.when(F.col("__summary"), F.col("__n"))), F.lit(0)).alias("excluded_summary_rows"),
+        F.coalesce(F.sum(F.when(~F.col("__summary"), F.col("__dups"))), F.lit(0)).alias("__dups"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in carry + pres],
+    ).collect()[0]
+    one = conv = stats
+    empty = [c for i, c in enumerate(original) if stats[pres[i]] == 0]
+    kept_cols = [c for c in original if c not in empty]
+    kept_groups = dedup.where(~F.col("__summary"))
+    dup_rows = duplicate_rows(s3.where(~F.col("__summary")), kept_groups, src) \
+        .select(col(src).alias("source_row"), F.lit("duplicate").alias("reason"))
+    work = kept_groups.select(col(src), *[col(c) for c in kept_cols])
     # 6: missing snapshot
     before = missing_counts(work, kept_cols)
     before_map = {r["column"]: r["missing"] for r in before.collect()}

@@ -50,7 +50,7 @@ def _is_null(c, dt):
 
 
 EXACT_DISTINCT_BELOW = 100_000   # exact counting is cheap below this many distinct values
-THRESHOLD_BAND = 0.10            # …and needed when HLL lands this close to the role threshold
+THRESHOLD_BAND = 0.15            # …and needed when HLL (rsd 0.05) lands within 3σ of the role threshold
 
 
 def column_stats(df: DataFrame, columns: list[str] | None = None, distinct: str = "auto") -> DataFrame:
@@ -76,7 +76,7 @@ def column_stats(df: DataFrame, columns: list[str] | None = None, distinct: str
         else:
             aggs.append(F.lit(None).cast("long").alias(f"k{i}"))
         if distinct != "exact":
-            aggs.append(F.approx_count_distinct(F.when(~_is_null(c, dt), c), 0.02).cast("long").alias(f"d{i}"))
+            aggs.append(F.approx_count_distinct(F.when(~_is_null(c, dt), c), 0.05).cast("long").alias(f"d{i}"))
     wide = df.agg(*aggs).collect()[0]  # one row of per-column scalars
     rows = int(wide["rows"])
     threshold = max(V.CATEGORY_DISTINCT_FLOOR, rows * V.CATEGORY_DISTINCT_SHARE)
