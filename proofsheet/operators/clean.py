@@ -454,7 +454,7 @@ def clean_dataset(df: DataFrame, profiles: list[ColumnProfile], mode: str = "rec
                 raise ValueError("manual values rejected: " + "; ".join(
                     f"{b['column']} row {b['source_row']}: {b['error']}" for b in bad))
             flags += [(f"__rep_manual_{c}", c, None, "manual") for c in kept_cols]
-    else:
+    elif any(before_map.values()):
         work, derived = derived_repairs(work, profiles)
         flags += derived
         for p in profiles:
@@ -463,8 +463,11 @@ def clean_dataset(df: DataFrame, profiles: list[ColumnProfile], mode: str = "rec
             work, how = sequential_identifier(work, p.name, src)
             if how:
                 flags.append((f"__rep_seq_{p.name}", p.name, how, "sequential"))
-        work = cut_lineage(work)
-        now_missing = {r["column"]: r["missing"] for r in missing_counts(work, kept_cols).collect()}
+        if flags:  # repairs changed cells: fix them once before the fill statistics
+            work = cut_lineage(work)
+            now_missing = {r["column"]: r["missing"] for r in missing_counts(work, kept_cols).collect()}
+        else:
+            now_missing = dict(before_map)
         for p in profiles:
             if p.name not in kept_cols or not now_missing.get(p.name):
                 continue
@@ -475,7 +478,9 @@ def clean_dataset(df: DataFrame, profiles: list[ColumnProfile], mode: str = "rec
             work = work.withColumn(f"__fill_{name}", c.isNull())
             if strategy != "retained":
                 work = work.withColumn(name, F.coalesce(c, F.lit(value).cast(work.schema[name].dataType)))
-    work = cut_lineage(work)
+    changed = bool(flags) or bool(fills)
+    if changed:
+        work = cut_lineage(work)
     # audit actions (long, lazy)
     parts = []
     for flag, column, fill, strategy in flags:
@@ -500,10 +505,15 @@ def clean_dataset(df: DataFrame, profiles: list[ColumnProfile], mode: str = "rec
     for part in parts:
         actions = actions.unionByName(part)
     cleaned = work.select(col(src), *[col(c) for c in kept_cols])
-    agg = cleaned.agg(F.count(F.lit(1)).alias("output_rows"),
-                      *[F.count_if(col(c).isNull()).alias(f"r{i}") for i, c in enumerate(kept_cols)]).collect()[0]
-    act = actions.groupBy("strategy").count().collect()
-    imputed = sum(r["count"] for r in act if r["strategy"] != "retained")
+    if changed:
+        agg = cleaned.agg(F.count(F.lit(1)).alias("output_rows"),
+                          *[F.count_if(col(c).isNull()).alias(f"r{i}") for i, c in enumerate(kept_cols)]).collect()[0]
+        act = actions.groupBy("strategy").count().collect()
+        imputed = sum(r["count"] for r in act if r["strategy"] != "retained")
+    else:  # nothing was repaired: the snapshot already holds the answer
+        agg = {"output_rows": int(stats["input_rows"]) - int(stats["excluded_summary_rows"]) - int(stats["__dups"]),
+               **{f"r{i}": int(before_map.get(c, 0)) for i, c in enumerate(kept_cols)}}
+        imputed = 0
     counters = spark.createDataFrame([(
         int(one["input_rows"]), int(agg["output_rows"]), int(one["excluded_summary_rows"]), int(conv["__dups"]),
         int(conv["__nconv"]), int(conv["__dconv"]), int(one["normalized_text_cells"] or 0), int(conv["__ninv"]),
