@@ -132,4 +132,15 @@ def complete_insights(readings: DataFrame, limit: int = V.MAX_INSIGHTS) -> DataF
         .select("ordinal", "title", "text", F.array("key").alias("result_refs"), insight_group(F.col("title")).alias("group"))
 
 
-EMPTY_RESULTS = RESULTS_SCHEMA
+def fallback_answer(question: str, insights: DataFrame, summary: str) -> DataFrame:
+    """Q11: without a cached dataset, the first insight sharing a word of
+    more than 3 letters with the question, else the summary."""
+    words = sorted({w for w in question.lower().split() if len(w) > 3})
+    if not words:
+        return insights.sparkSession.createDataFrame([(summary,)], "answer string")
+    qwords = F.array(*[F.lit(w) for w in words])
+    text_words = F.filter(F.split(F.lower(F.concat_ws(" ", "title", "text")), r"\s+"), lambda w: F.length(w) > 3)
+    hit = insights.where(F.arrays_overlap(text_words, qwords)).orderBy("ordinal").limit(1) \
+        .select(F.concat_ws(": ", "title", "text").alias("answer"))
+    fallback = insights.sparkSession.createDataFrame([(summary,)], "answer string")
+    return hit.unionByName(fallback).limit(1)

@@ -120,7 +120,9 @@ def exact_quantiles(df: DataFrame, value: Column | str, probs: list[float],
               .where((F.col("__t.rank") >= F.col("__off")) & (F.col("__t.rank") < F.col("__off") + F.col("__c")))
               .select("__pid", *groups, "p", "__frac", F.col("__t.end").alias("__end"),
                       (F.col("__m0") + F.col("__t.rank") - F.col("__off")).alias("__mid")))
-    picked = join_small(ranked.select("__pid", "__mid", "__v"), wanted, ["__pid", "__mid"], "inner")
+    # ungrouped: exactly 1–2 rows per prob, a proven bound; grouped: counted
+    bound = 2 * len(probs) if not groups else None
+    picked = join_small(ranked.select("__pid", "__mid", "__v"), wanted, ["__pid", "__mid"], "inner", known_rows=bound)
     return picked.groupBy(*groups, "p").agg(
         F.max(F.when(F.col("__end") == "lo", F.col("__v"))).alias("__vlo"),
         F.max(F.when(F.col("__end") == "hi", F.col("__v"))).alias("__vhi"),

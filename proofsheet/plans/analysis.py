@@ -144,6 +144,16 @@ def analyze(df: DataFrame, mapping: dict[str, str] | None = None, mode: str = "r
     chart_df = charts[0]
     for c in charts[1:]:
         chart_df = chart_df.unionByName(c)
+    # Chart order follows the plan's strategy, then the build order
+    strategy_ids = {"trend": "time-line", "category_comparison": "category-bar", "share": "category-donut",
+                    "distribution": "distribution"}
+    desired = [strategy_ids[x] for x in plan.chart_strategy if x in strategy_ids]
+    built = ["category-bar", "category-donut", "time-line", "distribution", "quality-overview"]
+    rank = {cid: (desired.index(cid) if cid in desired else len(desired) + built.index(cid)) for cid in built}
+    order_expr = F.lit(99)
+    for cid, r in rank.items():
+        order_expr = F.when(F.col("chart_id") == cid, F.lit(r)).otherwise(order_expr)
+    chart_df = chart_df.withColumn("chart_order", order_expr)
     kpi_df = spark.createDataFrame([(k.id, k.label, k.key, k.format, k.operation) for k in kpis],
                                    "id string, label string, result_ref string, format string, operation string")
     prio = (F.when(F.col("key").startswith("rows."), 0).when(F.col("key").startswith("quality."), 1)

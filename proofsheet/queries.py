@@ -836,7 +836,7 @@ def q_fallback_chart(spark, sf):
     from proofsheet.plans.analysis import analyze
     r = T(spark, sf, "region")
     res = analyze(r, {"r_regionkey": "identifier", "r_name": "dimension"}, source_row="r_regionkey")
-    return res.charts
+    return res.charts.drop("chart_order")
 
 
 @register("kpi_fallback", f"""
