@@ -128,3 +128,29 @@ def exact_quantiles(df: DataFrame, value: Column | str, probs: list[float],
         F.max(F.when(F.col("__end") == "hi", F.col("__v"))).alias("__vhi"),
         F.max("__frac").alias("__frac"),
     ).select(*groups, "p", (F.col("__vlo") + (F.col("__vhi") - F.col("__vlo")) * F.col("__frac")).alias("q"))
+
+
+def with_file_row_index(df: DataFrame, file_col: str = "__source_file", name: str = "__source_row",
+                        start: int = 2) -> DataFrame:
+    """W1 for a multi-file scan: the row number *within each file*.
+
+    Spark may pack several small files into one partition or split a large
+    file over several; rows of one file stay contiguous inside a partition
+    and its splits come in partition order.  A segment table of
+    (#files × #partitions) rows holds each segment's offset within its file.
+    """
+    from proofsheet.session import cut_lineage
+
+    tagged = cut_lineage(
+        df.withColumn("__pid", F.spark_partition_id())
+          .withColumn("__seq", F.monotonically_increasing_id()
+                      - F.shiftleft(F.spark_partition_id().cast("long"), _SEQ_BITS))
+    )
+    seg = tagged.groupBy(col(file_col).alias("__f"), "__pid").agg(
+        F.count(F.lit(1)).alias("__n"), F.min("__seq").alias("__s0"))
+    before = Window.partitionBy("__f").orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    seg = seg.withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    seg = seg.withColumnRenamed("__f", file_col)
+    numbered = join_small(tagged, seg, [file_col, "__pid"], "inner")
+    return numbered.withColumn(name, (F.col("__off") + F.col("__seq") - F.col("__s0") + F.lit(start)).cast("long")) \
+        .drop("__pid", "__seq", "__s0", "__off")

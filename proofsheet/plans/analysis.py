@@ -18,7 +18,7 @@ from proofsheet.operators import insights as I
 from proofsheet.operators import metrics as M
 from proofsheet.operators import quality as Q
 from proofsheet.operators.clean import CleanResult, clean_dataset
-from proofsheet.operators.positions import with_row_index
+from proofsheet.operators.positions import with_file_row_index, with_row_index
 from proofsheet.operators.profile import ColumnProfile, infer_columns, profile_frame
 from proofsheet.operators.verify import missing_refs
 
@@ -75,7 +75,7 @@ def analyze(df: DataFrame, mapping: dict[str, str] | None = None, mode: str = "r
     if source_row:
         df = df.withColumn("__source_row", col(source_row).cast("long"))
     elif "__source_row" not in df.columns:
-        df = with_row_index(df, "__source_row", 2)
+        df = (with_file_row_index(df) if "__source_file" in df.columns else with_row_index(df, "__source_row", 2))
     profiles = infer_columns(df, mapping)
     cleaned = clean_dataset(df, profiles, mode, overrides, deleted_rows, quantiles=quantiles)
     work, prof = cleaned.cleaned, cleaned.profiles

@@ -47,3 +47,26 @@ def test_too_many_fields_rejected(spark):
     _write(d, "long.csv", b"a,b\n1,2\n3,4,5\n")
     with pytest.raises(ValueError):
         read_delimited(spark, d)
+
+
+def test_row_numbers_within_each_file(spark):
+    from proofsheet.operators.positions import with_file_row_index
+    d = tempfile.mkdtemp(prefix="ps-csv-")
+    _write(d, "a.csv", b"k,v\na,1\nb,2\nc,3\n")
+    _write(d, "b.csv", b"k,v\nx,9\ny,8\n")
+    df = with_file_row_index(read_delimited(spark, d))
+    got = sorted((r["__source_file"].rsplit("/", 1)[-1], r["k"], r["__source_row"]) for r in df.collect())
+    assert got == [("a.csv", "a", 2), ("a.csv", "b", 3), ("a.csv", "c", 4), ("b.csv", "x", 2), ("b.csv", "y", 3)]
+
+
+def test_analyze_a_csv_folder(spark):
+    from proofsheet.plans.analysis import analyze
+    d = tempfile.mkdtemp(prefix="ps-csv-")
+    _write(d, "sales.csv", "Product ID,Category,Unit Price (USD),Quantity Sold,Total Sales (USD)\n"
+           "1001,Electronics,\"$1,200.00\",12,\"$14,400.00\"\n1002,Electronics,$950.00,8,\"$7,600.00\"\n"
+           "Total Summary,,\"$1,075.00 (Avg)\",20,\"$22,000.00\"\n".encode("utf-8"))
+    res = analyze(read_delimited(spark, d))
+    keys = {r["key"]: r["value"] for r in res.results.collect()}
+    assert keys["rows.total"] == 2.0 and keys["sum.Total Sales (USD)"] == 22000.0
+    assert res.currency == "USD"
+    assert [r.source_row for r in res.clean.removed_rows.collect()] == [4]
