@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from proofsheet.functions.expr import col
 
 BROADCAST_ROW_LIMIT = 2_000_000
+PERCENTILE_MAP_LIMIT = 2_000_000  # values one task may hold for an exact percentile
 _SEQ_BITS = 33  # monotonically_increasing_id = partition id << 33 | position
 
 
@@ -89,6 +90,13 @@ def exact_quantiles(df: DataFrame, value: Column | str, probs: list[float],
     vals = df.select(*gcols, v.cast("double").alias("__v")) \
         .where(F.col("__v").isNotNull() & ~F.isnan("__v"))
     spark = df.sparkSession
+    # Size-checked strategy, like a broadcast: Spark's exact ``percentile``
+    # keeps a value→count map per group in one task, which is safe for a
+    # checked number of values; beyond it, the range-partitioned ranks below.
+    if vals.count() <= PERCENTILE_MAP_LIMIT:
+        arr = vals.groupBy(*gcols).agg(F.percentile("__v", [float(p) for p in probs]).alias("__qs"))
+        return arr.select(*groups, F.posexplode("__qs").alias("__i", "q")) \
+            .select(*groups, F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("__i") + 1).alias("p"), "q")
     nparts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # A salt after the value lets range bounds split a value that holds a
     # large share of rows; equal values are interchangeable for ranking.

@@ -17,7 +17,14 @@ def _skewed(spark, n=30_000):
     return spark.createDataFrame(rows, "id long, k string, v double").repartition(8), vals, keys
 
 
-def test_quantiles_with_a_hot_value(spark):
+import pytest
+
+from proofsheet.operators import positions
+
+
+@pytest.mark.parametrize("limit", [0, 10_000_000])  # range-partitioned ranks, then the checked map path
+def test_quantiles_with_a_hot_value(spark, monkeypatch, limit):
+    monkeypatch.setattr(positions, "PERCENTILE_MAP_LIMIT", limit)
     df, vals, keys = _skewed(spark)
     got = {r["p"]: r["q"] for r in exact_quantiles(df, "v", [0.1, 0.25, 0.5, 0.75, 0.9]).collect()}
     for p, q in got.items():
