@@ -479,7 +479,10 @@ def clean_dataset(df: DataFrame, profiles: list[ColumnProfile], mode: str = "rec
             if strategy != "retained":
                 work = work.withColumn(name, F.coalesce(c, F.lit(value).cast(work.schema[name].dataType)))
     changed = bool(flags) or bool(fills)
-    if changed:
+    # Sequential ids (window + join) and manual overrides (join) are worth a
+    # lineage cut; constant fills and derived arithmetic are projections over
+    # the de-duplicated checkpoint and stay lazy.
+    if any(strategy in ("sequential", "manual") for *_, strategy in flags):
         work = cut_lineage(work)
     # audit actions (long, lazy)
     parts = []
@@ -505,11 +508,16 @@ def clean_dataset(df: DataFrame, profiles: list[ColumnProfile], mode: str = "rec
     for part in parts:
         actions = actions.unionByName(part)
     cleaned = work.select(col(src), *[col(c) for c in kept_cols])
-    if changed:
+    if flags:
         agg = cleaned.agg(F.count(F.lit(1)).alias("output_rows"),
                           *[F.count_if(col(c).isNull()).alias(f"r{i}") for i, c in enumerate(kept_cols)]).collect()[0]
         act = actions.groupBy("strategy").count().collect()
         imputed = sum(r["count"] for r in act if r["strategy"] != "retained")
+    elif changed:  # only fills: counts follow from the snapshot taken before them
+        filled = {name: strategy != "retained" for name, strategy, _ in fills}
+        agg = {"output_rows": int(stats["input_rows"]) - int(stats["excluded_summary_rows"]) - int(stats["__dups"]),
+               **{f"r{i}": (0 if filled.get(c) else int(now_missing.get(c, 0))) for i, c in enumerate(kept_cols)}}
+        imputed = sum(int(now_missing.get(name, 0)) for name, strategy, _ in fills if strategy != "retained")
     else:  # nothing was repaired: the snapshot already holds the answer
         agg = {"output_rows": int(stats["input_rows"]) - int(stats["excluded_summary_rows"]) - int(stats["__dups"]),
                **{f"r{i}": int(before_map.get(c, 0)) for i, c in enumerate(kept_cols)}}
