@@ -75,7 +75,8 @@ def dense_position(df: DataFrame, order_col: str, name: str = "__position",
 
 
 def exact_quantiles(df: DataFrame, value: Column | str, probs: list[float],
-                    groups: list[str] | None = None, partitions: int | None = None) -> DataFrame:
+                    groups: list[str] | None = None, partitions: int | None = None,
+                    size_hint: int | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles of ``value`` (nulls/NaN ignored).
 
     Returns ``groups…, p DOUBLE, q DOUBLE`` — one row per (group, prob) for
@@ -93,7 +94,8 @@ def exact_quantiles(df: DataFrame, value: Column | str, probs: list[float],
     # Size-checked strategy, like a broadcast: Spark's exact ``percentile``
     # keeps a value→count map per group in one task, which is safe for a
     # checked number of values; beyond it, the range-partitioned ranks below.
-    if vals.count() <= PERCENTILE_MAP_LIMIT:
+    # ``size_hint``: a proven upper bound on the number of values (saves a count)
+    if (size_hint if size_hint is not None else vals.count()) <= PERCENTILE_MAP_LIMIT:
         arr = vals.groupBy(*gcols).agg(F.percentile("__v", [float(p) for p in probs]).alias("__qs"))
         return arr.select(*groups, F.posexplode("__qs").alias("__i", "q")) \
             .select(*groups, F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("__i") + 1).alias("p"), "q")

@@ -37,7 +37,8 @@ def measure_values(df: DataFrame, measures: list[str]) -> DataFrame:
 
 
 def iqr_outliers(df: DataFrame, value: str, groups: list[str] | None = None,
-                 quantiles: str = "exact") -> DataFrame:
+                 quantiles: str = "exact", max_groups: int | None = None,
+                 max_values: int | None = None) -> DataFrame:
     """Per group, n ≥ 4 and IQR > 0 → count of values outside
     ``[q1 − 1.5·IQR, q3 + 1.5·IQR]`` (linear-interpolated quartiles)."""
     groups = list(groups or [])
@@ -47,7 +48,7 @@ def iqr_outliers(df: DataFrame, value: str, groups: list[str] | None = None,
                                           F.count(F.lit(1)).alias("n")) \
             .select(*groups, "n", F.col("qs")[0].alias("q1"), F.col("qs")[1].alias("q3"))
     else:
-        qs = exact_quantiles(vals, "__v", [0.25, 0.75], groups)
+        qs = exact_quantiles(vals, "__v", [0.25, 0.75], groups, size_hint=max_values)
         counts = vals.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"))
         fences = qs.groupBy(*groups).agg(F.max(F.when(F.col("p") == 0.25, F.col("q"))).alias("q1"),
                                          F.max(F.when(F.col("p") == 0.75, F.col("q"))).alias("q3"))
@@ -57,7 +58,7 @@ def iqr_outliers(df: DataFrame, value: str, groups: list[str] | None = None,
         .withColumn("hi", F.col("q3") + V.OUTLIER_IQR_FACTOR * F.col("iqr"))
     active = fences.where((F.col("n") >= 4) & (F.col("iqr") > 0))
     if groups:
-        flagged = join_small(vals, active.select(*groups, "lo", "hi"), groups, "inner")
+        flagged = join_small(vals, active.select(*groups, "lo", "hi"), groups, "inner", known_rows=max_groups)
     else:
         r = active.select("lo", "hi").collect()
         if not r:
@@ -95,15 +96,17 @@ def quality_report(df: DataFrame, profiles: list[ColumnProfile], quantiles: str
     total = lambda xs: sum(xs[1:], xs[0]) if xs else F.lit(0)
     aggs += [total(miss).cast("long").alias("missing_cells"), total(invalid).cast("long").alias("invalid_values"),
              total(formula).cast("long").alias("formula_like_cells")]
-    base = df.agg(*aggs)
-    dups = duplicate_row_count(df, cols)
+    base = df.agg(*aggs).collect()[0].asDict()           # one row of scalars
+    dups = duplicate_row_count(df, cols).collect()[0].asDict()
     measures = [c for c in cols if roles.get(c) == "measure"]
+    outl = {"outlier_count": 0}
     if measures:
-        out = iqr_outliers(measure_values(df, measures), "value", ["measure"], quantiles)
-        outl = out.agg(F.coalesce(F.sum("outliers"), F.lit(0)).cast("long").alias("outlier_count"))
-    else:
-        outl = df.sparkSession.createDataFrame([(0,)], "outlier_count long")
-    one = _one_row(base, dups, outl)
+        out = iqr_outliers(measure_values(df, measures), "value", ["measure"], quantiles,
+                           max_groups=len(measures), max_values=base["row_count"] * len(measures))
+        outl = out.agg(F.coalesce(F.sum("outliers"), F.lit(0)).cast("long").alias("outlier_count")).collect()[0].asDict()
+    one = df.sparkSession.createDataFrame([{**base, **dups, **outl}],
+                                          "row_count long, missing_cells long, invalid_values long, "
+                                          "formula_like_cells long, duplicate_rows long, outlier_count long")
     ncols = len(cols)
     cells = F.greatest(F.col("row_count") * F.lit(ncols), F.lit(1))
     rate = F.col("missing_cells") / cells
@@ -120,17 +123,6 @@ def quality_report(df: DataFrame, profiles: list[ColumnProfile], quantiles: str
     )
 
 
-def _one_row(*frames: DataFrame) -> DataFrame:
-    """Combine one-row aggregates column-wise: each is collected (one row of
-    scalars) and re-emitted as literals on the first."""
-    first, rest = frames[0], frames[1:]
-    for f in rest:
-        r = f.collect()[0].asDict()
-        for k, v in r.items():
-            first = first.withColumn(k, F.lit(v))
-    return first
-
-
 def quality_notes(report: DataFrame) -> DataFrame:
     """One note per non-zero counter (or a single all-clear note)."""
     notes = F.array(
