@@ -49,7 +49,7 @@ def _is_null(c, dt):
     return c.isNull()
 
 
-EXACT_DISTINCT_BELOW = 100_000   # exact counting is cheap below this many distinct values
+EXACT_DISTINCT_BELOW = 10_000    # exact counting is cheap below this many distinct values
 THRESHOLD_BAND = 0.15            # …and needed when HLL (rsd 0.05) lands within 3σ of the role threshold
 
 

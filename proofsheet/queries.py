@@ -69,7 +69,7 @@ union all select 4, 'o_orderdate', rows, n4, rows - n4, null, d4 from s
 union all select 5, 'o_orderpriority', rows, n5, rows - n5, k5, d5 from s
 """)
 def q_profile_orders(spark, sf):
-    return P.column_stats(T(spark, sf, "orders")).drop("unique_exact")
+    return P.column_stats(T(spark, sf, "orders"), distinct="exact").drop("unique_exact")
 
 
 # --------------------------------------------------------------- KPIs
