@@ -66,6 +66,10 @@ def column_stats(df: DataFrame, columns: list[str] | None = None, distinct: str
     """
     columns = columns or [c for c in df.columns if not c.startswith("__")]
     fields = {f.name: f.dataType for f in df.schema.fields}
+    # the wide aggregate and the cell explode are row-wise CPU work: give them
+    # every core when the scan is under-partitioned (no-op for large scans)
+    from proofsheet.sources.tables import spread
+    df = spread(df.select(*[col(c) for c in columns]))
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, name in enumerate(columns):
         c, dt = col(name), fields[name]
