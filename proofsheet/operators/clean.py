@@ -362,8 +362,11 @@ def apply_overrides(df: DataFrame, profiles: list[ColumnProfile], overrides: Dat
     ov = overrides.select(F.col("column").cast("string").alias("column"), F.col("source_row").cast("long").alias("source_row"),
                           F.col("value").cast("string").alias("value"))
     nulls = F.create_map(*[x for c in cols for x in (F.lit(c), col(c).isNull())])
-    cells = df.select(col(src).alias("source_row"), nulls.alias("__nulls"))
-    j = join_small(cells, ov, "source_row", "right")
+    # keep only the rows an override names (broadcast semi-join: the big side
+    # is filtered in place, never shuffled), then join small to small
+    wanted = ov.select("source_row").distinct()
+    cells = join_small(df.select(col(src).alias("source_row"), nulls.alias("__nulls")), wanted, "source_row", "left_semi")
+    j = ov.join(cells, "source_row", "left")
     role = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(roles.get(c, "unknown")))])
     typed_num = parse_numeric(F.col("value"), T.StringType())
     typed_date = parse_date(F.col("value"), T.StringType())
