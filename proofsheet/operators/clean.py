@@ -106,14 +106,12 @@ def summary_row_predicate(df: DataFrame, profiles: list[ColumnProfile]) -> Colum
     pattern = "(?iU)" + V.SUMMARY_LABEL_PATTERN
     from_first = col(first).isNotNull() & label_of(first).rlike(pattern)
     desc_missing_0 = any_of([col(c).isNull() for c in descriptors if c != first])
-    cond0 = from_first & desc_missing_0
     has_measure = any_of([col(c).isNotNull() for c in measures])
     pred = from_first & (desc_missing_0 | has_measure)
     if second is not None:
         from_second = col(first).isNull() & col(second).isNotNull() & label_of(second).rlike(pattern)
         desc_missing_1 = any_of([col(c).isNull() for c in descriptors if c != second])
         pred = pred | (from_second & (desc_missing_1 | has_measure))
-    del cond0
     return F.coalesce(pred, F.lit(False))
 
 
@@ -152,7 +150,6 @@ def coerce_columns(df: DataFrame, profiles: list[ColumnProfile], original_order:
     counter is computed before its column is replaced."""
     present = set(df.columns)
     fields = {f.name: f.dataType for f in df.schema.fields}
-    roles = {p.name: p.semantic_role for p in profiles}
     string_measures = [p.name for p in profiles if p.semantic_role == "measure" and p.name in present
                        and isinstance(fields[p.name], T.StringType)]
     out = df
@@ -204,7 +201,6 @@ def coerce_columns(df: DataFrame, profiles: list[ColumnProfile], original_order:
             counters["__dinv"].append(f"__dinv{k}")
             out = out.withColumn(name, F.col("__dx")).drop("__dx")
             typed_dates.add(name)
-    del roles
     for key, parts in counters.items():
         total = sum((F.col(x) for x in parts[1:]), F.col(parts[0])) if parts else F.lit(0)
         out = out.withColumn(key, total.cast("int"))
@@ -434,7 +430,6 @@ def clean_dataset(df: DataFrame, profiles: list[ColumnProfile], mode: str = "rec
         F.coalesce(F.sum(F.when(~F.col("__summary"), F.col("__dups"))), F.lit(0)).alias("__dups"),
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in carry + pres],
     ).collect()[0]
-    one = conv = stats
     empty = [c for i, c in enumerate(original) if stats[pres[i]] == 0]
     kept_cols = [c for c in original if c not in empty]
     kept_groups = dedup.where(~F.col("__summary"))
@@ -526,9 +521,9 @@ def clean_dataset(df: DataFrame, profiles: list[ColumnProfile], mode: str = "rec
                **{f"r{i}": int(before_map.get(c, 0)) for i, c in enumerate(kept_cols)}}
         imputed = 0
     counters = spark.createDataFrame([(
-        int(one["input_rows"]), int(agg["output_rows"]), int(one["excluded_summary_rows"]), int(conv["__dups"]),
-        int(conv["__nconv"]), int(conv["__dconv"]), int(one["normalized_text_cells"] or 0), int(conv["__ninv"]),
-        int(conv["__dinv"]), len(empty), int(conv["__formula"]), mode, int(sum(before_map.values())),
+        int(stats["input_rows"]), int(agg["output_rows"]), int(stats["excluded_summary_rows"]), int(stats["__dups"]),
+        int(stats["__nconv"]), int(stats["__dconv"]), int(stats["normalized_text_cells"] or 0), int(stats["__ninv"]),
+        int(stats["__dinv"]), len(empty), int(stats["__formula"]), mode, int(sum(before_map.values())),
         int(sum(1 for v in before_map.values() if v)), int(imputed),
         int(sum(agg[f"r{i}"] for i in range(len(kept_cols)))),
     )], "input_rows long, output_rows long, excluded_summary_rows long, removed_duplicate_rows long, "
