@@ -980,3 +980,27 @@ select count(*) as rows, {dsum('o_totalprice')} as total from orders where cast(
 def q_cross_filter(spark, sf):
     o = X.cross_filter(T(spark, sf, "orders"), "o_orderpriority", "1-URGENT")
     return o.agg(F.count(F.lit(1)).alias("rows"), M.exact_sum(F.col("o_totalprice")).alias("total"))
+
+
+@register("question_average", f"""
+select coalesce({davg('revenue')}, 0) as value, count(revenue) as rows from {SALES_SQL} s where year = 2000 and brand = 'Brand#8'
+""")
+def q_question_average(spark, sf):
+    return ask(spark, sf, "What is the average revenue of Brand#8 2000?")[2]
+
+
+@register("question_maximum", f"""
+select coalesce(max(revenue), 0) as value, count(revenue) as rows from {SALES_SQL} s where brand = 'Brand#9'
+""")
+def q_question_maximum(spark, sf):
+    # the measure is chosen by the revenue/e-commerce/percent score, not by naming a column
+    return ask(spark, sf, "maximum revenue of Brand#9")[2]
+
+
+@register("question_minimum_by_quarter", f"""
+select row_number() over (order by value desc, label) - 1 as ordinal, label, value, rows from (
+  select quarter as label, coalesce(min(revenue), 0) as value, count(revenue) as rows from {SALES_SQL} s
+  group by 1 order by value desc, label limit 10)
+""")
+def q_question_minimum(spark, sf):
+    return ask(spark, sf, "Compare minimum revenue by quarter")[2]
