@@ -49,6 +49,7 @@ def _is_null(c, dt):
     return c.isNull()
 
 
+CHUNK = 50                       # columns per profiling aggregate
 EXACT_DISTINCT_BELOW = 10_000    # exact counting is cheap below this many distinct values
 THRESHOLD_BAND = 0.15            # …and needed when HLL (rsd 0.05) lands within 3σ of the role threshold
 
@@ -70,7 +71,7 @@ def column_stats(df: DataFrame, columns: list[str] | None = None, distinct: str
     # every core when the scan is under-partitioned (no-op for large scans)
     from proofsheet.sources.tables import spread
     df = spread(df.select(*[col(c) for c in columns]))
-    aggs = [F.count(F.lit(1)).alias("rows")]
+    aggs = []
     for i, name in enumerate(columns):
         c, dt = col(name), fields[name]
         aggs.append(F.sum(F.when(_is_null(c, dt), 1).otherwise(0)).cast("long").alias(f"n{i}"))
@@ -81,7 +82,14 @@ def column_stats(df: DataFrame, columns: list[str] | None = None, distinct: str
             aggs.append(F.lit(None).cast("long").alias(f"k{i}"))
         if distinct != "exact":
             aggs.append(F.approx_count_distinct(F.when(~_is_null(c, dt), c), 0.05).cast("long").alias(f"d{i}"))
-    wide = df.agg(*aggs).collect()[0]  # one row of per-column scalars
+    # Batches of CHUNK columns keep each generated aggregate small enough for
+    # the JIT; on a columnar source every batch reads only its own columns.
+    per_col = len(aggs) // max(len(columns), 1)
+    wide: dict = {}
+    for start in range(0, len(columns), CHUNK):
+        part = aggs[start * per_col:(start + CHUNK) * per_col]
+        first = [F.count(F.lit(1)).alias("rows")] if start == 0 else []
+        wide.update(df.agg(*first, *part).collect()[0].asDict())  # one row of per-column scalars
     rows = int(wide["rows"])
     threshold = max(V.CATEGORY_DISTINCT_FLOOR, rows * V.CATEGORY_DISTINCT_SHARE)
     if distinct == "exact":
