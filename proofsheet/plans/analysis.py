@@ -66,6 +66,8 @@ class AnalysisResult:
     integrity: DataFrame
     currency: str
     plan: AnalysisPlan
+    notes: DataFrame | None = None      # audit summary first, then the quality notes
+    warnings: DataFrame | None = None   # the notes again when the score is below 90
 
 
 def analyze(df: DataFrame, mapping: dict[str, str] | None = None, mode: str = "recommended",
@@ -78,7 +80,10 @@ def analyze(df: DataFrame, mapping: dict[str, str] | None = None, mode: str = "r
         df = (with_file_row_index(df) if "__source_file" in df.columns else with_row_index(df, "__source_row", 2))
     profiles = infer_columns(df, mapping)
     cleaned = clean_dataset(df, profiles, mode, overrides, deleted_rows, quantiles=quantiles)
-    work, prof = cleaned.cleaned, cleaned.profiles
+    work = cleaned.cleaned
+    # roles are re-inferred on the typed working copy (a text date column is
+    # now a timestamp, parsed money is now a number); mapped roles persist
+    prof = infer_columns(work, mapping)
     quality = Q.quality_report(work, prof, quantiles)
     plan = normalize_plan(plan, prof) if plan else default_plan(prof)
     measures = N.ordered_names([p.name for p in prof if p.semantic_role == "measure"], plan.measures)
@@ -174,5 +179,8 @@ def analyze(df: DataFrame, mapping: dict[str, str] | None = None, mode: str = "r
                                            for f in work.schema.fields if not f.name.startswith("__")])
     integrity = missing_refs(insights.select("result_refs"), results).unionByName(
         missing_refs(kpi_df.select(F.col("result_ref").alias("ref")), results))
-    return AnalysisResult(profile_frame(spark, profiles), cleaned, quality, results, kpi_df, chart_df, insights,
-                          filters, table, integrity, N.currency_code(measures), plan)
+    summary = cleaned.summary().select(F.lit(-1).alias("ordinal"), F.col("summary").alias("note"))
+    notes = summary.unionByName(Q.quality_notes(quality)).orderBy("ordinal")
+    warnings = notes if qrow["score"] < V.DASHBOARD_WARNING_SCORE else notes.where(F.lit(False))
+    return AnalysisResult(profile_frame(spark, prof), cleaned, quality, results, kpi_df, chart_df, insights,
+                          filters, table, integrity, N.currency_code(measures), plan, notes, warnings)

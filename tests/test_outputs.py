@@ -30,3 +30,5 @@ def test_analysis_sinks_charts_and_fallback(spark):
     assert "Completeness" in ans
     assert I.fallback_answer("xyz", res.insights, "summary").collect()[0]["answer"] == "summary"
     assert res.integrity.count() == 0
+    notes = [r["note"] for r in res.notes.collect()]
+    assert notes[0].startswith("The working copy") and res.warnings.count() == 0
