@@ -20,11 +20,11 @@ def test_bom_csv_and_semicolon(spark):
     assert df.columns[:3] == ["الشركة", "الإيرادات", "الربح"]
     assert sorted(r["الإيرادات"] for r in df.collect()) == ["1000", "900"]
     d2 = tempfile.mkdtemp(prefix="ps-csv-")
-    _write(d2, "b.csv", b"a;b;;a\n1;2;3;4\n5;  ;7\n")
+    _write(d2, "b.csv", b"a;b;;a; \n1;2;3;4;x\n5;  ;7;;\n")
     df2 = read_delimited(spark, d2)
-    assert df2.columns[:4] == ["a", "b", "عامود_3", "a.1"]
-    rows = sorted(tuple(r)[:4] for r in df2.collect())
-    assert rows == [("1", "2", "3", "4"), ("5", None, "7", None)]
+    assert df2.columns[:5] == ["a", "b", "Unnamed: 2", "a.1", "عامود_5"]
+    rows = sorted(tuple(r)[:5] for r in df2.collect())
+    assert rows == [("1", "2", "3", "4", "x"), ("5", None, "7", None, None)]
 
 
 def test_binary_and_cp1256(spark):
