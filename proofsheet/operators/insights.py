@@ -123,7 +123,8 @@ def complete_insights(readings: DataFrame, limit: int = V.MAX_INSIGHTS) -> DataF
     titled = readings.select(
         "priority", "key",
         F.concat(F.initcap(F.regexp_replace(F.col("key"), r"[._]", " "))).alias("title"),
-        F.format_string("%s recorded %s.", F.col("key"), F.col("value").cast("string")).alias("text"),
+        F.format_string("%s recorded %s.", F.col("key"),
+                        F.regexp_replace(F.format_string("%.2f", F.col("value")), r"\.00$", "")).alias("text"),
     )
     first = Window.partitionBy("title").orderBy("priority", "key")
     uniq = titled.withColumn("__r", F.row_number().over(first)).where("__r = 1").drop("__r")

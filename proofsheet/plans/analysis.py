@@ -20,7 +20,7 @@ from proofsheet.operators import quality as Q
 from proofsheet.operators.clean import CleanResult, clean_dataset
 from proofsheet.operators.positions import with_file_row_index, with_row_index
 from proofsheet.operators.profile import ColumnProfile, infer_columns, profile_frame
-from proofsheet.operators.verify import missing_refs
+from proofsheet.operators.verify import missing_refs, unproven_numbers
 
 
 @dataclass
@@ -178,7 +178,8 @@ def analyze(df: DataFrame, mapping: dict[str, str] | None = None, mode: str = "r
     table = work.select("__source_row", *[day_label(col(f.name)).alias(f.name) if is_temporal_type(f.dataType) else col(f.name)
                                            for f in work.schema.fields if not f.name.startswith("__")])
     integrity = missing_refs(insights.select("result_refs"), results).unionByName(
-        missing_refs(kpi_df.select(F.col("result_ref").alias("ref")), results))
+        missing_refs(kpi_df.select(F.col("result_ref").alias("ref")), results)).unionByName(
+        unproven_numbers(insights, results).select(F.concat(F.lit("number:"), F.col("raw")).alias("ref")))
     summary = cleaned.summary().select(F.lit(-1).alias("ordinal"), F.col("summary").alias("note"))
     notes = summary.unionByName(Q.quality_notes(quality)).orderBy("ordinal")
     warnings = notes if qrow["score"] < V.DASHBOARD_WARNING_SCORE else notes.where(F.lit(False))
