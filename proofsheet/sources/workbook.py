@@ -167,6 +167,11 @@ def read_sheet(spark: SparkSession, path: str, sheet: str | None = None, cells:
     names = header_names([by_col.get(i) for i in range(1, width + 1)])
     body = sc.where(F.col("row") > 1)
     wide = body.groupBy(F.col("row").alias("__source_row")).pivot("col", list(range(1, width + 1))).agg(F.first("cell"))
+    # blank rows inside the used range stay as empty rows (a spreadsheet
+    # reader keeps them); the row range is generated by Spark, not listed
+    last = sc.agg(F.max("row")).collect()[0][0]
+    rows = sc.sparkSession.range(2, last + 1).select(F.col("id").alias("__source_row"))
+    wide = rows.join(wide, "__source_row", "left")
     blank = r"(?U)^\s*$"
     return wide.select("__source_row", *[
         F.when(F.col(f"`{i}`").rlike(blank), None).otherwise(F.col(f"`{i}`")).alias(n)

@@ -34,3 +34,11 @@ def test_inventory_and_roles(spark):
 def test_formula_text_kept(spark):
     df = read_sheet(spark, _book(), "صيغ")
     assert df.collect()[0]["الإجمالي"] == "=A2*B2"
+
+
+def test_blank_rows_are_kept(spark):
+    d = tempfile.mkdtemp(prefix="ps-xlsx-")
+    write_xlsx(os.path.join(d, "gaps.xlsx"), [("S", [["a", "b"], [1, 2], [None, None], [3, 4]])])
+    rows = sorted(read_sheet(spark, d, "S").collect(), key=lambda r: r["__source_row"])
+    assert [r["__source_row"] for r in rows] == [2, 3, 4]
+    assert rows[1]["a"] is None and rows[2]["a"] == "3"
