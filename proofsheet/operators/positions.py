@@ -36,20 +36,35 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
     return big.join(small, on, how)
 
 
-def with_row_index(df: DataFrame, name: str = "__source_row", start: int = 2) -> DataFrame:
-    """Number rows ``start, start+1, …`` in scan order.
+def stable_scan(df: DataFrame) -> bool:
+    """True when ``df`` is a deterministic, exchange-free scan: its splits
+    and the row order inside each split are re-planned identically on every
+    execution (and on task retry), so partition ids and positions are stable."""
+    qe = df._jdf.queryExecution()
+    return bool(qe.optimizedPlan().deterministic()) and "Exchange" not in qe.executedPlan().toString()
 
-    The tagged frame is checkpointed (reliable, shared folder) so partition
-    ids and in-partition positions cannot change between the count job and
-    the numbering job, even if executors are lost.
-    """
+
+def _tag(df: DataFrame, checkpoint: bool | None) -> DataFrame:
     from proofsheet.session import cut_lineage
+    tagged = (df.withColumn("__pid", F.spark_partition_id())
+                .withColumn("__seq", F.monotonically_increasing_id()
+                            - F.shiftleft(F.spark_partition_id().cast("long"), _SEQ_BITS)))
+    if checkpoint is None:
+        checkpoint = not stable_scan(df)
+    # otherwise pin partition ids and positions with a reliable checkpoint
+    return cut_lineage(tagged) if checkpoint else tagged
 
-    tagged = cut_lineage(
-        df.withColumn("__pid", F.spark_partition_id())
-          .withColumn("__seq", F.monotonically_increasing_id()
-                      - F.shiftleft(F.spark_partition_id().cast("long"), _SEQ_BITS))
-    )
+
+def with_row_index(df: DataFrame, name: str = "__source_row", start: int = 2,
+                   checkpoint: bool | None = None) -> DataFrame:
+    """Number rows ``start, start+1, …`` in scan order.
+
+    Partition ids and in-partition positions must be the same in the count
+    job and the numbering job (and after executor loss).  A plain file scan
+    guarantees that by itself; any other input is first checkpointed
+    (reliable, shared folder).  ``checkpoint=True/False`` forces the choice.
+    """
+    tagged = _tag(df, checkpoint)
     counts = tagged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
     # one row per input partition: the window runs over a table whose size is
     # the partition count, never the data.
@@ -141,7 +156,7 @@ def exact_quantiles(df: DataFrame, value: Column | str, probs: list[float],
 
 
 def with_file_row_index(df: DataFrame, file_col: str = "__source_file", name: str = "__source_row",
-                        start: int = 2) -> DataFrame:
+                        start: int = 2, checkpoint: bool | None = None) -> DataFrame:
     """W1 for a multi-file scan: the row number *within each file*.
 
     Spark may pack several small files into one partition or split a large
@@ -149,13 +164,7 @@ def with_file_row_index(df: DataFrame, file_col: str = "__source_file", name: st
     and its splits come in partition order.  A segment table of
     (#files × #partitions) rows holds each segment's offset within its file.
     """
-    from proofsheet.session import cut_lineage
-
-    tagged = cut_lineage(
-        df.withColumn("__pid", F.spark_partition_id())
-          .withColumn("__seq", F.monotonically_increasing_id()
-                      - F.shiftleft(F.spark_partition_id().cast("long"), _SEQ_BITS))
-    )
+    tagged = _tag(df, checkpoint)
     seg = tagged.groupBy(col(file_col).alias("__f"), "__pid").agg(
         F.count(F.lit(1)).alias("__n"), F.min("__seq").alias("__s0"))
     before = Window.partitionBy("__f").orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
