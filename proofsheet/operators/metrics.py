@@ -116,16 +116,34 @@ def registry_rows(one_row: DataFrame, entries: list[tuple[str, str, str, list[st
     return one_row.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
 
 
-def kpi_frame(df: DataFrame, measures: list[str]) -> tuple[DataFrame, list[Kpi]]:
-    """A1–A5 in one aggregate: row count + every KPI → registry rows."""
+def kpi_aggs(measures: list[str]) -> tuple[list[Column], list, list[Kpi]]:
+    """A1–A5 as aggregate Columns + their registry entries."""
     kpis = plan_kpis(measures)
     aggs = [F.count(F.lit(1)).cast("double").alias("__rows")]
     entries = [("__rows", "rows.total", "count", [], "count(*)")]
     for i, k in enumerate(kpis):
         aggs.append(aggregate(k.operation, col(k.measure)).alias(f"__k{i}"))
         entries.append((f"__k{i}", k.key, k.operation, [k.measure], f"agg({k.operation}(`{k.measure}`))"))
-    one = df.agg(*aggs)
-    return registry_rows(one, entries), kpis
+    return aggs, entries, kpis
+
+
+def kpi_frame(df: DataFrame, measures: list[str]) -> tuple[DataFrame, list[Kpi]]:
+    """A1–A5 in one aggregate: row count + every KPI → registry rows."""
+    aggs, entries, kpis = kpi_aggs(measures)
+    return registry_rows(df.agg(*aggs), entries), kpis
+
+
+def range_aggs(measure: str) -> list[Column]:
+    """A7 as aggregate Columns (``min_value, avg_value, max_value``)."""
+    c = col(measure)
+    return [F.min(c).cast("double").alias("min_value"), aggregate("average", c).alias("avg_value"),
+            F.max(c).cast("double").alias("max_value")]
+
+
+def one_row(spark, values: dict, names: list[str]) -> DataFrame:
+    """A one-row DataFrame of already-aggregated doubles."""
+    schema = ", ".join(f"`{n}` double" for n in names)
+    return spark.createDataFrame([tuple(None if values[n] is None else float(values[n]) for n in names)], schema)
 
 
 def category_topk(df: DataFrame, dimension: str, measures: list[str], k: int = V.CATEGORY_TOP_K) -> DataFrame:
@@ -183,9 +201,7 @@ def _not_null(names: list[str]) -> Column:
 
 def value_range(df: DataFrame, measure: str) -> DataFrame:
     """``min, avg, max`` of one measure (A31 under a prior filter)."""
-    c = col(measure)
-    return df.agg(F.min(c).cast("double").alias("min_value"), aggregate("average", c).alias("avg_value"),
-                  F.max(c).cast("double").alias("max_value"))
+    return df.agg(*range_aggs(measure))
 
 
 def chart_registry(points: DataFrame, prefix: str, value_cols: list[str], operation: list[str],

@@ -76,8 +76,10 @@ def _attach(fences: DataFrame, counts: DataFrame) -> DataFrame:
     return fences.withColumn("n", F.lit(n[0]["n"] if n else 0))
 
 
-def quality_report(df: DataFrame, profiles: list[ColumnProfile], quantiles: str = "exact") -> DataFrame:
-    """One-row quality report."""
+def quality_aggs(df: DataFrame, profiles: list[ColumnProfile]) -> list:
+    """The global aggregates of the report (row, missing, invalid and
+    formula-like counts) as Columns, so a caller can fold them into one
+    aggregate with other global metrics of the same table."""
     cols = _data_columns(df)
     fields = {f.name: f.dataType for f in df.schema.fields}
     roles = {p.name: p.semantic_role for p in profiles}
@@ -96,7 +98,21 @@ def quality_report(df: DataFrame, profiles: list[ColumnProfile], quantiles: str
     total = lambda xs: sum(xs[1:], xs[0]) if xs else F.lit(0)
     aggs += [total(miss).cast("long").alias("missing_cells"), total(invalid).cast("long").alias("invalid_values"),
              total(formula).cast("long").alias("formula_like_cells")]
-    base = df.agg(*aggs).collect()[0].asDict()           # one row of scalars
+    return aggs
+
+
+QUALITY_BASE = ("row_count", "missing_cells", "invalid_values", "formula_like_cells")
+
+
+def quality_report(df: DataFrame, profiles: list[ColumnProfile], quantiles: str = "exact",
+                   base: dict | None = None) -> DataFrame:
+    """One-row quality report.  ``base``: the values of
+    ``quality_aggs`` when the caller already computed them."""
+    cols = _data_columns(df)
+    roles = {p.name: p.semantic_role for p in profiles}
+    if base is None:
+        base = df.agg(*quality_aggs(df, profiles)).collect()[0].asDict()  # one row of scalars
+    base = {k: base[k] for k in QUALITY_BASE}
     dups = duplicate_row_count(df, cols).collect()[0].asDict()
     measures = [c for c in cols if roles.get(c) == "measure"]
     outl = {"outlier_count": 0}

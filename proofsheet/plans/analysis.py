@@ -84,11 +84,16 @@ def analyze(df: DataFrame, mapping: dict[str, str] | None = None, mode: str = "r
     # roles are re-inferred on the typed working copy (a text date column is
     # now a timestamp, parsed money is now a number); mapped roles persist
     prof = infer_columns(work, mapping)
-    quality = Q.quality_report(work, prof, quantiles)
     plan = normalize_plan(plan, prof) if plan else default_plan(prof)
     measures = N.ordered_names([p.name for p in prof if p.semantic_role == "measure"], plan.measures)
     dims = N.ordered_names([p.name for p in prof if p.semantic_role == "dimension"], plan.dimensions)
     dates = N.ordered_names([p.name for p in prof if p.semantic_role == "date"], plan.dates)
+    # ONE pass over the working copy for every global number: quality
+    # counts, KPIs and the range of the first measure
+    k_aggs, k_entries, kpis = M.kpi_aggs(measures)
+    r_aggs = M.range_aggs(measures[0]) if measures else []
+    glob = work.agg(*Q.quality_aggs(work, prof), *k_aggs, *r_aggs).collect()[0].asDict()
+    quality = Q.quality_report(work, prof, quantiles, base=glob)
 
     qrow = quality.collect()[0]
     spark = df.sparkSession
@@ -101,7 +106,8 @@ def analyze(df: DataFrame, mapping: dict[str, str] | None = None, mode: str = "r
         ("quality.completeness", round((1 - float(qrow["missing_rate"])) * 100, 2), "completeness_rate", [],
          "(1 - missing_rate) * 100"),
     ], M.RESULTS_SCHEMA)
-    kpi_rows, kpis = M.kpi_frame(work, measures)
+    spark_ = df.sparkSession
+    kpi_rows = M.registry_rows(M.one_row(spark_, glob, [e[0] for e in k_entries]), k_entries)
     parts = [kpi_rows, q_results]
     charts = []
     chart_measures = measures[:2]
@@ -129,7 +135,7 @@ def analyze(df: DataFrame, mapping: dict[str, str] | None = None, mode: str = "r
                                 F.col("value_0").alias("value")))
     if measures:
         m0 = measures[0]
-        rng = M.value_range(work, m0)
+        rng = M.one_row(spark_, glob, ["min_value", "avg_value", "max_value"])
         parts.append(M.registry_rows(rng, [("min_value", f"dist.{m0}.min", "min", [m0], "min"),
                                            ("avg_value", f"dist.{m0}.avg", "average", [m0], "avg"),
                                            ("max_value", f"dist.{m0}.max", "max", [m0], "max")]))
