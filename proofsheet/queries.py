@@ -1004,3 +1004,69 @@ select row_number() over (order by value desc, label) - 1 as ordinal, label, val
 """)
 def q_question_minimum(spark, sf):
     return ask(spark, sf, "Compare minimum revenue by quarter")[2]
+
+
+# =============================================================== text tables
+@register("profile_documents", """
+with s as (select count(*) rows, count(*) - count(text) n1, count(*) - count(lang) n2, count(*) - count(source) n3,
+  count(*) - count(n_chars) n4, count(distinct doc_id) d0, count(distinct text) d1, count(distinct lang) d2,
+  count(distinct source) d3, count(distinct n_chars) d4 from documents)
+select 0 as ordinal, 'doc_id' as "column", rows, 0::bigint as null_count, rows as present_count, null::bigint as numeric_count, d0 as unique_count from s
+union all select 1, 'text', rows, n1, rows - n1, 0, d1 from s
+union all select 2, 'lang', rows, n2, rows - n2, 0, d2 from s
+union all select 3, 'source', rows, n3, rows - n3, 0, d3 from s
+union all select 4, 'n_chars', rows, n4, rows - n4, null, d4 from s
+""")
+def q_profile_documents(spark, sf):
+    return P.column_stats(T(spark, sf, "documents"), distinct="exact").drop("unique_exact")
+
+
+CONV_PROFILES = [ColumnProfile("conv_id", "text", "identifier"), ColumnProfile("turn", "number", "measure"),
+                 ColumnProfile("role", "category", "dimension"), ColumnProfile("text", "text", "unknown")]
+
+
+@register("quality_report_conversations", """
+with f as (select quantile_cont(turn, 0.25) q1, quantile_cont(turn, 0.75) q3, count(turn) n from conversations),
+o as (select case when (select n from f) >= 4 and q3 - q1 > 0
+        then count_if(turn < q1 - 1.5 * (q3 - q1) or turn > q3 + 1.5 * (q3 - q1)) else 0 end as outliers from conversations, f group by q1, q3),
+d as (select coalesce(sum(c - 1), 0) as dups from (select count(*) c from conversations group by conv_id, turn, role, text))
+select count(*) as row_count, 4 as column_count, 0 as missing_cells, 0.0 as missing_rate, (select dups from d) as duplicate_rows,
+  0 as invalid_values, (select outliers from o) as outlier_count,
+  count_if(regexp_matches(role, '^[=+\\-@]')) + count_if(regexp_matches(text, '^[=+\\-@]')) as formula_like_cells
+from conversations
+""")
+def q_quality_conversations(spark, sf):
+    rep = Q.quality_report(T(spark, sf, "conversations"), CONV_PROFILES)
+    return rep.select("row_count", "column_count", "missing_cells", "missing_rate", "duplicate_rows",
+                      "invalid_values", "outlier_count", "formula_like_cells")
+
+
+@register("dedupe_conversations", """
+select min(conv_id * 1000 + turn) as source_row, count(*) - 1 as removed from conversations group by role, text
+""")
+def q_dedupe_conversations(spark, sf):
+    c = T(spark, sf, "conversations")
+    df = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("__source_row"), "role", "text")
+    return drop_dup_frame(df)
+
+
+def drop_dup_frame(df):
+    kept = C.drop_duplicates_keep_first(df)
+    return kept.select(F.col("__source_row").alias("source_row"), F.col("__dups").alias("removed"))
+
+
+@register("category_topk_events", f"""
+select row_number() over (order by value_0 desc nulls last, category) - 1 as rank, category, value_0 from (
+  select cast(event_type as varchar) as category, {dsum('value')} as value_0
+  from events where event_type is not null group by 1 order by value_0 desc nulls last, category limit 8)
+""")
+def q_category_topk_events(spark, sf):
+    return M.category_topk(T(spark, sf, "events"), "event_type", ["value"])
+
+
+@register("explore_conversations", f"""
+select role as label, {dsum('turn')} as value from conversations
+where role is not null and trim(role) <> '' and turn is not null group by 1 order by value desc, label limit 10
+""")
+def q_explore_conversations(spark, sf):
+    return X.explore(T(spark, sf, "conversations"), "role", "turn", "bar")
