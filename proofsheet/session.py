@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,17 +38,29 @@ def get_spark(app: str = "proofsheet", cpus: int | str | None = None,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder the cluster names in
-    ``spark.checkpoint.dir``; only when it is unset (local tests) pick a
-    scratch folder of our own."""
+    """The folder reliable checkpoints go to: the one already set on the
+    context, else the one the cluster names in ``spark.checkpoint.dir``.  Only
+    a ``local[*]`` session without either gets a scratch folder; a cluster
+    without a shared folder is an error, never a machine-local path."""
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        spark.sparkContext.setCheckpointDir(configured)
-        return configured
-    local = tempfile.mkdtemp(prefix="proofsheet-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="proofsheet-ckpt-")
+    sc.setCheckpointDir(configured)
+    return sc.getCheckpointDir()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet into the shared checkpoint folder and read
+    back: compressed, survives lost executors, and is computed once."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/saved-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
