@@ -97,7 +97,8 @@ SINGLE = [
     ("proprietary", 2, "written permission", "without (?:the )?(?:prior |express )*written permission", 0.6),
     ("proprietary", 2, "reproduced", "(?:may not|must not|no part .{1,60}? may) be reproduced", 0.7),
     ("proprietary", 2, "not for redistribution", "not for redistribution", 0.7),
-    ("non-commercial", 2, "commercial", "(?:for )?non ?commercial (?:use|purposes?)(?: only)?", 0.7),
+    ("non-commercial", 2, "non commercial", "non commercial (?:use|purposes?)(?: only)?", 0.7),
+    ("non-commercial", 2, "noncommercial", "noncommercial (?:use|purposes?)(?: only)?", 0.7),
     ("non-commercial", 2, "personal use", "for personal use only", 0.6),
     ("as-is", 1, "provided as is", "provided as is", 0.3),
     ("terms", 1, "terms", "terms (?:of (?:use|service)|and conditions)", 0.4),
@@ -115,11 +116,6 @@ class Rule:
     expression: str
     confidence: float
 
-    @property
-    def gate(self) -> str:
-        """The keyword at the start of a word ("commercial" may end "noncommercial")."""
-        return self.keyword if self.keyword == "commercial" else " " + self.keyword
-
     @property
     def pattern(self) -> str:
         """Over text with a space before, between and after its words."""
@@ -160,22 +156,35 @@ LEVELS = sorted({r.priority for r in RULES})
 
 
 def gate_words(rules: list[Rule]) -> list[str]:
-    """Fewest words such that each rule's keyword holds one of them."""
+    """Shortest keywords such that each rule's keyword starts with one of them."""
     words: list[str] = []
-    for r in sorted(rules, key=lambda r: len(r.gate)):
-        if not any(w in r.gate for w in words):
-            words.append(r.gate)
+    for keyword in sorted({r.keyword for r in rules}, key=len):
+        if not any(keyword.startswith(w) for w in words):
+            words.append(keyword)
     return words
 
 
+def gate_pattern(words: list[str]) -> str:
+    """Looks at word starts only, first letter first."""
+    by_letter: dict[str, list[str]] = {}
+    for w in words:
+        by_letter.setdefault(w[0], []).append(w[1:])
+    return "(?= (" + "|".join(f"{letter}(?:{'|'.join(rest)})" for letter, rest in sorted(by_letter.items())) + "))"
+
+
 def detections(padded: Column, rules: list[Rule]) -> Column:
-    """Places of all rules that pass their keyword gate: array of
+    """Places of all rules whose gate word the text has: array of
     (first, last, priority, label, confidence), words from 0."""
+    words = gate_words(rules)
     # one literal, parsed once by the optimizer
-    table = F.from_json(F.lit(json.dumps([{"label": r.label, "priority": r.priority, "keyword": r.gate, "pattern": r.pattern,
-                                           "confidence": r.confidence} for r in rules])),
-                        "array<struct<label:string,priority:int,keyword:string,pattern:string,confidence:double>>")
-    fired = F.filter(table, lambda r: F.contains(padded, r["keyword"]) & F.rlike(padded, r["pattern"]))
+    table = F.from_json(F.lit(json.dumps([
+        {"label": r.label, "priority": r.priority, "gate": next(w for w in words if r.keyword.startswith(w)), "keyword": r.keyword,
+         "pattern": r.pattern, "confidence": r.confidence} for r in rules])),
+        "array<struct<label:string,priority:int,gate:string,keyword:string,pattern:string,confidence:double>>")
+    gates = F.array_distinct(F.regexp_extract_all(padded, F.lit(gate_pattern(words)), F.lit(1)))
+    fired = F.flatten(F.transform(F.array(gates), lambda found: F.filter(
+        table, lambda r: F.array_contains(found, r["gate"]) & F.contains(padded, F.concat(F.lit(" "), r["keyword"]))
+        & F.rlike(padded, r["pattern"]))))
 
     def places(r: Column) -> Column:
         marked = F.split(F.trim(F.regexp_replace(padded, r["pattern"], F.lit(" \u0002$1\u0003"))), " ")
@@ -225,9 +234,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", rules: list[Rule] | None
     padded, base = F.col("__padded"), "|".join(BASE)
     spaced = docs.withColumn("__spaced", spaced_words(F.col(text)))
     work = spaced.withColumns({"n_words": n_spaced(F.col("__spaced")), "__padded": F.concat(F.lit(" "), "__spaced", F.lit(" "))})
-    gate = F.lit(False)
-    for word in gate_words(rules):
-        gate = gate | F.contains(padded, F.lit(word))
+    gate = F.rlike(padded, F.lit(gate_pattern(gate_words(rules))))
     has_base = F.lit(False)
     for phrase in BASE:
         has_base = has_base | F.contains(padded, F.lit(f" {phrase} "))

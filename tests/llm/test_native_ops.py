@@ -128,7 +128,7 @@ def brute_license(text):
         base |= {label} if at else set()
     found = []
     for r in licenses.RULES:
-        if r.gate in padded:
+        if " " + r.keyword in padded:
             for m in re.finditer(r.pattern, padded):
                 first = padded[:m.start()].count(" ")
                 found.append((first, first + m.group().count(" ") - 1, r.priority, r.label, r.confidence))
