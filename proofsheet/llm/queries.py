@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofsheet.llm import decontam, licenses, mixing, sharding
+from proofsheet.llm import decontam, licenses, mixing, sharding, simhash, toxicity
+from proofsheet.llm.text import held_out
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLE: dict[str, str] = {}
@@ -55,6 +56,21 @@ def op3(spark, sf):
     return decontam.decontaminate(docs, table(spark, sf, "benchmark").select("item_id", "text"))
 
 
+@register("op4_toxicity")
+def op4(spark, sf):
+    docs, labels = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels").select("doc_id", "toxic")
+    out = held_out(F.col("doc_id"), 3, 1)
+    weights, bias = toxicity.train(docs, labels, ~out)
+    return toxicity.score(docs, weights, bias).select(
+        "doc_id", out.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+@register("op5_simhash")
+def op5(spark, sf):
+    out = simhash.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
+    return out.select(F.col("id").alias("doc_id"), simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 @register("op7_sharding")
 def op7(spark, sf):
     return sharding.shard_index(table(spark, sf, "documents").select("doc_id", "text"), 16)
