@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofsheet.llm import decontam, licenses, mixing, sharding, simhash, toxicity
+from proofsheet.llm import decontam, licenses, lm, mixing, quality, sharding, simhash, toxicity
 from proofsheet.llm.text import held_out
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+@register("op1_lm_score")
+def op1(spark, sf):
+    return lm.score(table(spark, sf, "documents").select("doc_id", "text"), ~held_out(F.col("doc_id"), 7, 2))
+
+
 @register("op2_license_scan")
 def op2(spark, sf):
     out = licenses.scan_licenses(table(spark, sf, "documents").select("doc_id", "text"))
@@ -98,3 +103,17 @@ def op8(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
     out = mixing.mix(docs, mix_levels(), MIX_WEIGHTS, budget_share=0.8, max_epochs=3, seed=MIX_SEED)
     return out.select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
+
+
+#: Grades from the ratings: poor 0, usable but toxic 1, good 2.
+GRADE = "case when quality = 0 then 0 when quality = 1 and toxic = 1 then 1 when quality = 1 then 2 end"
+GRADE_KEEP, TAIL_KEEP = 1.0, 0.5
+
+
+@register("op10_quality")
+def op10(spark, sf):
+    docs, labels = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels")
+    out = held_out(F.col("doc_id"), 5, 1)
+    model = quality.train(docs, labels, F.expr(GRADE), ~out)
+    return quality.grade(docs, model, GRADE_KEEP).select(
+        "doc_id", out.alias("held_out"), "expected_grade", F.col("tail").alias("tail_probability"), (F.col("tail") >= TAIL_KEEP).alias("kept"))

@@ -180,19 +180,13 @@ def train(docs: DataFrame, labels: DataFrame, in_training: Column, doc_id: str =
 def score(docs: DataFrame, weights: dict[bytes, float], bias: float, text: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with the probability of toxicity of each whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    # the text alone goes through Python, beside the columns that stay
-    src = docs.drop(name).withColumnRenamed(text, "__text").select("__text", *[c for c in docs.drop(name).columns if c != text])
-    fields = [f for f in docs.drop(name).schema.fields if f.name != text]
-    at = docs.drop(name).columns.index(text)
+    rest = docs.drop(name)
+    fields, at = rest.schema.fields, rest.columns.index(text)
 
     def run(batches):
         look, w = Lookup({f: i for i, f in enumerate(shared.value)}), list(shared.value.values())
-        for batch in slices(batches, "__text"):
-            z = np.array([bias + sum(w[i] for i in sorted(look(t))) for t in batch.column(0).to_pylist()])
-            columns = [batch.column(i) for i in range(1, batch.num_columns)]
-            columns.insert(at, batch.column(0))
-            names = [f.name for f in fields]
-            names.insert(at, text)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(sigmoid(z))], [*names, name])
-
-    return src.mapInArrow(run, StructType([*docs.drop(name).schema.fields, StructField(name, DoubleType())]))
+        for batch in slices(batches, fields[at].name):
+            z = np.array([bias + sum(w[i] for i in sorted(look(t))) for t in batch.column(at).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sigmoid(z))], [*batch.schema.names, name])
+
+    return rest.mapInArrow(run, StructType([*fields, StructField(name, DoubleType())]))
