@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofsheet.llm import decontam, licenses, lm, mixing, quality, sharding, simhash, toxicity
+from proofsheet.llm import decontam, licenses, lm, mixing, nndescent, quality, sharding, simhash, toxicity, warc
 from proofsheet.llm.text import held_out
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,6 +76,11 @@ def op5(spark, sf):
     return out.select(F.col("id").alias("doc_id"), simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@register("op6_embedding_dedup")
+def op6(spark, sf):
+    return nndescent.near_duplicates(table(spark, sf, "embeddings").select("vec_id", "embedding", "label"))
+
+
 @register("op7_sharding")
 def op7(spark, sf):
     return sharding.shard_index(table(spark, sf, "documents").select("doc_id", "text"), 16)
@@ -117,3 +122,9 @@ def op10(spark, sf):
     model = quality.train(docs, labels, F.expr(GRADE), ~out)
     return quality.grade(docs, model, GRADE_KEEP).select(
         "doc_id", out.alias("held_out"), "expected_grade", F.col("tail").alias("tail_probability"), (F.col("tail") >= TAIL_KEEP).alias("kept"))
+
+
+@register("op9_warc")
+def op9(spark, sf):
+    out = warc.round_trip(table(spark, sf, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
