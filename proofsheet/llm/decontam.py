@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from proofsheet.llm.text import n_spaced, spaced_words, split_spaced
+from proofsheet.llm.text import n_spaced, row_key, spaced_words, split_spaced, text_hash
 from proofsheet.session import saved
 
 #: Benchmark shingles broadcast at once (8-byte hashes).
@@ -103,7 +103,7 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, window: int = 10, size
         scans += [(shingles, s, step, hashes.where(F.pmod("h", F.lit(blocks)) == b)) for b in range(blocks)]
 
     words = docs.select(F.monotonically_increasing_id().alias("rk"), F.col(doc_id).alias("id"),
-                        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), spaced_words(F.col(text)).alias("spaced"))
+                        text_hash(F.col(text)).alias("text_hash"), spaced_words(F.col(text)).alias("spaced"))
     if len(scans) > 1:
         words = saved(words)  # row numbers have to agree between the scans
     words = words.select("rk", "id", "text_hash", n_spaced(F.col("spaced")).alias("n_words"), split_spaced(F.col("spaced")).alias("words"))
@@ -136,3 +136,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, doc_id: s
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select(F.col("id").alias(doc_id), "n_words", n_hit.alias("n_hit"), F.size(items_col).cast("long").alias("n_items"),
                       F.sha2(F.array_join(items_col, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without those that hold a window of a benchmark item."""
+    rows, hits, _ = contaminated_spans(docs, items, window, doc_id=doc_id, text=text)
+    bad = saved(rows.join(hits.select("rk").distinct(), "rk", "left_semi").select(row_key(F.col("id"), F.col("text_hash")).alias("__key")).distinct())
+    return docs.withColumn("__key", row_key(F.col(doc_id), text_hash(F.col(text)))).join(bad, "__key", "left_anti").drop("__key")

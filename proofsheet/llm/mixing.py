@@ -77,8 +77,9 @@ def budgets(leaves: DataFrame, levels: list[str], weights: list[tuple[dict[str,
 
 
 def mix(docs: DataFrame, levels: dict[str, Column], weights: list[tuple[dict[str, float], float]], budget_share: float,
-        max_epochs: int = 1, seed: int = 17, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the levels, ``n_tokens`` and ``epoch``: one row for each
+        max_epochs: int = 1, seed: int = 17, key: str = "doc_id", text: str = "text",
+        tokens: str = "n_tokens", epoch: str = "epoch") -> DataFrame:
+    """``docs`` with the levels, ``tokens`` and ``epoch``: one row for each
     time that a document is taken.  ``levels`` names the tree's levels from
     the top down; every column of the input stays."""
     names = list(levels)
@@ -121,6 +122,6 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: list[tuple[dict[str
 
     taken = F.when(F.coalesce(order(F.col("__full")) <= F.col("__cut"), F.lit(False)), F.col("__full") + 1).otherwise(F.col("__full"))
     out = (rows.join(plan, inner).withColumn("__times", taken).where("__times > 0")
-           .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("__times") - 1))))
-    return (out.withColumns({n: F.col(i) for n, i in zip(names, inner)} | {"n_tokens": F.col("__tokens")})
+           .withColumn(epoch, F.explode(F.sequence(F.lit(0), F.col("__times") - 1))))
+    return (out.withColumns({n: F.col(i) for n, i in zip(names, inner)} | {tokens: F.col("__tokens")})
             .drop(*inner, "__tokens", "__id", "__full", "__cut", "__times"))

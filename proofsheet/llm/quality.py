@@ -151,10 +151,11 @@ def train(docs: DataFrame, ratings: DataFrame, grade: Column, in_training: Colum
     return OrdinalModel(grades, w, th)
 
 
-def grade(docs: DataFrame, model: OrdinalModel, at_least: float, text: str = "text") -> DataFrame:
-    """``docs`` with ``latent``, ``expected_grade`` and ``tail``, the probability
-    of a grade of ``at_least`` or more."""
-    new = ["latent", "expected_grade", "tail"]
+def grade(docs: DataFrame, model: OrdinalModel, at_least: float, text: str = "text",
+          names: tuple[str, str, str] = ("latent", "expected_grade", "tail")) -> DataFrame:
+    """``docs`` with the latent quality, the expected grade, and the probability
+    of a grade of ``at_least`` or more, under ``names``."""
+    new = list(names)
     rest = docs.drop(*new)
     fields = [f for f in rest.schema.fields]
     at = rest.columns.index(text)

@@ -128,3 +128,9 @@ def op10(spark, sf):
 def op9(spark, sf):
     out = warc.round_trip(table(spark, sf, "pages").select("page_id", "url", "html"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@register("pipeline")
+def pipeline(spark, sf):
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf)

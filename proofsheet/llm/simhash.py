@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proofsheet.llm.graph import connected_components
-from proofsheet.llm.text import slices, token_bytes
+from proofsheet.llm.text import row_key, slices, text_hash, token_bytes
 from proofsheet.session import saved
 
 #: Distinct fingerprints that may become vantage points (bounded, on the driver).
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text
             fps = np.array([fingerprint(t, shingle) for t in batch.column(2).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], ["id", "text_hash", "fp"])
 
-    src = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"),
+    src = docs.select(F.col(doc_id).cast("long").alias("id"), text_hash(F.col(text)).alias("text_hash"),
                       F.col(text).alias("text"))
     return src.mapInArrow(run, "id long, text_hash long, fp long")
 
@@ -203,9 +203,8 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 3, doc_id: str =
     groups = near_duplicates(docs, shingle, max_bits, doc_id, text)
     best = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")
     keep = groups.groupBy("component").agg(F.min(best).alias("k"), F.count("*").alias("n"))
-    name = lambda i, h: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("null")), h.cast("string"))
-    keep = saved(keep.select(name(F.col("k.id"), F.col("k.text_hash")).alias("__key")))
-    marked = docs.withColumn("__key", name(F.col(doc_id).cast("long"), F.xxhash64(F.coalesce(F.col(text), F.lit("")))))
+    keep = saved(keep.select(row_key(F.col("k.id"), F.col("k.text_hash")).alias("__key")))
+    marked = docs.withColumn("__key", row_key(F.col(doc_id).cast("long"), text_hash(F.col(text))))
     out = marked.join(keep, "__key", "left_semi")
     # repeated rows (same id and text) share a key: only then is there more than one row to choose from
     again = marked.groupBy("__key").count().where("count > 1").limit(1).count()

@@ -77,6 +77,15 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
             yield batch.slice(at, rows)
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def row_key(doc_id: Column, hashed: Column) -> Column:
+    """Names a row by its id and text hash; rows alike in both share it."""
+    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), hashed.cast("string"))
+
+
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     """crc32 of the id's text modulo ``folds`` is ``fold``; a null id counts as ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds == fold
