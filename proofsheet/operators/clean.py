@@ -25,6 +25,7 @@ from proofsheet.functions import vocab as V
 from proofsheet.functions.expr import (
     any_of, col, is_numeric_type, normalize_text, parse_date, parse_numeric, text_changed, utrim,
 )
+from proofsheet.operators.metrics import exact_sum
 from proofsheet.operators.positions import dense_position, exact_quantiles, join_small
 from proofsheet.operators.profile import ColumnProfile
 from proofsheet.session import cut_lineage
@@ -285,7 +286,11 @@ def sequential_identifier(df: DataFrame, name: str, src: str = SRC) -> tuple[Dat
     c = col(name)
     num = parse_numeric(c, dt)
     integral = num.isNotNull() & (F.abs(num - F.rint(num)) <= 1e-9)
-    known = pos.where(c.isNotNull()).select("__pos", c.alias("__v"), F.when(integral, F.rint(num).cast("long")).alias("__n"))
+    # whole numbers keep all their digits; only other notations go through double
+    whole = c.try_cast("decimal(38,0)") if isinstance(dt, T.IntegralType) else F.when(
+        utrim(c.cast("string")).rlike(r"^[+-]?\d{1,37}$"), utrim(c.cast("string")).try_cast("decimal(38,0)"))
+    number = F.coalesce(whole, F.when(integral, F.rint(num).try_cast("decimal(38,0)")))
+    known = pos.where(c.isNotNull()).select("__pos", c.alias("__v"), number.alias("__n"))
     known = cut_lineage(known)
     numeric = known.where(F.col("__n").isNotNull()).select((F.col("__n") - F.col("__pos")).alias("__off"))
     n_numeric = numeric.count()
@@ -305,7 +310,7 @@ def sequential_identifier(df: DataFrame, name: str, src: str = SRC) -> tuple[Dat
     if n_text >= 3:
         prefix, n_match = _mode(text, "__prefix")
         matching = text.where(F.col("__prefix") == prefix).select(
-            (F.col("__digits").cast("long") - F.col("__pos")).alias("__off"), F.length("__digits").alias("__w"))
+            (F.col("__digits").try_cast("decimal(38,0)") - F.col("__pos")).alias("__off"), F.length("__digits").alias("__w"))
         base, hits = _mode(matching, "__off")
         width, _ = _mode(matching, "__w")
         if n_match / n_text >= V.SEQUENCE_SHARE_THRESHOLD and hits / n_match >= V.SEQUENCE_SHARE_THRESHOLD:
@@ -323,7 +328,7 @@ def fill_value_for(df: DataFrame, p: ColumnProfile, label: str, quantiles: str =
     c = col(p.name)
     if p.semantic_role == "measure":
         if N.is_monetary(p.name):
-            r = df.agg(F.sum(c.cast("decimal(38,6)")).cast("double").alias("s"), F.count(c).alias("n")).collect()[0]
+            r = df.agg(exact_sum(c).alias("s"), F.count(c).alias("n")).collect()[0]
             if not r["n"]:
                 return "retained", None
             return "mean", r["s"] / r["n"]

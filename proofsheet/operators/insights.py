@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofsheet.functions import vocab as V
-from proofsheet.operators.metrics import RESULTS_SCHEMA, exact_sum, registry_round
+from proofsheet.operators.metrics import RESULTS_SCHEMA, exact_sum, registry_round, sum_parts
 
 
 def _rows(one: DataFrame, entries: list[tuple[str, str, str, list[str], str]]) -> DataFrame:
@@ -57,7 +57,8 @@ def trend_readings(trend: DataFrame, time_label: str, measure: str) -> DataFrame
     v = F.coalesce(F.col("value_0"), F.lit(0.0))
     base = trend.select("ordinal", "period", v.alias("v"))
     avg_w = Window.partitionBy()  # ≤ 24 rows
-    dsum = F.sum(F.col("v").cast("decimal(38,6)")).over(avg_w).cast("double")
+    part, rest = sum_parts(F.col("v"))
+    dsum = F.sum(part).over(avg_w).cast("double") + F.sum(rest).over(avg_w)
     withavg = base.withColumn("avg", dsum / F.count(F.lit(1)).over(avg_w))
     one = withavg.agg(
         F.min_by("v", "ordinal").alias("first"), F.max_by("v", "ordinal").alias("last"),

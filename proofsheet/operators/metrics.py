@@ -33,8 +33,19 @@ RESULTS_SCHEMA = T.StructType([
 ])
 
 
+def sum_parts(c: Column) -> tuple[Column, Column]:
+    """A value as its first SUM_SCALE decimals, which add up exactly in any
+    order, and what that leaves of it (0 for values of fewer decimals; all of
+    a value beyond the decimal range)."""
+    x = c.cast("double")
+    part = F.when(F.abs(x) < 1e20, x.cast(f"decimal(38,{SUM_SCALE})")).otherwise(F.lit(0).cast(f"decimal(38,{SUM_SCALE})"))
+    return F.when(x.isNotNull(), part), x - part.cast("double")
+
+
 def exact_sum(c: Column) -> Column:
-    return F.sum(c.cast(f"decimal(38,{SUM_SCALE})")).cast("double")
+    """Sum without loss: digits beyond the exact part are summed beside it."""
+    part, rest = sum_parts(c)
+    return F.sum(part).cast("double") + F.sum(rest)
 
 
 def aggregate(op: str, c: Column) -> Column:

@@ -54,13 +54,13 @@ EXACT_DISTINCT_BELOW = 10_000    # exact counting is cheap below this many disti
 THRESHOLD_BAND = 0.15            # …and needed when HLL (rsd 0.05) lands within 3σ of the role threshold
 
 
-def column_stats(df: DataFrame, columns: list[str] | None = None, distinct: str = "auto") -> DataFrame:
+def column_stats(df: DataFrame, columns: list[str] | None = None, distinct: str = "exact") -> DataFrame:
     """A13/A14/P4 per column: ``ordinal, column, rows, null_count,
     present_count, numeric_count, unique_count, unique_exact``.
 
-    ``distinct``: ``"exact"`` counts every column exactly (one explode +
+    ``distinct``: ``"exact"`` (default) counts every column exactly (one explode +
     distinct, deduplicated map-side); ``"approx"`` uses HyperLogLog inside
-    the single wide aggregate; ``"auto"`` (default) takes HyperLogLog for
+    the single wide aggregate; ``"auto"`` takes HyperLogLog for
     every column and recounts exactly only the columns where the role rule
     ``unique ≤ max(20, 0.2·rows)`` could flip, or whose distinct count is
     small — so a 200-column, 10¹²-row table is not exploded cell by cell.

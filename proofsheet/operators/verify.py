@@ -60,7 +60,8 @@ def missing_refs(refs: DataFrame, results: DataFrame) -> DataFrame:
     return refs.join(results.select(F.col("key").alias("ref")), "ref", "left_anti")
 
 
-NUMBER_IN_PROSE = r"(?<![\w.])-?\d+(?:[,.]\d+)?(?![\w]|\.\d)"
+#: Plain, grouped by thousands, or scientific.
+NUMBER_IN_PROSE = r"(?<![\w.,])-?(?:\d{1,3}(?:,\d{3})+|\d+)(?:[,.]\d+)?(?:[eE][+-]?\d+)?(?![\w]|[.,]\d)"
 
 
 def unproven_numbers(texts: DataFrame, results: DataFrame, text_col: str = "text") -> DataFrame:

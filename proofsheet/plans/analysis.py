@@ -118,11 +118,12 @@ def analyze(df: DataFrame, mapping: dict[str, str] | None = None, mode: str = "r
         parts.append(M.chart_registry(top, "chart.category", [f"value_{i}" for i in range(len(chart_measures))], ops,
                                       [[category_dim, m] for m in chart_measures], "rank"))
         parts.append(I.category_readings(top, category_dim, chart_measures[0]))
-        charts.append(top.select(F.lit("category-bar").alias("chart_id"), F.col("rank").alias("ordinal"),
-                                 F.col("category").alias("label"), F.col("value_0").alias("value")))
+        for i, m in enumerate(chart_measures):
+            charts.append(top.select(F.lit("category-bar").alias("chart_id"), F.col("rank").alias("ordinal"),
+                                     F.col("category").alias("label"), F.col(f"value_{i}").alias("value"), F.lit(m).alias("series")))
         charts.append(top.where(F.col("rank") < V.DONUT_TOP_K).select(
             F.lit("category-donut").alias("chart_id"), F.col("rank").alias("ordinal"),
-            F.col("category").alias("label"), F.col("value_0").alias("value")))
+            F.col("category").alias("label"), F.col("value_0").alias("value"), F.lit(chart_measures[0]).alias("series")))
     temporal = [d for d in dims if N.is_temporal_dimension(d)]
     if chart_measures and (dates or temporal):
         tcols = dates[:1] if dates else temporal[:2]
@@ -131,8 +132,9 @@ def analyze(df: DataFrame, mapping: dict[str, str] | None = None, mode: str = "r
         parts.append(M.chart_registry(tr, "chart.trend", [f"value_{i}" for i in range(len(chart_measures))], ops,
                                       [[*tcols, m] for m in chart_measures], "ordinal"))
         parts.append(I.trend_readings(tr, tcols[0], chart_measures[0]))
-        charts.append(tr.select(F.lit("time-line").alias("chart_id"), "ordinal", F.col("period").alias("label"),
-                                F.col("value_0").alias("value")))
+        for i, m in enumerate(chart_measures):
+            charts.append(tr.select(F.lit("time-line").alias("chart_id"), "ordinal", F.col("period").alias("label"),
+                                    F.col(f"value_{i}").alias("value"), F.lit(m).alias("series")))
     if measures:
         m0 = measures[0]
         rng = M.one_row(spark_, glob, ["min_value", "avg_value", "max_value"])
@@ -144,11 +146,11 @@ def analyze(df: DataFrame, mapping: dict[str, str] | None = None, mode: str = "r
             F.struct(F.lit(0).alias("ordinal"), F.lit("min").alias("label"), F.col("min_value").alias("value")),
             F.struct(F.lit(1).alias("ordinal"), F.lit("average").alias("label"), F.col("avg_value").alias("value")),
             F.struct(F.lit(2).alias("ordinal"), F.lit("max").alias("label"), F.col("max_value").alias("value")),
-        )).alias("p")).select(F.lit("distribution").alias("chart_id"), "p.*"))
+        )).alias("p")).select(F.lit("distribution").alias("chart_id"), "p.*", F.lit(m0).alias("series")))
     if not charts:
         charts.append(q_results.where(F.col("key").isin("quality.score", "quality.missing", "quality.duplicates"))
                       .select(F.lit("quality-overview").alias("chart_id"), F.lit(0).alias("ordinal"),
-                              F.col("key").alias("label"), "value"))
+                              F.col("key").alias("label"), "value", F.lit(None).cast("string").alias("series")))
     results = parts[0]
     for p in parts[1:]:
         results = results.unionByName(p)

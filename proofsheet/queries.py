@@ -836,7 +836,7 @@ def q_fallback_chart(spark, sf):
     from proofsheet.plans.analysis import analyze
     r = T(spark, sf, "region")
     res = analyze(r, {"r_regionkey": "identifier", "r_name": "dimension"}, source_row="r_regionkey")
-    return res.charts.drop("chart_order")
+    return res.charts.drop("chart_order", "series")
 
 
 @register("kpi_fallback", f"""
@@ -1070,3 +1070,44 @@ where role is not null and trim(role) <> '' and turn is not null group by 1 orde
 """)
 def q_explore_conversations(spark, sf):
     return X.explore(T(spark, sf, "conversations"), "role", "turn", "bar")
+
+
+# --------------------------------------------------------------- values and cardinalities that a cut would lose
+@register("sum_small_values", """
+select l_returnflag, round(sum(l_quantity * 1e-9) * 1e6, 6) as total, round(avg(l_quantity * 1e-9) * 1e9, 6) as mean
+from lineitem group by 1
+""")
+def q_sum_small_values(spark, sf):
+    small = T(spark, sf, "lineitem").withColumn("v", F.col("l_quantity") * 1e-9)
+    return small.groupBy("l_returnflag").agg(F.round(M.aggregate("sum", F.col("v")) * 1e6, 6).alias("total"),
+                                             F.round(M.aggregate("average", F.col("v")) * 1e9, 6).alias("mean"))
+
+
+@register("profile_default_distinct", """
+select 'l_orderkey' as "column", count(distinct l_orderkey) as unique_count from lineitem
+union all select 'l_partkey', count(distinct l_partkey) from lineitem
+union all select 'l_extendedprice', count(distinct l_extendedprice) from lineitem
+""")
+def q_profile_default_distinct(spark, sf):
+    return P.column_stats(T(spark, sf, "lineitem"), ["l_orderkey", "l_partkey", "l_extendedprice"]).select("column", "unique_count")
+
+
+@register("sequential_id_long_digits", """
+select o_orderkey, 'DOC-9' || lpad(cast(row_number() over (order by o_orderkey) - 1 as varchar), 20, '0') as code from orders
+""")
+def q_sequential_id_long_digits(spark, sf):
+    from proofsheet.operators import clean as C
+    from proofsheet.operators.positions import with_row_index
+    rows = with_row_index(T(spark, sf, "orders").select("o_orderkey").orderBy("o_orderkey"), C.SRC, 0)
+    code = F.concat(F.lit("DOC-9"), F.lpad(F.col(C.SRC).cast("string"), 20, "0"))
+    gaps = rows.withColumn("code", F.when(F.col(C.SRC) % 7 == 3, None).otherwise(code))
+    return C.sequential_identifier(gaps, "code")[0].select("o_orderkey", "code")
+
+
+@register("question_compare_two_with_year", f"""
+select row_number() over (order by value desc, label) - 1 as ordinal, label, value, rows from (
+  select brand as label, coalesce({dsum('revenue')}, 0) as value, count(revenue) as rows from {SALES_SQL} s
+  where year = 1996 and brand in ('Brand#1', 'Brand#2') group by 1)
+""")
+def q_question_compare_two_with_year(spark, sf):
+    return ask(spark, sf, "Compare the revenue of Brand#1 and Brand#2 in year 1996")[2]

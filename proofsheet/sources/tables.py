@@ -46,7 +46,11 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 def load_dataset(spark: SparkSession, path: str, format: str | None = None, sheet: str | None = None,
                  **options) -> DataFrame:
     """Dispatch by format — csv/tsv/txt, xlsx, parquet, or a catalog table."""
-    fmt = (format or os.path.splitext(path)[1].lstrip(".") or "table").lower()
+    fmt = (format or os.path.splitext(path)[1].lstrip(".")).lower()
+    if not fmt and "/" in path:  # a folder: by the ending of its first file
+        names = spark.read.format("binaryFile").load(path).select("path").orderBy("path").limit(1).collect()
+        fmt = os.path.splitext(names[0][0])[1].lstrip(".").lower() if names else "table"
+    fmt = fmt or "table"
     if fmt in {"csv", "tsv", "txt"}:
         from proofsheet.sources.delimited import read_delimited
         return read_delimited(spark, path, **options)

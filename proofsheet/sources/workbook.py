@@ -133,7 +133,7 @@ CELLS_SCHEMA_COLS = ["file", "sheet", "sheet_index", "row", "col", "value", "for
 
 def workbook_cells(spark: SparkSession, path: str) -> DataFrame:
     """Long cells of every sheet of every workbook under ``path``."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xls[xm]").load(path).select("path")
     return files.repartition(max(1, files.rdd.getNumPartitions())).mapInPandas(_cells, CELLS_SCHEMA)
 
 
@@ -158,21 +158,26 @@ def read_sheet(spark: SparkSession, path: str, sheet: str | None = None, cells:
             raise ValueError("the workbook holds no data to analyse")
         sheet = first[0]["sheet"]
     sc = cells.where(F.col("sheet") == sheet).withColumn("cell", F.coalesce("value", "formula"))
-    header = sc.where(F.col("row") == 1).select("col", "cell").collect()  # one row of names
-    if not header:
+    heads = sc.where(F.col("row") == 1).groupBy("file").agg(F.sort_array(F.collect_list(F.struct("col", "cell"))).alias("head"))
+    heads = heads.groupBy("head").agg(F.count("*").alias("files")).limit(2).collect()  # one row of names
+    if not heads:
         raise ValueError(f"sheet {sheet!r} not found or empty")
+    if len(heads) > 1:
+        raise ValueError(f"the workbooks' sheets {sheet!r} have different headers")
+    header = heads[0]["head"]
     width = max(r["col"] for r in header)
     width = max(width, sc.agg(F.max("col")).collect()[0][0])
     by_col = {r["col"]: r["cell"] for r in header}
     names = header_names([by_col.get(i) for i in range(1, width + 1)])
     body = sc.where(F.col("row") > 1)
-    wide = body.groupBy(F.col("row").alias("__source_row")).pivot("col", list(range(1, width + 1))).agg(F.first("cell"))
+    wide = body.groupBy(F.col("file").alias("__source_file"), F.col("row").alias("__source_row")).pivot("col", list(range(1, width + 1))).agg(F.first("cell"))
     # blank rows inside the used range stay as empty rows (a spreadsheet
     # reader keeps them); the row range is generated by Spark, not listed
-    last = sc.agg(F.max("row")).collect()[0][0]
-    rows = sc.sparkSession.range(2, last + 1).select(F.col("id").alias("__source_row"))
-    wide = rows.join(wide, "__source_row", "left")
+    rows = (sc.groupBy(F.col("file").alias("__source_file")).agg(F.max("row").cast("long").alias("last")).where("last > 1")
+            .select("__source_file", F.explode(F.sequence(F.lit(2).cast("long"), "last")).alias("__source_row")))
+    wide = rows.join(wide, ["__source_file", "__source_row"], "left")
+    several = ["__source_file"] if heads[0]["files"] > 1 else []  # rows of several workbooks tell their file
     blank = r"(?U)^\s*$"
-    return wide.select("__source_row", *[
+    return wide.select(*several, "__source_row", *[
         F.when(F.col(f"`{i}`").rlike(blank), None).otherwise(F.col(f"`{i}`")).alias(n)
         for i, n in zip(range(1, width + 1), names)])
