@@ -50,7 +50,7 @@ bw as (select distinct item_id, n, array_to_string(w[s + 1:s + n], ' ') win from
 ns as (select distinct n from bw),
 p as (select doc_id, n, w, unnest(range(0, len(w) - n + 1)) s from d, ns where len(w) >= n),
 occ as (select p.doc_id, p.s, p.n, bw.item_id from p join bw on bw.n = p.n and bw.win = array_to_string(p.w[p.s + 1:p.s + p.n], ' ')),
-hit as (select doc_id, count(distinct at) n_hit from (select doc_id, unnest(range(s, s + n)) at from (select distinct doc_id, s, n from occ)) group by 1),
+hit as (select doc_id, count(distinct k) n_hit from (select doc_id, unnest(range(s, s + n)) k from (select distinct doc_id, s, n from occ)) group by 1),
 it as (select doc_id, count(*) n_items, string_agg(x, ',' order by x) items from (select distinct doc_id, cast(item_id as varchar) x from occ) group by 1)
 select d.doc_id, cast(len(d.w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items,
   sha256(coalesce(items, '')) items_sha256, n_hit is not null contaminated
