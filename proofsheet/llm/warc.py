@@ -227,7 +227,7 @@ class WarcWriter(DataSourceArrowWriter):
                         if out is not None:
                             out.close()
                         names.append(f"part-{uuid.uuid4().hex}.warc" + ".gz" * self.compress)
-                        out, size = fs.open_output_stream(f"{path.rstrip('/')}/{names[-1]}"), 0
+                        out, size = fs.open_output_stream(f"{path.rstrip('/')}/{names[-1]}", compression=None), 0  # members are compressed one by one
                     out.write(data)
                     size += len(data)
         finally:
