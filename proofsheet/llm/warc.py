@@ -164,7 +164,9 @@ class WarcReader(DataSourceReader):
                 row["payload_digest"] = row["payload_digest"].removeprefix("sha1:")
             yield (*row.values(), size if size >= 0 else length - used, payload)
 
-    def read(self, partition: ArchiveFile) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: ArchiveFile | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # Spark's stand-in where no partition was planned
+            return
         fs, path = filesystem(partition.path)
         types = [pa.string()] * len(HEADERS) + [pa.int64(), pa.binary()]
         names = [*HEADERS, "payload_bytes", "payload"]
