@@ -7,7 +7,7 @@ import zlib
 
 from pyspark.sql import functions as F
 from proofsheet.llm import decontam, licenses, mixing, sharding
-from proofsheet.llm.queries import MIX_WEIGHTS, mix_levels
+from proofsheet.llm.queries import DOMAINS, MIX_WEIGHTS, mix_levels
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -187,20 +187,20 @@ def fill(budget, children):
     return got
 
 
-def test_mixing_fills_siblings_before_ancestors(spark):
-    rnd = random.Random(5)
-    rows = [(i, " ".join("w" * rnd.randrange(0, 30)), rnd.choice(["en", "de", None]), rnd.choice(["src0", "src1", "src5", None])) for i in range(300)]
-    rows += [(i, "a b c", "en", "src0") for i in range(5)] + [(900, None, "en", "src1"), (901, "  \n", "de", "src0")]
-    df = spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, text string, lang string, source string, epoch int")
-    out = mixing.mix(df, mix_levels(), MIX_WEIGHTS, budget_share=0.7, max_epochs=2, seed=3).collect()
+def brute_mix(rows, budget_share, max_epochs, seed):
+    """rows: (id, text, lang, source); the (id, epoch) pairs that the mixture takes."""
     tokens = [len((t or "").split()) for _, t, _, _ in rows]
-    domain = {"src0": "web", "src1": "reference", "src5": "reference", None: "other"}
+
+    def domain(src):
+        m = re.fullmatch("src([0-9]{1,9})", src or "")
+        return DOMAINS[int(m[1]) % len(DOMAINS)] if m else "other"
+
     leaves = {}
     for (i, _, lang, src), n in zip(rows, tokens):
-        leaves.setdefault((domain[src], lang or "(null)", src or "(null)"), []).append((i, n))
-    cap = {k: 2 * sum(n for _, n in v) for k, v in leaves.items()}
+        leaves.setdefault((domain(src), lang or "(null)", src or "(null)"), []).append((i, n))
+    cap = {k: max_epochs * sum(n for _, n in v) for k, v in leaves.items()}
     weight = lambda k, i: MIX_WEIGHTS[i][0].get(k, MIX_WEIGHTS[i][1])
-    budget = {(): float(int(0.7 * sum(tokens)))}
+    budget = {(): float(int(budget_share * sum(tokens)))}
     for depth in range(3):
         for parent, b in [(p, b) for p, b in budget.items() if len(p) == depth]:
             kids = {k[depth] for k in cap if k[:depth] == parent}
@@ -212,12 +212,21 @@ def test_mixing_fills_siblings_before_ancestors(spark):
         full = target // avail if avail else 0
         want += [(i, e) for i, _ in members for e in range(full)]
         rest = target - full * avail if avail else 0
-        h = lambda i: hashlib.md5(f"3:{full}:{i}".encode()).hexdigest()
+        h = lambda i: hashlib.md5(f"{seed}:{full}:{'' if i is None else i}".encode()).hexdigest()
         run = 0
         for x in sorted({h(i) for i, _ in members}) if rest else []:
             run += sum(n for i, n in members if h(i) == x)
             if run > rest:
                 break
             want += [(i, full) for i, _ in members if h(i) == x]
-    assert sorted((r["doc_id"], r["epoch"]) for r in out) == sorted(want)
+    return want
+
+
+def test_mixing_fills_siblings_before_ancestors(spark):
+    rnd = random.Random(5)
+    rows = [(i, " ".join("w" * rnd.randrange(0, 30)), rnd.choice(["en", "de", None]), rnd.choice(["src0", "src1", "src5", None])) for i in range(300)]
+    rows += [(i, "a b c", "en", "src0") for i in range(5)] + [(900, None, "en", "src1"), (901, "  \n", "de", "src0")]
+    df = spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, text string, lang string, source string, epoch int")
+    out = mixing.mix(df, mix_levels(), MIX_WEIGHTS, budget_share=0.7, max_epochs=2, seed=3).collect()
+    assert sorted((r["doc_id"], r["epoch"]) for r in out) == sorted(brute_mix(rows, 0.7, 2, 3))
     assert mixing.mix(df.limit(0), mix_levels(), MIX_WEIGHTS, 0.5).count() == 0
