@@ -6,7 +6,8 @@
    utf-8-sig, utf-8, cp1256 that decodes strictly, an incomplete trailing
    character dropped), the delimiter (the standard-library sniffer limited
    to , ; TAB | over the first 32 K characters, default comma), reject binary
-   files (NUL in the first 8 KB) and take the header.
+   files (NUL in the first 8 KB) and take the header.  Files chosen as UTF-8
+   are then proven to be so over every line, in splits.
 2. One ``spark.read.csv`` per (encoding, delimiter, header) group with an
    explicit all-string schema plus an overflow column: a row with too many
    fields fills the overflow column and rejects its file; a short row is
@@ -17,6 +18,8 @@ from __future__ import annotations
 
 import csv
 import io
+import re
+from urllib.parse import quote, unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -31,10 +34,14 @@ OVERFLOW = "__overflow"
 
 
 def _open_head(path: str, n: int) -> bytes:
+    """The first ``n`` bytes, and more up to the end of the first line."""
     from pyarrow import fs
-    filesystem, inner = fs.FileSystem.from_uri(path)
+    filesystem, inner = fs.FileSystem.from_uri(quote(path, safe="/:@"))
     with filesystem.open_input_stream(inner) as f:
-        return f.read(n)
+        head = f.read(n)
+        while b"\n" not in head and b"\r" not in head and (more := f.read(n)):
+            head += more
+        return head
 
 
 def decode_sample(raw: bytes) -> tuple[str | None, str | None, str | None]:
@@ -103,10 +110,27 @@ def sniff_files(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(_sniff, SNIFF_SCHEMA)
 
 
+def undecodable_files(spark: SparkSession, paths: list[str]) -> set[str]:
+    """Those of ``paths`` with a line that is not UTF-8.  The head only
+    suggests an encoding; this proves it over the whole of every file, in
+    splits (a line end never falls inside a character)."""
+    if not paths:
+        return set()
+    lines = spark.read.text(paths)
+    found = lines.where(~F.is_valid_utf8("value")).select(F.col("_metadata.file_path")).distinct().collect()  # names of files
+    plain = {re.sub("^file:/+", "file:/", unquote(r[0])) for r in found}
+    return {p for p in paths if re.sub("^file:/+", "file:/", p) in plain}
+
+
 def read_delimited(spark: SparkSession, path: str, multiline: bool = True, strict: bool = True) -> DataFrame:
     """All files of ``path`` as one string-typed DataFrame with
-    ``__source_file``.  Raises on rejected files when ``strict``."""
-    sniffed = sniff_files(spark, path).collect()  # one row per file (a listing, not data)
+    ``__source_file``.  Raises on rejected files when ``strict``, else leaves
+    them out; cp1256 decodes any byte, so only UTF-8 needs a proof."""
+    sniffed = [r.asDict() for r in sniff_files(spark, path).collect()]  # one row per file (a listing, not data)
+    broken = undecodable_files(spark, [r["path"] for r in sniffed if not r["error"] and r["encoding"].startswith("utf-8")])
+    for r in sniffed:
+        if r["path"] in broken:
+            r["error"] = f"not {r['encoding']} throughout"
     bad = [r for r in sniffed if r["error"]]
     if bad and strict:
         raise ValueError("rejected files: " + "; ".join(f"{r['path']}: {r['error']}" for r in bad))

@@ -42,6 +42,24 @@ def test_binary_and_cp1256(spark):
     assert df.collect()[0]["المدينة"] == "الرياض"
 
 
+def test_encoding_is_proven_over_the_whole_file(spark):
+    d = tempfile.mkdtemp(prefix="ps-csv-")
+    _write(d, "late byte.csv", b"k,v\n" + b"plain,1\n" * 20000 + "الرياض,2\n".encode("cp1256") + b"plain,3\n")
+    _write(d, "fine%20.csv", "k,v\nالرياض,1\n".encode("utf-8"))
+    with pytest.raises(ValueError, match="late byte.csv: not utf-8"):
+        read_delimited(spark, d)
+    rows = read_delimited(spark, d, strict=False).collect()
+    assert [(r["k"], r["v"]) for r in rows] == [("الرياض", "1")]
+
+
+def test_header_longer_than_the_sample(spark):
+    d = tempfile.mkdtemp(prefix="ps-csv-")
+    names = [f"column_number_{i:05d}" for i in range(4000)]
+    _write(d, "wide.csv", (",".join(names) + "\n" + ",".join(map(str, range(4000))) + "\n").encode())
+    row = sniff_files(spark, d).collect()[0]
+    assert row["header"] == names
+
+
 def test_too_many_fields_rejected(spark):
     d = tempfile.mkdtemp(prefix="ps-csv-")
     _write(d, "long.csv", b"a,b\n1,2\n3,4,5\n")
