@@ -89,6 +89,7 @@ def iter_cells(path: str, handle):
             shared.append("".join(t.text or "" for t in si.iter(f"{{{NS['m']}}}t")))
     dates = _date_styles(z)
     for idx, (name, part) in enumerate(_sheets(z)):
+        yield name, idx, 0, 0, None, None  # names the sheet, also where it has no cell
         with z.open(part) as fh:
             for _, el in ET.iterparse(fh):
                 if el.tag != f"{{{NS['m']}}}c":
@@ -138,7 +139,8 @@ def workbook_cells(spark: SparkSession, path: str) -> DataFrame:
 
 
 def workbook_inventory(spark: SparkSession, path: str, cells: DataFrame | None = None) -> DataFrame:
-    """``file, sheet, rows, columns, has_data`` (extent = last used cell)."""
+    """``file, sheet, rows, columns, has_data`` (extent = last used
+    cell; a sheet without cells is listed with 0 and 0)."""
     cells = cells if cells is not None else workbook_cells(spark, path)
     return (cells.groupBy("file", "sheet", "sheet_index")
                  .agg(F.max("row").alias("rows"), F.max("col").alias("columns"))

@@ -21,9 +21,11 @@ def _book():
 
 def test_inventory_and_roles(spark):
     d = _book()
+    write_xlsx(os.path.join(d, "blank.xlsx"), [("blank", [])])
     inv = {r["sheet"]: r for r in workbook_inventory(spark, d).collect()}
     assert inv["المبيعات"]["rows"] == 4 and inv["المبيعات"]["columns"] == 4 and inv["المبيعات"]["has_data"]
     assert not inv["تدقيق الحسابات"]["has_data"]
+    assert (inv["blank"]["rows"], inv["blank"]["columns"], inv["blank"]["has_data"]) == (0, 0, False)
     df = read_sheet(spark, d, "المبيعات")
     roles = {p.name: p.semantic_role for p in infer_columns(df)}
     assert roles["التاريخ"] == "date" and roles["الإيرادات"] == "measure" and roles["المدينة"] == "dimension"
