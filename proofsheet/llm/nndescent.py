@@ -4,9 +4,10 @@ Vectors are compared within a label only.  Equal vectors are one point with a
 count.  Each point starts with the neighbours it meets in leaves of random
 hyperplanes; NN-descent then improves the lists through neighbours of
 neighbours, joined point by point.  Links of the lists at or above the
-threshold connect points.  A list all of whose entries are links is saturated
-and may end too early: it is enlarged to all points of its connected set, which
-are compared in blocks, so that no link within a set is lost.  An audit
+threshold connect points to sets.  A list can end too early or miss a link, so
+all points of a label are then compared in blocks: that counts every link and
+joins the sets that a link connects.  The work of this step grows with the
+square of the label, its rows with the label's number of blocks.  An audit
 compares a stated sample of points with all points by brute force; while its
 recall is below the target, another round with new hyperplanes follows.
 
@@ -35,8 +36,8 @@ from proofsheet.llm.graph import connected_components
 from proofsheet.session import saved
 
 NEIGHBOURS, TREES, LEAF, DESCENTS = 8, 5, 128, 2
-#: Points of one block when a connected set is compared with itself.
-SET_BLOCK = 1500
+#: Points of one block, and of one matrix product, when a label is compared with itself.
+LABEL_BLOCK, TILE = 16384, 2048
 AUDIT_POINTS, AUDIT_RECALL, MAX_ROUNDS = 256, 0.98, 4
 
 
@@ -141,32 +142,60 @@ def _descend(lists: DataFrame, points: DataFrame) -> DataFrame:
     return guests.withColumn("block", block).groupBy("block").applyInPandas(introduce, PAIRS)
 
 
-def _set_links(points: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(rid, n): weighted links of every point within its connected set, by blocks of points."""
-    members = sets.select(F.col("node").alias("rid"), "component")
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / SET_BLOCK).cast("int").alias("blocks"))
-    rows = members.join(sizes, "component").join(points, "rid").withColumn("mine", F.pmod(F.xxhash64("rid"), F.col("blocks").cast("long")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("rid", "component", "v", "size", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
-                       # small sets share groups, a large set's block pairs have their own
-                       F.when(F.col("blocks") > 1, F.col("component")).otherwise(
-                           -F.pmod(F.xxhash64("component"), F.lit(points.sparkSession.sparkContext.defaultParallelism * 4)) - 1).alias("group"))
+def _block_pairs(points: DataFrame) -> DataFrame:
+    """``points`` once for each pair of blocks of their label that they belong to (group, i, j); small labels share groups."""
+    counts = points.groupBy("label").agg(F.count("*").alias("in_label"))
+    total = points.count()
+    shared = max(points.sparkSession.sparkContext.defaultParallelism * 4, -(-total // LABEL_BLOCK))
+    rows = points.join(counts, "label").withColumn("blocks", F.ceil(F.col("in_label") / LABEL_BLOCK))
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("rid"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    group = F.when(F.col("blocks") > 1, F.col("label")).otherwise(F.concat(F.lit("/"), F.pmod(F.xxhash64("label"), F.lit(shared)).cast("string")))
+    return rows.select("rid", "label", "v", "size", "set", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), group.alias("group"))
 
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+
+def label_links(points: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, n): n weighted links of point a where b is null, else a link between the sets a and b.
+
+    Every point is compared with all others of its label, by pairs of blocks.
+    Of the links between sets, each pair of blocks gives a spanning forest."""
+    rows = points.join(sets.select(F.col("node").alias("rid"), F.col("component").alias("set")), "rid", "left")
+    rows = _block_pairs(rows.withColumn("set", F.coalesce("set", "rid")))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, part in pdf.groupby("component"):
-            x, ids, size = _matrix(part["v"]), part["rid"].to_numpy(), part["size"].to_numpy(np.int64)
+        for _, part in pdf.groupby("label"):
+            if len(part) < 2:
+                continue
+            x, ids, size = _matrix(part["v"]), part["rid"].to_numpy(), part["size"].to_numpy(np.float64)
+            names, own = np.unique(part["set"].to_numpy(), return_inverse=True)
             mine, i, j = part["mine"].to_numpy(), int(part["i"].iloc[0]), int(part["j"].iloc[0])
             left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-            near = x[left] @ x[right].T >= threshold
-            if i == j:
-                np.fill_diagonal(near, False)
-            out.append(pd.DataFrame({"rid": ids[left], "n": near @ size[right]}))
-            if i != j:
-                out.append(pd.DataFrame({"rid": ids[right], "n": near.T @ size[left]}))
-        return pd.concat(out)
-
-    return rows.groupBy("group", "i", "j").applyInPandas(count, "rid long, n long").groupBy("rid").agg(F.sum("n").alias("n"))
+            n, root, joined = np.zeros(len(ids)), np.arange(len(names)), []
+            for p in range(0, len(left), TILE):
+                for q in range(p if i == j else 0, len(right), TILE):
+                    l, r = left[p:p + TILE], right[q:q + TILE]
+                    near = x[l] @ x[r].T >= threshold
+                    same = i == j and p == q
+                    if same:
+                        np.fill_diagonal(near, False)
+                    g, h = np.divmod(np.flatnonzero(near), len(r))
+                    n[l] += np.bincount(g, size[r[h]], len(l))
+                    if not same:
+                        n[r] += np.bincount(h, size[l[g]], len(r))
+                    s, t = root[own[l[g]]], root[own[r[h]]]
+                    apart = s != t
+                    for s, t in np.unique(np.column_stack([s[apart], t[apart]]), axis=0):
+                        s, t = root[s], root[t]
+                        if s != t:
+                            joined.append((names[s], names[t]))
+                            root[root == t] = s
+            some = n > 0
+            out.append(pd.DataFrame({"a": ids[some], "b": pd.array([None] * int(some.sum()), "Int64"), "n": n[some].astype(np.int64)}))
+            if joined:
+                out.append(pd.DataFrame({"a": [s for s, _ in joined], "b": pd.array([t for _, t in joined], "Int64"), "n": 0}))
+        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "n": []})
+
+    return rows.groupBy("group", "i", "j").applyInPandas(compare, "a long, b long, n long")
 
 
 def audit(points: DataFrame, sets: DataFrame, threshold: float) -> tuple[int, int]:
@@ -214,9 +243,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, vec_id: str = "
         found, right = audit(points, sets, threshold)
         if right >= AUDIT_RECALL * found:
             break
-    links = points.select("rid", "size", "label", "v").join(sets.select(F.col("node").alias("rid"), "component"), "rid", "left")
-    links = links.join(_set_links(points, sets, threshold), "rid", "left")
-    links = saved(links.select("label", "v", F.coalesce("component", "rid").alias("component"),
+    found = saved(label_links(points, sets, threshold))
+    whole = saved(connected_components(found.where(F.col("b").isNotNull()))).select(F.col("node").alias("set"), F.col("component").alias("whole"))
+    links = points.select("rid", "size", "label", "v").join(sets.select(F.col("node").alias("rid"), F.col("component").alias("set")), "rid", "left")
+    links = links.withColumn("set", F.coalesce("set", "rid")).join(whole, "set", "left")
+    links = links.join(found.where(F.col("b").isNull()).groupBy(F.col("a").alias("rid")).agg(F.sum("n").alias("n")), "rid", "left")
+    links = saved(links.select("label", "v", F.coalesce("whole", "set").alias("component"),
                                (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n")))
     e = F.col(embedding).cast("array<double>")
     rows = vectors.select(F.col(vec_id), F.concat_ws("/", F.col(label).cast("string"), F.size(e)).alias("__label"),

@@ -165,6 +165,45 @@ def test_embedding_links_equal_brute_force(spark):
     assert Counter((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got) == want
 
 
+def assert_equals_brute_force(spark, vectors):
+    """``vectors``: (vec_id, embedding, label) with distinct ids."""
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in
+           nndescent.near_duplicates(spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label int")).collect()}
+    ids, labels, x = np.array([v[0] for v in vectors]), np.array([v[2] for v in vectors]), np.array([v[1] for v in vectors])
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (x @ x.T >= 0.93) & (labels[:, None] == labels) & ~np.eye(len(ids), dtype=bool)
+    first = ids.copy()
+    while True:
+        least = np.minimum(first, np.where(near, first[None, :], ids.max()).min(axis=1))
+        if (least == first).all():
+            break
+        first = least
+    assert got == {int(i): (int(n), int(c), bool(i == c)) for i, n, c in zip(ids, near.sum(axis=1), first)}
+
+
+def rotated(rnd, v, cosine):
+    """A vector at ``cosine`` from the unit vector v."""
+    w = rnd.normal(size=len(v))
+    w -= (w @ v) * v
+    return cosine * v + math.sqrt(1 - cosine ** 2) * w / np.linalg.norm(w)
+
+
+def unit(rnd, dim):
+    v = rnd.normal(size=dim)
+    return v / np.linalg.norm(v)
+
+
+def test_links_between_groups_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(nndescent, "LABEL_BLOCK", 32)  # several blocks
+    monkeypatch.setattr(nndescent, "TILE", 16)
+    rnd = np.random.default_rng(16)
+    one = unit(rnd, 32)
+    centres = [one, rotated(rnd, one, 0.95), unit(rnd, 32)]
+    vectors = [(100 * c + i, [float(x) for x in rotated(rnd, v, 0.9997)], 0) for c, v in enumerate(centres) for i in range(20)]
+    vectors += [(1000 + i, [float(x) for x in unit(rnd, 32)], i % 3) for i in range(60)]
+    assert_equals_brute_force(spark, vectors)
+
+
 # ---------------------------------------------------------------- op9
 def test_warc_round_trip(spark, tmp_path):
     rows = [(5, "http://a/%20x y", "<p>é</p>"), (3, "http://b/", "<p>é</p>"), (9, None, None), (4, "u", ""), (7, "u", "\r\n\r\nWARC/1.1\r\n"),
