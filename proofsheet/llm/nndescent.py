@@ -2,7 +2,7 @@
 
 Vectors are compared within a label only.  Equal vectors are one point with a
 count.  Each point starts with the neighbours it meets in leaves of random
-hyperplanes; NN-descent then improves the lists through neighbours of
+hyperplanes, cut as deep as its own label's count asks for; NN-descent then improves the lists through neighbours of
 neighbours, joined point by point.  Links of the lists at or above the
 threshold connect points to sets.  A list can end too early or miss a link, so
 all points of a label are then compared in blocks: that counts every link and
@@ -57,25 +57,36 @@ def distinct_points(vectors: DataFrame, vec_id: str, embedding: str, label: str)
         F.min("id").alias("rid"), F.count("*").alias("size")).select("rid", "label", "v", "size")
 
 
-def _leaves(points: DataFrame, depth: int, seed: int) -> DataFrame:
-    """(rid, label, v, tree, leaf, place): sides of random hyperplanes, and the place along one more direction."""
+def _depth(points: DataFrame) -> DataFrame:
+    """``points`` with the number of points in their label, and the hyperplanes that cut such a label into leaves."""
+    counts = points.groupBy("label").agg(F.count("*").alias("in_label"))
+    depth = F.greatest(F.lit(0), F.ceil(F.log2(F.col("in_label") / LEAF))).cast("int")
+    return points.join(counts.withColumn("depth", depth), "label")
+
+
+def _leaves(points: DataFrame, seed: int) -> DataFrame:
+    """(rid, label, v, tree, leaf, place): sides of random hyperplanes, and the place along one more direction.
+
+    Each label has as many hyperplanes as its own count asks for; one that fits a leaf is one leaf, of one tree."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
+        planes: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             vectors = [np.asarray(v, np.float64) for v in batch.column(2).to_pylist()]
-            for dim in {len(v) for v in vectors}:
-                which = [i for i, v in enumerate(vectors) if len(v) == dim]
-                if dim not in planes:
-                    planes[dim] = np.random.default_rng([seed, dim]).normal(size=(dim, TREES * (depth + 1)))
-                side = _matrix([vectors[i] for i in which]) @ planes[dim]
+            kinds = list(zip(batch.column(3).to_pylist(), map(len, vectors)))
+            for depth, dim in set(kinds):
+                which = [i for i, kind in enumerate(kinds) if kind == (depth, dim)]
+                if (depth, dim) not in planes:
+                    planes[depth, dim] = np.random.default_rng([seed, depth, dim]).normal(size=(dim, TREES * (depth + 1)))
+                side = _matrix([vectors[i] for i in which]) @ planes[depth, dim]
                 rows = batch.take(pa.array(which))
-                for t in range(TREES):
+                for t in range(TREES if depth else 1):
                     own = side[:, t * (depth + 1):(t + 1) * (depth + 1)]
                     leaf = ((own[:, :depth] > 0) @ (1 << np.arange(depth))).astype(np.int64) if depth else np.zeros(len(which), np.int64)
                     yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), pa.array(np.full(len(which), t, np.int32)),
                                                       pa.array(leaf), pa.array(own[:, depth])], ["rid", "label", "v", "tree", "leaf", "place"])
 
-    return points.select("rid", "label", "v").mapInArrow(run, "rid long, label string, v array<double>, tree int, leaf long, place double")
+    return (_depth(points).select("rid", "label", "v", "depth")
+            .mapInArrow(run, "rid long, label string, v array<double>, tree int, leaf long, place double"))
 
 
 PAIRS = "a long, b long, s double"
@@ -94,7 +105,7 @@ def _top_pairs(ids: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
     return pd.DataFrame({"a": ids[a], "b": ids[b], "s": s[a, b]})
 
 
-def _start(points: DataFrame, depth: int, seed: int) -> DataFrame:
+def _start(points: DataFrame, seed: int) -> DataFrame:
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["place", "rid"])
         ids, x = pdf["rid"].to_numpy(), _matrix(pdf["v"])
@@ -102,7 +113,7 @@ def _start(points: DataFrame, depth: int, seed: int) -> DataFrame:
         runs = range(0, max(1, len(ids) - LEAF), LEAF) if len(ids) > 2 * LEAF else [0]
         return pd.concat([_top_pairs(ids[i:i + 2 * LEAF], x[i:i + 2 * LEAF], NEIGHBOURS) for i in runs])
 
-    return _leaves(points, depth, seed).groupBy("label", "tree", "leaf").applyInPandas(meet, PAIRS)
+    return _leaves(points, seed).groupBy("label", "tree", "leaf").applyInPandas(meet, PAIRS)
 
 
 def _best(pairs: DataFrame) -> DataFrame:
@@ -144,10 +155,9 @@ def _descend(lists: DataFrame, points: DataFrame) -> DataFrame:
 
 def _block_pairs(points: DataFrame) -> DataFrame:
     """``points`` once for each pair of blocks of their label that they belong to (group, i, j); small labels share groups."""
-    counts = points.groupBy("label").agg(F.count("*").alias("in_label"))
     total = points.count()
     shared = max(points.sparkSession.sparkContext.defaultParallelism * 4, -(-total // LABEL_BLOCK))
-    rows = points.join(counts, "label").withColumn("blocks", F.ceil(F.col("in_label") / LABEL_BLOCK))
+    rows = _depth(points).withColumn("blocks", F.ceil(F.col("in_label") / LABEL_BLOCK))
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("rid"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     group = F.when(F.col("blocks") > 1, F.col("label")).otherwise(F.concat(F.lit("/"), F.pmod(F.xxhash64("label"), F.lit(shared)).cast("string")))
     return rows.select("rid", "label", "v", "size", "set", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), group.alias("group"))
@@ -231,11 +241,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, vec_id: str = "
                     label: str = "label") -> DataFrame:
     """One row per vector: id, n_links, component_id, kept."""
     points = saved(distinct_points(vectors, vec_id, embedding, label))
-    largest = points.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    depth = int(max(0, np.ceil(np.log2(max(largest, 1) / LEAF))))
     lists = None
     for turn in range(MAX_ROUNDS):
-        start = _start(points, depth, turn)
+        start = _start(points, turn)
         lists = saved(_best(start if lists is None else lists.unionByName(start)))
         for _ in range(DESCENTS):
             lists = saved(_best(lists.unionByName(_descend(lists, points))))

@@ -204,6 +204,26 @@ def test_links_between_groups_of_near_copies(spark, monkeypatch):
     assert_equals_brute_force(spark, vectors)
 
 
+def test_small_labels_beside_a_large_one(spark, monkeypatch):
+    monkeypatch.setattr(nndescent, "LEAF", 64)
+    rnd = np.random.default_rng(26)
+    points = [(i, "small", [float(x) for x in unit(rnd, 32)], 1) for i in range(60)]
+    points += [(1000 + i, "large", [float(x) for x in unit(rnd, 32)], 1) for i in range(600)]
+    leaves = nndescent._leaves(spark.createDataFrame(points, "rid long, label string, v array<double>, size long"), 0)
+    count = {r["label"]: r["n"] for r in leaves.groupBy("label").agg(F.count_distinct("tree", "leaf").alias("n")).collect()}
+    assert count["small"] == 1 and count["large"] > 5 * nndescent.TREES
+
+
+def test_pairs_in_small_labels_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(nndescent, "LEAF", 2)
+    monkeypatch.setattr(nndescent, "TREES", 1)  # few trees over small leaves, as many trees over deep ones
+    rnd = np.random.default_rng(26)
+    firsts = [unit(rnd, 32) for _ in range(300)]
+    vectors = [(2 * i + k, [float(x) for x in (v, rotated(rnd, v, 0.935))[k]], 1 + i % 10) for i, v in enumerate(firsts) for k in (0, 1)]
+    vectors += [(5000 + i, [float(x) for x in unit(rnd, 32)], 0) for i in range(600)]
+    assert_equals_brute_force(spark, vectors)
+
+
 # ---------------------------------------------------------------- op9
 def test_warc_round_trip(spark, tmp_path):
     rows = [(5, "http://a/%20x y", "<p>é</p>"), (3, "http://b/", "<p>é</p>"), (9, None, None), (4, "u", ""), (7, "u", "\r\n\r\nWARC/1.1\r\n"),
