@@ -7,9 +7,8 @@ neighbours, joined point by point.  Links of the lists at or above the
 threshold connect points to sets.  A list can end too early or miss a link, so
 all points of a label are then compared in blocks: that counts every link and
 joins the sets that a link connects.  The work of this step grows with the
-square of the label, its rows with the label's number of blocks.  An audit
-compares a stated sample of points with all points by brute force; while its
-recall is below the target, another round with new hyperplanes follows.
+square of the label, its rows with the label's number of blocks.  The result is
+exact whatever the lists missed, so nothing is sampled to judge them.
 
 Similarities are cosines in double precision.  All work is grouped by leaf, by
 point block or by pairs of blocks, each of a bounded size.
@@ -35,10 +34,9 @@ from pyspark.sql import Window as W
 from proofsheet.llm.graph import connected_components
 from proofsheet.session import saved
 
-NEIGHBOURS, TREES, LEAF, DESCENTS = 8, 5, 128, 2
+NEIGHBOURS, TREES, LEAF, DESCENTS, SEED = 8, 5, 128, 2, 0
 #: Points of one block, and of one matrix product, when a label is compared with itself.
 LABEL_BLOCK, TILE = 16384, 2048
-AUDIT_POINTS, AUDIT_RECALL, MAX_ROUNDS = 256, 0.98, 4
 
 
 def _matrix(vectors) -> np.ndarray:
@@ -208,49 +206,14 @@ def label_links(points: DataFrame, sets: DataFrame, threshold: float) -> DataFra
     return rows.groupBy("group", "i", "j").applyInPandas(compare, "a long, b long, n long")
 
 
-def audit(points: DataFrame, sets: DataFrame, threshold: float) -> tuple[int, int]:
-    """(links of AUDIT_POINTS stated points to all points, those of them within
-    a found set): brute force, one pass over the points."""
-    chosen = points.join(sets.select(F.col("node").alias("rid"), "component"), "rid", "left").orderBy(F.xxhash64("rid"), "rid").limit(AUDIT_POINTS)
-    sample = [(r["rid"], r["label"], r["v"], r["component"]) for r in chosen.select("rid", "label", "v", "component").collect()]
-    shared = points.sparkSession.sparkContext.broadcast(sample)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_label: dict[str, list] = {}
-        for q in shared.value:
-            by_label.setdefault(q[1], []).append(q)
-        for batch in batches:
-            labels = np.array(batch.column(1).to_pylist(), dtype=object)
-            ids, component = np.array(batch.column(0).to_pylist()), np.array([-1 if c is None else c for c in batch.column(3).to_pylist()])
-            vectors, found, right = batch.column(2).to_pylist(), 0, 0
-            for label, queries in by_label.items():
-                at = np.flatnonzero(labels == label)
-                if len(at):
-                    near = _matrix([vectors[i] for i in at]) @ _matrix([q[2] for q in queries]).T >= threshold
-                    other = ids[at][:, None] != np.array([q[0] for q in queries])[None, :]
-                    same = component[at][:, None] == np.array([-2 if q[3] is None else q[3] for q in queries])[None, :]
-                    found, right = found + int((near & other).sum()), right + int((near & other & same).sum())
-            yield pa.RecordBatch.from_arrays([pa.array([found]), pa.array([right])], ["found", "right"])
-
-    rows = points.join(sets.select(F.col("node").alias("rid"), "component"), "rid", "left").select("rid", "label", "v", "component")
-    r = rows.mapInArrow(run, "found long, right long").agg(F.sum("found"), F.sum("right")).first()
-    return r[0] or 0, r[1] or 0
-
-
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, vec_id: str = "vec_id", embedding: str = "embedding",
                     label: str = "label") -> DataFrame:
     """One row per vector: id, n_links, component_id, kept."""
     points = saved(distinct_points(vectors, vec_id, embedding, label))
-    lists = None
-    for turn in range(MAX_ROUNDS):
-        start = _start(points, turn)
-        lists = saved(_best(start if lists is None else lists.unionByName(start)))
-        for _ in range(DESCENTS):
-            lists = saved(_best(lists.unionByName(_descend(lists, points))))
-        sets = saved(connected_components(lists.where(F.col("s") >= threshold)))
-        found, right = audit(points, sets, threshold)
-        if right >= AUDIT_RECALL * found:
-            break
+    lists = saved(_best(_start(points, SEED)))
+    for _ in range(DESCENTS):
+        lists = saved(_best(lists.unionByName(_descend(lists, points))))
+    sets = saved(connected_components(lists.where(F.col("s") >= threshold)))
     found = saved(label_links(points, sets, threshold))
     whole = saved(connected_components(found.where(F.col("b").isNotNull()))).select(F.col("node").alias("set"), F.col("component").alias("whole"))
     links = points.select("rid", "size", "label", "v").join(sets.select(F.col("node").alias("rid"), F.col("component").alias("set")), "rid", "left")

@@ -224,6 +224,17 @@ def test_pairs_in_small_labels_equal_brute_force(spark, monkeypatch):
     assert_equals_brute_force(spark, vectors)
 
 
+def test_pairs_beside_a_hot_group_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(nndescent, "LEAF", 2)
+    rnd = np.random.default_rng(36)
+    centre, vectors = unit(rnd, 32), []
+    for i in range(150):
+        v = unit(rnd, 32)
+        vectors += [(2 * i, [float(x) for x in v], 0), (2 * i + 1, [float(x) for x in rotated(rnd, v, 0.935)], 0)]
+    vectors += [(5000 + i, [float(x) for x in rotated(rnd, centre, 0.9997)], 0) for i in range(250)]
+    assert_equals_brute_force(spark, vectors)
+
+
 # ---------------------------------------------------------------- op9
 def test_warc_round_trip(spark, tmp_path):
     rows = [(5, "http://a/%20x y", "<p>é</p>"), (3, "http://b/", "<p>é</p>"), (9, None, None), (4, "u", ""), (7, "u", "\r\n\r\nWARC/1.1\r\n"),
