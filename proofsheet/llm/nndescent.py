@@ -10,8 +10,8 @@ joins the sets that a link connects.  The work of this step grows with the
 square of the label, its rows with the label's number of blocks.  The result is
 exact whatever the lists missed, so nothing is sampled to judge them.
 
-Similarities are cosines in double precision.  All work is grouped by leaf, by
-point block or by pairs of blocks, each of a bounded size.
+Similarities are cosines in double precision.  All work is grouped by run of a
+leaf, by point block or by pairs of blocks, each of a bounded size.
 
 Defined results: vectors with a null label, that are null, empty, zero or hold
 null or non-finite components link with nothing; vectors of unequal lengths are
@@ -37,6 +37,8 @@ from proofsheet.session import saved
 NEIGHBOURS, TREES, LEAF, DESCENTS, SEED = 8, 5, 128, 2, 0
 #: Points of one block, and of one matrix product, when a label is compared with itself.
 LABEL_BLOCK, TILE = 16384, 2048
+#: Points that introduce their neighbours in one task group, on average.
+HOSTS = 4096
 
 
 def _matrix(vectors) -> np.ndarray:
@@ -63,7 +65,7 @@ def _depth(points: DataFrame) -> DataFrame:
 
 
 def _leaves(points: DataFrame, seed: int) -> DataFrame:
-    """(rid, label, v, tree, leaf, place): sides of random hyperplanes, and the place along one more direction.
+    """(rid, label, v, tree, leaf): sides of random hyperplanes.
 
     Each label has as many hyperplanes as its own count asks for; one that fits a leaf is one leaf, of one tree."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,17 +76,16 @@ def _leaves(points: DataFrame, seed: int) -> DataFrame:
             for depth, dim in set(kinds):
                 which = [i for i, kind in enumerate(kinds) if kind == (depth, dim)]
                 if (depth, dim) not in planes:
-                    planes[depth, dim] = np.random.default_rng([seed, depth, dim]).normal(size=(dim, TREES * (depth + 1)))
+                    planes[depth, dim] = np.random.default_rng([seed, depth, dim]).normal(size=(dim, TREES * depth))
                 side = _matrix([vectors[i] for i in which]) @ planes[depth, dim]
                 rows = batch.take(pa.array(which))
                 for t in range(TREES if depth else 1):
-                    own = side[:, t * (depth + 1):(t + 1) * (depth + 1)]
-                    leaf = ((own[:, :depth] > 0) @ (1 << np.arange(depth))).astype(np.int64) if depth else np.zeros(len(which), np.int64)
+                    leaf = ((side[:, t * depth:(t + 1) * depth] > 0) @ (1 << np.arange(depth))).astype(np.int64) if depth else np.zeros(len(which), np.int64)
                     yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), pa.array(np.full(len(which), t, np.int32)),
-                                                      pa.array(leaf), pa.array(own[:, depth])], ["rid", "label", "v", "tree", "leaf", "place"])
+                                                      pa.array(leaf)], ["rid", "label", "v", "tree", "leaf"])
 
     return (_depth(points).select("rid", "label", "v", "depth")
-            .mapInArrow(run, "rid long, label string, v array<double>, tree int, leaf long, place double"))
+            .mapInArrow(run, "rid long, label string, v array<double>, tree int, leaf long"))
 
 
 PAIRS = "a long, b long, s double"
@@ -103,15 +104,20 @@ def _top_pairs(ids: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
     return pd.DataFrame({"a": ids[a], "b": ids[b], "s": s[a, b]})
 
 
+def _runs(points: DataFrame, seed: int) -> DataFrame:
+    """The leaves' rows with ``run``: leaves of more than 2 * LEAF points are
+    dealt out in Spark, anew for each tree, so that no group grows with a set of near copies."""
+    leaves, leaf = _leaves(points, seed), ["label", "tree", "leaf"]
+    crowded = saved(leaves.groupBy(*leaf).agg(F.ceil(F.count("*") / (2 * LEAF)).alias("runs")).where("runs > 1"))
+    run = F.pmod(F.xxhash64("rid", "tree", F.lit(seed)), F.col("runs"))
+    return leaves.join(crowded, leaf, "left").withColumn("run", F.coalesce(run, F.lit(0))).drop("runs")
+
+
 def _start(points: DataFrame, seed: int) -> DataFrame:
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["place", "rid"])
-        ids, x = pdf["rid"].to_numpy(), _matrix(pdf["v"])
-        # a larger leaf goes along its places in overlapping runs
-        runs = range(0, max(1, len(ids) - LEAF), LEAF) if len(ids) > 2 * LEAF else [0]
-        return pd.concat([_top_pairs(ids[i:i + 2 * LEAF], x[i:i + 2 * LEAF], NEIGHBOURS) for i in runs])
+        return _top_pairs(pdf["rid"].to_numpy(), _matrix(pdf["v"]), NEIGHBOURS)
 
-    return _leaves(points, seed).groupBy("label", "tree", "leaf").applyInPandas(meet, PAIRS)
+    return _runs(points, seed).groupBy("label", "tree", "leaf", "run").applyInPandas(meet, PAIRS)
 
 
 def _best(pairs: DataFrame) -> DataFrame:
@@ -130,7 +136,7 @@ def _descend(lists: DataFrame, points: DataFrame) -> DataFrame:
     worst = lists.groupBy("a").agg(F.min("s").alias("worst"))
     host = lists.unionByName(back).select(F.col("a").alias("host"), F.col("b").alias("rid")).distinct()
     guests = host.join(points.select("rid", "v").join(worst, F.col("rid") == F.col("a")).select("rid", "v", "worst"), "rid")
-    blocks = points.sparkSession.sparkContext.defaultParallelism * 4
+    blocks = max(points.sparkSession.sparkContext.defaultParallelism * 4, -(-points.count() // HOSTS))
 
     def introduce(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []

@@ -235,6 +235,16 @@ def test_pairs_beside_a_hot_group_equal_brute_force(spark, monkeypatch):
     assert_equals_brute_force(spark, vectors)
 
 
+def test_near_copies_do_not_fill_one_task(spark, monkeypatch):
+    monkeypatch.setattr(nndescent, "LEAF", 32)
+    rnd = np.random.default_rng(46)
+    centre = unit(rnd, 32)
+    points = [(i, "a", [float(x) for x in rotated(rnd, centre, 0.9999)], 1) for i in range(2000)]
+    runs = nndescent._runs(spark.createDataFrame(points, "rid long, label string, v array<double>, size long"), 0)
+    groups = [r["n"] for r in runs.groupBy("label", "tree", "leaf", "run").agg(F.count("*").alias("n")).collect()]
+    assert sum(groups) == 2000 * nndescent.TREES and max(groups) <= 4 * 32
+
+
 # ---------------------------------------------------------------- op9
 def test_warc_round_trip(spark, tmp_path):
     rows = [(5, "http://a/%20x y", "<p>é</p>"), (3, "http://b/", "<p>é</p>"), (9, None, None), (4, "u", ""), (7, "u", "\r\n\r\nWARC/1.1\r\n"),
