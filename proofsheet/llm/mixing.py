@@ -3,7 +3,8 @@
 Weights run down a domain / language / source tree.  At each node the budget
 is shared among the children by weight; a child that cannot fill its share is
 filled up and the rest goes to its siblings; only what a whole subtree lacks
-reaches the siblings of its ancestors (a node's capacity is its subtree's).
+reaches the siblings of its ancestors (a node's capacity is that of its subtree's
+leaves without a weight of zero on their path).
 Each leaf then takes whole seeded epochs of its documents, and of the last
 epoch the longest prefix, in the seeded order, that fits the remaining tokens.
 
@@ -63,7 +64,10 @@ def budgets(leaves: DataFrame, levels: list[str], weights: list[tuple[dict[str,
             budget_share: float, max_epochs: int) -> DataFrame:
     """Token targets of the leaves.  ``leaves``: levels..., ``available`` tokens
     and ``n_docs``, one row per leaf (as many as there are sources)."""
-    node = leaves.withColumn("__cap0", (F.col("available") * max_epochs).cast("double"))
+    placed = F.lit(True)  # nothing is placed below a node of weight zero, so its subtree has no capacity
+    for level, (named, default) in zip(levels, weights):
+        placed = placed & (weight_of(F.col(level), named, default) > 0)
+    node = leaves.withColumn("__cap0", F.when(placed, (F.col("available") * max_epochs).cast("double")).otherwise(0.0))
     root = W.partitionBy(F.lit(0))
     node = node.withColumn("__b0", F.floor(F.sum("available").over(root) * F.lit(float(budget_share))).cast("double"))
     for i, level in enumerate(levels):

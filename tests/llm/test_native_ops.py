@@ -230,3 +230,10 @@ def test_mixing_fills_siblings_before_ancestors(spark):
     out = mixing.mix(df, mix_levels(), MIX_WEIGHTS, budget_share=0.7, max_epochs=2, seed=3).collect()
     assert sorted((r["doc_id"], r["epoch"]) for r in out) == sorted(brute_mix(rows, 0.7, 2, 3))
     assert mixing.mix(df.limit(0), mix_levels(), MIX_WEIGHTS, 0.5).count() == 0
+
+
+def test_mixing_gives_on_what_zero_weights_cannot_place(spark):
+    leaves = spark.createDataFrame([("A", "x", 10, 1), ("A", "y", 100, 1), ("B", "x", 100, 1)], "a string, b string, available long, n_docs long")
+    weights = [({}, 1.0), ({"y": 0.0}, 1.0)]
+    got = {(r["a"], r["b"]): r["target"] for r in mixing.budgets(leaves, ["a", "b"], weights, 0.5, 1).collect()}
+    assert got == {("A", "x"): 10, ("A", "y"): 0, ("B", "x"): 95}
