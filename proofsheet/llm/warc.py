@@ -315,14 +315,21 @@ def read_archives(spark: SparkSession, path: str, **options) -> DataFrame:
     return spark.read.format("warc").options(pushdown=pushdown, **options).load(path)
 
 
+def records_of(spark: SparkSession, path: str, record_type: str, **options) -> DataFrame:
+    """Records of one type: by a pushed filter where the session allows it, else the reader's option skips the others."""
+    if spark.conf.get("spark.sql.python.filterPushdown.enabled", "false").lower() != "true":
+        options["record_type"] = record_type
+    return read_archives(spark, path, **options).where(F.col("record_type") == record_type)
+
+
 def round_trip(pages: DataFrame, **options) -> DataFrame:
     """Pages written as archives into the shared folder and read back: responses
     with their payload checked, revisits by their headers alone."""
     spark = pages.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     write_pages(pages, path, **options)
-    responses = read_archives(spark, path, payload="true", verify="true", record_type="response")
-    revisits = read_archives(spark, path, record_type="revisit")
+    responses = records_of(spark, path, "response", payload="true", verify="true")
+    revisits = records_of(spark, path, "revisit")
     page = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
     return responses.unionByName(revisits).select(page(F.col("record_id")).alias("page_id"), "target_uri", "payload_bytes", "payload_digest", "record_type",
                                                   page(F.col("refers_to")).alias("refers_to"), "payload")

@@ -272,3 +272,21 @@ def test_warc_round_trip(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.python.filterPushdown.enabled")
     assert warc.round_trip(pages.limit(0)).count() == 0
+
+
+def test_warc_query_filters_by_pushdown(spark, monkeypatch):
+    pages = spark.createDataFrame([(1, "u", "a"), (2, "v", "a"), (3, "w", "b")], "page_id long, url string, html string")
+    asked, read = [], warc.read_archives
+    monkeypatch.setattr(warc, "read_archives", lambda *a, **b: asked.append(b) or read(*a, **b))
+    want = [(1, "response"), (2, "revisit"), (3, "response")]
+    for on in ("false", "true"):
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", on)
+        try:
+            got = warc.round_trip(pages)
+            assert sorted((r["page_id"], r["record_type"]) for r in got.collect()) == want
+            plan = got._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+        assert all(("record_type" in b) == (on == "false") for b in asked) and len(asked) == 2
+        assert ("record_type" in plan and "= response" in plan) == (on == "false"), plan  # pushed: the reader decides
+        asked.clear()
