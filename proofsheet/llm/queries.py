@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofsheet.llm import decontam, licenses, lm, mixing, nndescent, quality, sharding, simhash, toxicity, warc
+from proofsheet.llm import centroids, decontam, licenses, lm, mixing, nndescent, packing, quality, sharding, simhash, spelling, toxicity, warc
 from proofsheet.llm.text import held_out
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,6 +131,70 @@ def op9(spark, sf):
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+CLUSTERS, CLUSTER_ROUNDS = 8, 10
+
+
+def clusters_sql() -> str:
+    """All rounds as one chain of CTEs; every sum is one of integers."""
+    near = """a{0} as materialized (select v.r, any_value(v.vec_id) vec_id, any_value(v.e) e,
+      min({{'d': list_sum(list_transform(range(1, 65), lambda i: (v.e[i] - c.e[i]) * (v.e[i] - c.e[i]))), 'c': c.c}}) m from v, c{0} c group by v.r)"""
+    ctes = ["""v as materialized (select row_number() over () r, vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) e
+      from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)""",
+            """c0 as materialized (select row_number() over (order by sha256('3:' || coalesce(cast(vec_id as varchar), '')), e) - 1 c, e from v
+      order by sha256('3:' || coalesce(cast(vec_id as varchar), '')), e limit 8)"""]
+    for i in range(CLUSTER_ROUNDS + 1):
+        ctes.append(near.format(i))
+        if i < CLUSTER_ROUNDS:
+            ctes.append(f"""c{i + 1} as materialized (select c{i}.c, coalesce(w.e, c{i}.e) e from c{i} left join
+      (select c, list(cast((s - ((s % n) + n) % n) // n as bigint) order by i) e from
+        (select m.c c, i, sum(e[i]) s, count(*) n from a{i}, (select unnest(range(1, 65)) i) group by 1, 2) group by c) w using (c))""")
+    last = CLUSTER_ROUNDS
+    return f"""with {', '.join(ctes)}
+    select vec_id, cast(m.c as int) "cluster", cast(m.d as bigint) distance, cast(sum(m.d) over (partition by m.c) as bigint) cluster_inertia,
+      cast(sum(m.d) over () as bigint) inertia, sha256(array_to_string(c.e, ',')) centroid_sha256 from a{last} join c{last} c on c.c = m.c"""
+
+
+@register("op11_centroid_clusters", clusters_sql())
+def op11(spark, sf):
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return centroids.cluster(vectors, k=CLUSTERS, rounds=CLUSTER_ROUNDS).drop("centroid")
+
+
+#: crc32 by bytes (its table follows from the polynomial); a run's bytes are its code points, those of À-ÿ in two bytes.
+SPELLING_SQL = f"""
+with recursive crc_table as materialized (select list(t order by b) tab from (select b, list_reduce(list_prepend(cast(b as bigint), range(8)),
+    lambda x, y: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end) t from (select unnest(range(256)) b))),
+runs as (select coalesce(cast(doc_id as varchar), '') id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{{C0}}-\\x{{FF}}]+')) run from documents),
+once as (select id, run, count(*) k from runs where length(run) >= 5 group by 1, 2),
+bytes as (select run, k, flatten(list_transform(string_split(id || ':' || run, ''), lambda c:
+    case when unicode(c) < 128 then [cast(unicode(c) as bigint)] else [195, unicode(c) - 64] end)) b from once),
+hashed as (select run, k, xor(list_reduce(list_prepend(cast(4294967295 as bigint), b), lambda x, y: xor(x >> 8, tab[(xor(x, y) & 255) + 1])), 4294967295) h
+    from bytes, crc_table),
+w as (select case when h % 97 = 0 then run[:h % length(run)] || run[h % length(run) + 2:] else run end word, k from hashed),
+words as materialized (select word, cast(sum(k) as bigint) n from w where length(word) >= 5 group by 1 having sum(k) >= 3),
+less as materialized (select word, n, i, word[:i] || word[i + 2:] v from (select word, n, unnest(range(length(word))) i from words)),
+near as (select a.word, b.word u, b.n m from less a join less b on a.v = b.v and a.i = b.i and a.word <> b.word
+    union select a.word, b.word, b.n from less a join words b on a.v = b.word union select b.word, a.word, a.n from less a join words b on a.v = b.word),
+best as (select word, count(*) n_near, min({{'m': -m, 'u': u}}) b from near group by 1),
+f as materialized (select words.word, words.n, coalesce(n_near, 0) n_near, case when -b.m >= 2 * words.n then b.u end form,
+    case when -b.m >= 2 * words.n then cast(-b.m as bigint) end form_n from words left join best on best.word = words.word),
+chain as (select word, word here, 0 d from f union all select chain.word, f.form, d + 1 from chain join f on f.word = chain.here where f.form is not null)
+select f.word, form, root, n, n_near, form_n from f join (select word, arg_max(here, d) root from chain group by 1) r on r.word = f.word
+"""
+
+
+@register("op12_spelling_variants", SPELLING_SQL)
+def op12(spark, sf):
+    return spelling.variants(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@register("op13_packing")
+def op13(spark, sf):
+    out = packing.pack(table(spark, sf, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 @register("pipeline")
 def pipeline(spark, sf):
     import corpus_pipeline

@@ -67,12 +67,12 @@ def word_bytes(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_WORDS).split()
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut so that each holds about SLICE_BYTES of text; a
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut so that each holds about ``size`` bytes of text; a
     longer single text is a slice of its own."""
     for batch in batches:
-        size = batch.column(batch.schema.get_field_index(text)).nbytes
-        rows = max(1, int(batch.num_rows * SLICE_BYTES / max(size, SLICE_BYTES)))
+        held = batch.column(batch.schema.get_field_index(text)).nbytes
+        rows = max(1, int(batch.num_rows * size / max(held, size)))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
 
