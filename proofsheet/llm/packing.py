@@ -25,15 +25,19 @@ input columns other than id and text are not read.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from proofsheet.llm.text import slices
 
@@ -137,6 +141,48 @@ class Plan:
         return run[:, 3] + nth // run[:, 4], run[:, 5] + nth % run[:, 4] * length
 
 
+# ---------------------------------------------------------------- tokens
+#: FIXED VALUE: how byte-level BPE splits a text before its merges.
+BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters that every Unicode version classes alike; with them "<|" begins a special token.
+PLAIN, SPECIAL = re.compile(r"[\0-\u024F]*"), "<|"
+
+
+def merge_ranks(vocabulary: dict) -> dict[bytes, int] | None:
+    """The ranks of a plain byte-level BPE file, or None if the file asks for more than merges in the order of the ids."""
+    model, split = vocabulary["model"], vocabulary.get("pre_tokenizer") or {}
+    if model["type"] != "BPE" or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        return None
+    if vocabulary.get("normalizer") or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return None
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]  # bytes written as themselves, others from 256 on
+    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+    if [model["vocab"].get(m) for m in merged] != list(range(256, 256 + len(merged))):
+        return None
+    special = {t["content"] for t in vocabulary.get("added_tokens", [])}
+    if not all(t.startswith(SPECIAL) for t in special):
+        return None
+    return {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+
+
+class Encoder:
+    """Token ids as the library ``tokenizers`` gives them for a vocabulary file.
+    For plain byte-level BPE the same merges run in ``tiktoken``, which takes a
+    third of the time, on all texts whose characters both split alike."""
+
+    def __init__(self, tokenizer_json: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # every core has a task of its own
+        self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        ranks = merge_ranks(json.loads(tokenizer_json))
+        self.fast = tiktoken.Encoding("file", pat_str=BYTE_LEVEL_SPLIT, mergeable_ranks=ranks, special_tokens={}) if ranks else None
+
+    def ids(self, text: str) -> list[int]:
+        if self.fast and SPECIAL not in text and (text.isascii() or PLAIN.fullmatch(text)):
+            return self.fast.encode_ordinary(text)
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 # ---------------------------------------------------------------- tasks
 PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -184,18 +230,16 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
         vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # every core has a task of its own
-        tokenizer = Tokenizer.from_str(vocabulary.value)
+        encoder = Encoder(vocabulary.value)
         first, tokens = TaskContext.get().partitionId() << 40, 0
         doc_ids: list[int | None] = []
         ids: list[np.ndarray] = []
         for batch in slices(batches, size=TEXT_BYTES):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-                ids.append(np.array([*e.ids, end_id], "<u4"))
-                tokens += len(ids[-1])
+            for text in batch.column(1).to_pylist():
+                own = encoder.ids(text or "")
+                own.append(end_id)
+                ids.append(np.array(own, "<u4"))
+                tokens += len(own)
             doc_ids += batch.column(0).to_pylist()
             if tokens > BLOCK_TOKENS or len(ids) > BLOCK_ROWS:
                 first += yield from pack_block(doc_ids, ids, capacity, first)

@@ -270,6 +270,18 @@ def test_packing_is_an_exact_cover(spark, monkeypatch, tokens):
     check_packing(spark, df.repartition(3), 256)
 
 
+def test_both_encoders_agree():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, plain = packing.Encoder(open(path, encoding="utf-8").read()), Tokenizer.from_file(path)
+    assert encoder.fast is not None
+    rnd = random.Random(6)
+    letters = [*"abc XYZ019'.,;<|>\n\t  _-äßñÿ\u00a0\u0085\u01c5", "<|endoftext|>", "\u3042", "\U0001F600", "'ll", "'s", "\u0300"]
+    texts = ["".join(rnd.choices(letters, k=rnd.randrange(0, 60))) for _ in range(3000)]
+    assert sum(packing.PLAIN.fullmatch(t) is not None for t in texts) > 300
+    assert [encoder.ids(t) for t in texts] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert packing.Encoder(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()).fast is None
+
+
 def test_packing_of_a_table(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     sequences = check_packing(spark, df)
