@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition,
                                     WriterCommitMessage)
 
-from proofsheet.session import checkpoint_dir
+from proofsheet.session import checkpoint_dir, saved
 
 ROLL_BYTES = 64 << 20
 #: Column of the data source -> WARC header (fixed names of the format).
@@ -50,6 +50,8 @@ SCHEMA = ", ".join(f"{c} string" for c in HEADERS) + ", payload_bytes long, payl
 WRITE_SCHEMA = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload binary"
 #: A fixed date: archives of the same rows are the same bytes.
 DATE = "1970-01-01T00:00:00Z"
+#: Repeated digests that are broadcast at once (about 100 bytes each), and pages of one digest that no single task should get.
+BROADCAST_DIGESTS, HOT_PAGES = 1 << 19, 1 << 12
 #: Rows and payload bytes of a batch handed to Spark.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
@@ -121,17 +123,16 @@ class WarcReader(DataSourceReader):
         self.path = options["path"]
         self.payload = options.get("payload", "false").lower() == "true"
         self.verify = options.get("verify", "false").lower() == "true"
-        #: header (lower case) -> values of which a record must have one
+        #: column, or header in lower case, -> values of which a record must have one
         self.wanted: dict[str, set[str]] = {}
         if "record_type" in options:
-            self.want("WARC-Type", {options["record_type"]})
+            self.want("record_type", {options["record_type"]})
         for name, value in options.items():
             if name.lower().startswith("header."):
-                self.want(name[len("header."):], {value})
+                self.want(name[len("header."):].lower(), {value})
 
-    def want(self, header: str, values: set[str]) -> None:
-        header = header.lower()
-        self.wanted[header] = self.wanted[header] & values if header in self.wanted else values
+    def want(self, name: str, values: set[str]) -> None:
+        self.wanted[name] = self.wanted[name] & values if name in self.wanted else values
 
     def partitions(self):
         fs, path = filesystem(self.path)
@@ -146,7 +147,12 @@ class WarcReader(DataSourceReader):
     def records(self, stream) -> Iterator[tuple]:
         while (headers := parse_headers(stream)) is not None:
             length = int(headers["content-length"])
-            if any(headers.get(h) not in values for h, values in self.wanted.items()):
+            row = {c: headers.get(h.lower()) for c, h in HEADERS.items()}
+            if row["target_uri"] is not None:
+                row["target_uri"] = urllib.parse.unquote(row["target_uri"])
+            if row["payload_digest"] is not None:
+                row["payload_digest"] = row["payload_digest"].removeprefix("sha1:")
+            if any((row[x] if x in row else headers.get(x)) not in values for x, values in self.wanted.items()):
                 stream.seek(length, io.SEEK_CUR)
                 continue
             used, size = http_size(stream, length) if "http" in headers.get("content-type", "") else (0, length)
@@ -157,11 +163,6 @@ class WarcReader(DataSourceReader):
                     raise ValueError(f"payload of {headers.get('warc-record-id')} differs from its digest")
             else:
                 stream.seek(length - used, io.SEEK_CUR)
-            row = {c: headers.get(h.lower()) for c, h in HEADERS.items()}
-            if row["target_uri"] is not None:
-                row["target_uri"] = urllib.parse.unquote(row["target_uri"])
-            if row["payload_digest"] is not None:
-                row["payload_digest"] = row["payload_digest"].removeprefix("sha1:")
             yield (*row.values(), size if size >= 0 else length - used, payload)
 
     def read(self, partition: ArchiveFile | None) -> Iterator[pa.RecordBatch]:
@@ -195,10 +196,10 @@ class PushingReader(WarcReader):
     def pushFilters(self, filters: list[Filter]):
         for f in filters:
             name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
-            if name in HEADERS and name not in ("target_uri", "payload_digest") and isinstance(f, (EqualTo, EqualNullSafe)) and isinstance(f.value, str):
-                self.want(HEADERS[name], {f.value})
-            elif name in HEADERS and name not in ("target_uri", "payload_digest") and isinstance(f, In):
-                self.want(HEADERS[name], {v for v in f.value if isinstance(v, str)})
+            if name in HEADERS and isinstance(f, (EqualTo, EqualNullSafe)) and isinstance(f.value, str):
+                self.want(name, {f.value})
+            elif name in HEADERS and isinstance(f, In):
+                self.want(name, {v for v in f.value if isinstance(v, str)})
             else:
                 yield f  # Spark keeps what the headers do not decide
 
@@ -219,9 +220,9 @@ class WarcWriter(DataSourceArrowWriter):
         names, out, size = [], None, 0
         try:
             for batch in iterator:
-                for row in batch.to_pylist():
-                    payload = row.pop("payload")
-                    body = payload or b""
+                payloads = batch.column("payload")
+                for i, row in enumerate(batch.drop_columns("payload").to_pylist()):
+                    body = payloads[i].as_py() or b""  # one payload at a time
                     n = row.pop("payload_bytes", None)
                     data = record(row, None if row["record_type"] == "revisit" else body, len(body) if n is None else n)
                     data = gzip.compress(data, 6) if self.compress else data
@@ -274,17 +275,23 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcSource)
 
 
-def page_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0, salts: int = 32) -> DataFrame:
+def page_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0) -> DataFrame:
     """Pages as WARC records, revisits of equal payloads among them.
 
-    Payload groups are counted by digest before any page moves; only repeated
-    payloads are joined back, salted, as one may hold a third of all pages."""
+    What is a revisit follows from digests and ids alone.  The repeated digests
+    meet the pages by a broadcast where they are few (their number is counted
+    first), so no payload moves.  Beyond that those of more than HOT_PAGES pages
+    are broadcast, at most one for each HOT_PAGES pages of the table, and the
+    pages of the others are joined by digest."""
     body = F.coalesce(F.col(html), F.lit(""))
     rows = pages.select(F.col(page_id).cast("long").alias("page"), F.col(url).cast("string").alias("target_uri"), body.cast("binary").alias("payload"),
                         F.sha1(body.cast("binary")).alias("sha"), F.octet_length(body).cast("long").alias("payload_bytes"))
-    again = (rows.where(F.col("payload_bytes") >= min_bytes).groupBy("sha").agg(F.min("page").alias("first"), F.count("*").alias("n"))
-             .where("n > 1").select("sha", "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page"), F.lit(salts)).cast("int")).join(again, ["sha", "salt"], "left")
+    again = saved(rows.where(F.col("payload_bytes") >= min_bytes).groupBy("sha").agg(F.min("page").alias("first"), F.count("*").alias("n")).where("n > 1"))
+    if again.count() <= BROADCAST_DIGESTS:
+        rows = rows.join(F.broadcast(again.drop("n")), "sha", "left")
+    else:
+        hot, others = again.where(F.col("n") > HOT_PAGES).drop("n"), again.where(F.col("n") <= HOT_PAGES).drop("n")
+        rows = rows.join(F.broadcast(hot), "sha").unionByName(rows.join(F.broadcast(hot), "sha", "left_anti").join(others, "sha", "left"))
     revisit = F.col("page") > F.col("first")
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     return rows.select(urn(F.col("page")).alias("record_id"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), "target_uri",
