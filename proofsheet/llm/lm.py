@@ -2,154 +2,194 @@
 noise-contrastive estimation.
 
 Counts: one pass sums every training token; the table of counts grows with the
-corpus and stays distributed.  A head of at most HEAD_WORDS frequent tokens is
-broadcast; texts' other tokens meet their counts by a join.
+corpus and stays distributed.  A head of its frequent tokens is broadcast;
+texts' other tokens meet their counts by a join.
 
 Model: the feature vectors of the CONTEXT tokens before, each weighted by its
-position's vector, add up to a predicted vector; its products with the output
-vectors, plus biases, give unnormalised scores.  Outputs are the OUT_WORDS most
-frequent tokens and OUT_CLASSES classes of the others by their last bytes; a
-class hands its mass to its tokens by their discounted counts, and what the
-discount frees to the one unseen token, so that each context's probabilities
-add up to one over the V known tokens and an unseen one.
+position's vector, add up to a predicted vector r.  Words have output vectors
+of their own; they are dealt into classes of like endings, and
+P(word | context) = P(class | context) * P(word | class, context), both a
+softmax of products with r plus biases.  Classes and the words of a class grow
+with the cube root of the number V of distinct tokens, so that the words with
+own vectors grow with V^(2/3) and the cost of a token with V^(1/3).  Tokens
+beyond them fall into rare classes by their last bytes; a rare class is an
+output like the others and hands its mass to its tokens by their discounted
+counts, and what the discount frees to the one unseen token.  So the
+probabilities after each context add up to one over the V known tokens and an
+unseen one of each rare class.
 
 Training: every partition of the training texts runs noise-contrastive
-estimation in numpy over all its tokens from the same start, with noise from
-the class frequencies; the parameters are averaged by tokens, in a tree on the
-executors.  Scoring normalises with one matrix product for a block of tokens.
+estimation in numpy over all its tokens, for the classes with noise from the
+class frequencies and inside each class with noise from its words; parameters
+are averaged by tokens, in a tree on the executors.  Scoring normalises with
+matrix products, for the words one product a class over the block's tokens of it.
 
 Defined results: null and empty texts are the end token alone; repeated rows
 are counted and scored one by one; without training texts N is 0 and every
-token unseen; an empty table gives no rows; outputs replace input columns.
+token, the end too, unseen; an empty table gives no rows; outputs replace input
+columns.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofsheet.llm.text import slices, token_bytes
+from proofsheet.llm.text import slices
 from proofsheet.session import saved
 
-#: Tokens whose counts are broadcast; of them, context words and single outputs.
-HEAD_WORDS, CONTEXT_WORDS, OUT_WORDS = 1 << 17, 1 << 13, 160
-CONTEXT_CLASSES, OUT_CLASSES = 512, 96
-DIM, CONTEXT, NOISE, BATCH, RATE = 16, 3, 32, 8192, 0.15
-#: Discount of a class's token counts.
+#: Tokens whose counts are broadcast, at least; classes of rare tokens on the context side.
+HEAD_WORDS, CONTEXT_CLASSES = 1 << 17, 512
+DIM, CONTEXT, NOISE, WORD_NOISE, BATCH, RATE = 16, 3, 32, 16, 1 << 14, 0.15
+#: Discount of a rare class's token counts.
 DISCOUNT = 0.5
 END = b""
-#: Tokens scored at once.
-BLOCK = 1 << 15
-#: Distinct tokens that a counting task holds before it hands them on.
-COUNT_WORDS = 400_000
-
-
-def ending(token: bytes) -> int:
-    return zlib.crc32(token[-3:])
+#: Tokens scored together, and tokens of one class product.
+CHUNK, BLOCK = 1 << 17, 1 << 12
+#: Bias of the places of a class that no word has.
+NO_WORD = -1e30
+
+
+# ---------------------------------------------------------------- tokens
+def tokens_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(lowered white-space tokens of all texts in one array, their number in each text)."""
+    spaced = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    lists = pc.ascii_split_whitespace(spaced)
+    n = np.diff(lists.offsets.to_numpy())
+    flat, empty = lists.flatten(), pc.equal(pc.binary_length(spaced), 0).to_numpy(zero_copy_only=False)
+    if empty.any():  # such a text is split into one empty token
+        flat, n = flat.filter(pc.greater(pc.binary_length(flat), 0)), np.where(empty, 0, n)
+    return flat.cast(pa.binary()), n
+
+
+def endings(tokens: pa.Array) -> np.ndarray:
+    """A number of 16 bits from the last three bytes of each token."""
+    _, offsets, data = tokens.buffers()
+    if not len(tokens):
+        return np.empty(0, np.int64)
+    at = np.frombuffer(offsets, np.int32)[tokens.offset:tokens.offset + len(tokens) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(1, np.uint8)
+    mark = np.zeros(len(tokens), np.int64)
+    for k in (3, 2, 1):
+        mark = mark << 8 | np.where(at[1:] - at[:-1] >= k, data[np.clip(at[1:] - k, 0, len(data) - 1)], 0)
+    return (mark * 2654435761 & 0xFFFFFFFF) >> 16
 
 
 def count_tokens(texts: DataFrame) -> DataFrame:
-    """(token, cls, n) over all texts, the end of each included."""
+    """(token, mark, n) over all texts, the end of each included."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-
-        def part():
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array([ending(t) % OUT_CLASSES for t in counts], pa.int32()),
-                                               pa.array(list(counts.values()), pa.int64())], ["token", "cls", "n"])
-
+        ends = 0
         for batch in slices(batches):
-            for text in batch.column(0).to_pylist():
-                counts.update(token_bytes(text))
-                if len(counts) > COUNT_WORDS:
-                    yield part()
-                    counts.clear()
-            counts[END] += batch.num_rows
-        if counts:
-            yield part()
+            flat, _ = tokens_of(batch.column(0))
+            counts = pc.value_counts(flat)
+            token = counts.field("values")
+            yield pa.RecordBatch.from_arrays([token, pa.array(endings(token), pa.int32()), counts.field("counts")], ["token", "mark", "n"])
+            ends += batch.num_rows
+        if ends:
+            token = pa.array([END], pa.binary())
+            yield pa.RecordBatch.from_arrays([token, pa.array(endings(token), pa.int32()), pa.array([ends], pa.int64())], ["token", "mark", "n"])
 
-    return texts.mapInArrow(run, "token binary, cls int, n long").groupBy("token", "cls").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "token binary, mark int, n long").groupBy("token", "mark").agg(F.sum("n").alias("n"))
 
 
 class Vocabulary:
-    """The head of the counts and what follows from it.  Plain data: it is broadcast as a dict."""
+    """The head of the counts and what follows from it.  Plain data: ``shared`` is broadcast."""
 
     def __init__(self, counts: DataFrame):
         level = F.floor(F.log2(F.col("n")) * 8).cast("int")
         steps = counts.groupBy(level.alias("level")).agg(F.count("*").alias("v"), F.sum("n").alias("n")).collect()  # a few hundred
         self.total, self.distinct = sum(r["n"] for r in steps), sum(r["v"] for r in steps)
-        self.level, size = 10 ** 6, 0
+        side = 1 << max(2, (self.distinct + 1).bit_length() // 3)  # words of a class, and classes
+        self.side, self.rare = side, max(2, side // 2)
+        most, lowest, size = max(HEAD_WORDS, side * side), 10 ** 6, 0
         for r in sorted(steps, key=lambda r: -r["level"]):
             size += r["v"]
-            if size > HEAD_WORDS:
+            if size > most:
                 break
-            self.level = r["level"]
-        self.tail = counts.where(level < self.level)
-        head = [(bytes(t), n) for t, n in counts.where((level >= self.level) & (F.col("token") != F.lit(END))).select("token", "n").collect()]
-        head.sort(key=lambda x: (-x[1], x[0]))
+            lowest = r["level"]
+        self.tail = counts.where(level < lowest)
+        head = [(bytes(t), m, n) for t, m, n in counts.where((level >= lowest) & (F.col("token") != F.lit(END))).select("token", "mark", "n").collect()]
+        head.sort(key=lambda x: (-x[2], x[0]))
         ends = counts.where(F.col("token") == F.lit(END)).agg(F.sum("n")).first()[0] or 0
-        head = [(END, ends), *head]
-        single = [t for t, _ in head[:OUT_WORDS]]
-        rest = {r["cls"]: (r["n"], r["v"]) for r in counts.where(~F.col("token").isin(single)).groupBy("cls")
+        # the end token and the most frequent ones are words; words of like endings make a class
+        words = sorted([(END, 0, ends), *head[:side * side - 1]], key=lambda x: x[0][::-1])
+        others = head[side * side - 1:]
+        self.classes = -(-len(words) // side)
+        rest = {r["cls"]: [r["n"], r["v"]] for r in counts.groupBy((F.col("mark") % self.rare).alias("cls"))
                 .agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
-        outs = OUT_WORDS + OUT_CLASSES
-        self.class_n = np.array([rest.get(c, (0, 0))[0] for c in range(OUT_CLASSES)], float)
-        self.class_v = np.array([rest.get(c, (0, 0))[1] for c in range(OUT_CLASSES)], float)
-        n = np.array([c for _, c in head], float)
-        self.words = {t: i for i, (t, _) in enumerate(head)}
-        rank = np.arange(len(head))
-        ends_ = np.array([ending(t) for t, _ in head])
-        self.context = np.where(rank < CONTEXT_WORDS, rank, CONTEXT_WORDS + ends_ % CONTEXT_CLASSES).astype(np.int32)
-        self.out = np.where(rank < OUT_WORDS, rank, OUT_WORDS + ends_ % OUT_CLASSES).astype(np.int32)
+        for _, mark, n in words:
+            if n:
+                mark = int(endings(pa.array([END], pa.binary()))[0]) if not _ else mark
+                rest[mark % self.rare][0] -= n
+                rest[mark % self.rare][1] -= 1
+        self.rare_n = np.array([rest.get(c, (0, 0))[0] for c in range(self.rare)], float)
+        self.rare_v = np.array([rest.get(c, (0, 0))[1] for c in range(self.rare)], float)
+        self.tokens = pa.array([t for t, _, _ in [*words, *others]], pa.binary())
+        n = np.array([c for _, _, c in [*words, *others]], float)
+        i, mark = np.arange(len(n)), np.array([m for _, m, _ in [*words, *others]], np.int64)
+        self.words = len(words)
+        own = i < self.words
+        self.known = n > 0
+        self.context = np.where(own, i, self.words + mark % CONTEXT_CLASSES).astype(np.int32)
+        self.cls = np.where(own, i // side, self.classes + mark % self.rare).astype(np.int32)
         self.base = np.log10((n + 1) / (self.total + self.distinct + 1))
-        inside = (n - DISCOUNT) / (self.class_n[np.clip(self.out - OUT_WORDS, 0, None)] + 1)
-        self.inside = np.where(rank < OUT_WORDS, 0.0, np.log10(np.maximum(inside, 1e-300)))
-        mass = np.zeros(outs)
-        mass[:min(len(head), OUT_WORDS)] = n[:OUT_WORDS]
-        mass[OUT_WORDS:] = self.class_n + 1
-        self.noise = (mass + 1e-3) / (mass + 1e-3).sum()
+        inside = (n - DISCOUNT) / (self.rare_n[mark % self.rare] + 1)
+        self.inside = np.where(own, 0.0, np.log10(np.maximum(inside, 1e-300)))
+        self.end = next(k for k, w in enumerate(words) if w[0] == END)
+        mass = np.zeros(self.classes * side)
+        mass[:self.words] = n[:self.words] + 1e-3
+        mass = mass.reshape(self.classes, side)
+        self.class_noise = np.concatenate([mass.sum(axis=1), self.rare_n + 1])
+        self.class_noise /= self.class_noise.sum()
+        self.word_noise = mass / mass.sum(axis=1, keepdims=True)
 
     def shared(self) -> dict:
-        return {"words": self.words, "context": self.context, "out": self.out, "base": self.base, "inside": self.inside, "noise": self.noise}
-
-
-PAD = CONTEXT_WORDS + CONTEXT_CLASSES  # before a text's first token
-
-
-def encode(texts: list[str | None], v: dict):
-    """Of a block of texts: context ids with CONTEXT pads before each text,
-    output ids (-1 at pads), head numbers (-1 for other tokens), and each
-    text's other tokens with their counts."""
-    get, context, out = v["words"].get, v["context"], v["out"]
-    numbers, marks, others = [], [], []
-    for text in texts:
-        tokens = token_bytes(text)
-        got = [get(t, -1) for t in tokens]
-        rare = [(i, t) for i, (g, t) in enumerate(zip(got, tokens)) if g < 0]
-        others.append(Counter(t for _, t in rare))
-        marks.append([(i, ending(t)) for i, t in rare])
-        numbers.append([-2] * CONTEXT + got + [0])
-    lengths = np.array([len(x) for x in numbers])
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(lengths) else np.empty(0, int)
-    number = np.fromiter((x for xs in numbers for x in xs), dtype=np.int64, count=int(lengths.sum()))
-    known = np.maximum(number, 0)
-    c, o = context[known].copy(), out[known].copy()
-    c[number == -2], o[number == -2] = PAD, -1
-    at = np.fromiter((s + CONTEXT + i for s, m in zip(starts, marks) for i, _ in m), dtype=np.int64)
-    e = np.fromiter((h for m in marks for _, h in m), dtype=np.int64)
-    c[at], o[at] = CONTEXT_WORDS + e % CONTEXT_CLASSES, OUT_WORDS + e % OUT_CLASSES
-    return c, o, number, starts, others
-
-
-def start_parameters(noise: np.ndarray) -> list[np.ndarray]:
+        return {k: getattr(self, k) for k in ("side", "rare", "classes", "words", "tokens", "known", "context", "cls", "base", "inside", "end", "class_noise", "word_noise")}
+
+
+class Encoded:
+    """A slice of texts as numbers: CONTEXT pads, a text's tokens, the end token, text after text."""
+
+    def __init__(self, texts: pa.Array, v: dict):
+        flat, n = tokens_of(texts)
+        found = pc.index_in(flat, value_set=v["tokens"])
+        lost = found.is_null().to_numpy(zero_copy_only=False)
+        index = pc.fill_null(found, -1).to_numpy().astype(np.int64)
+        self.start = np.concatenate([[0], np.cumsum(n + CONTEXT + 1)[:-1]]).astype(np.int64) if len(n) else np.empty(0, np.int64)
+        row = np.repeat(np.arange(len(n)), n)
+        place = self.start[row] + CONTEXT + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        ends = self.start + CONTEXT + n
+        size = int((n + CONTEXT + 1).sum())
+        #: number in the head, -1 for other tokens, -2 for pads
+        self.number = np.full(size, -2, np.int64)
+        self.number[place], self.number[ends] = index, v["end"]
+        self.rare = flat.filter(pa.array(lost))
+        self.rare_row, self.rare_mark = row[lost], endings(self.rare)
+        known = np.maximum(self.number, 0)
+        self.context = np.where(self.number == -2, v["words"] + CONTEXT_CLASSES, v["context"][known]).astype(np.int32)
+        self.cls = np.where(self.number == -2, -1, v["cls"][known]).astype(np.int32)
+        self.context[place[lost]] = v["words"] + self.rare_mark % CONTEXT_CLASSES
+        self.cls[place[lost]] = v["classes"] + self.rare_mark % v["rare"]
+        #: number of the word, -1 where the token has no vector of its own
+        self.word = np.where((self.number >= 0) & (self.number < v["words"]), self.number, -1)
+        self.at = np.flatnonzero(self.number != -2)
+        self.n_tokens = n + 1
+
+
+# ---------------------------------------------------------------- model
+def start_parameters(v: dict) -> list[np.ndarray]:
+    """Context vectors, position vectors, class and word outputs with biases: at the start the classes' and words' frequencies."""
     rnd = np.random.default_rng(11)
-    return [rnd.normal(0, 0.1, (PAD + 1, DIM)).astype(np.float32), np.full((CONTEXT, DIM), 1.0 / CONTEXT, np.float32),
-            rnd.normal(0, 0.1, (len(noise), DIM)).astype(np.float32), np.log(noise).astype(np.float32)]
+    shape = v["word_noise"].shape
+    bias = np.where(v["word_noise"] > 0, np.log(np.maximum(v["word_noise"], 1e-300)), NO_WORD)
+    return [rnd.normal(0, 0.1, (v["words"] + CONTEXT_CLASSES + 1, DIM)).astype(np.float32), np.full((CONTEXT, DIM), 1.0 / CONTEXT, np.float32),
+            rnd.normal(0, 0.1, (len(v["class_noise"]), DIM)).astype(np.float32), np.log(v["class_noise"]).astype(np.float32),
+            rnd.normal(0, 0.1, (shape[0] * shape[1], DIM)).astype(np.float32), bias.ravel().astype(np.float32)]
 
 
 def predicted(c: np.ndarray, at: np.ndarray, words: np.ndarray, position: np.ndarray):
@@ -157,55 +197,90 @@ def predicted(c: np.ndarray, at: np.ndarray, words: np.ndarray, position: np.nda
     return parts, sum(p * position[i] for i, p in enumerate(parts))
 
 
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -15, 15)))
+
+
+def added(cells: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
+    """Rows of ``values`` added up by ``cells``."""
+    flat = (cells[:, None] * DIM + np.arange(DIM)).ravel()
+    return np.bincount(flat, values.ravel(), minlength=rows * DIM).reshape(rows, DIM)
+
+
+def by_class(cls: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(class, places) of the classes that occur."""
+    order = np.argsort(cls, kind="stable")
+    cuts = np.flatnonzero(np.diff(cls[order])) + 1
+    for places in np.split(order, cuts) if len(order) else []:
+        yield int(cls[places[0]]), places
+
+
 class Trainer:
     """Noise-contrastive estimation with noise shared within a batch, Adagrad steps."""
 
-    def __init__(self, noise: np.ndarray, seed: int):
-        self.noise, self.p = noise, start_parameters(noise)
+    def __init__(self, v: dict, seed: int):
+        self.v, self.p = v, start_parameters(v)
         self.g2 = [np.full(x.shape, 1e-6, np.float32) for x in self.p]
-        self.rnd, self.log_noise = np.random.default_rng(seed), np.log(noise * NOISE).astype(np.float32)
-
-    def step(self, c: np.ndarray, at: np.ndarray, target: np.ndarray) -> None:
-        words, position, out, bias = self.p
-        parts, r = predicted(c, at, words, position)
-        drawn = self.rnd.choice(len(self.noise), size=NOISE, p=self.noise)
+        self.rnd = np.random.default_rng(seed)
+        self.log_class = np.log(v["class_noise"] * NOISE).astype(np.float32)
+        self.log_word = np.log(np.maximum(v["word_noise"] * WORD_NOISE, 1e-300)).astype(np.float32).ravel()
+        self.until = np.cumsum(v["word_noise"], axis=1)
+
+    def learn(self, x: Encoded) -> None:
+        at = self.rnd.permutation(x.at)
+        for i in range(0, len(at), BATCH):
+            self.step(x, at[i:i + BATCH])
+
+    def step(self, x: Encoded, at: np.ndarray) -> None:
+        words, position, out, bias, word_out, word_bias = self.p
+        parts, r = predicted(x.context, at, words, position)
+        n, target = np.float32(len(at)), x.cls[at]
+        drawn = self.rnd.choice(len(out), size=NOISE, p=self.v["class_noise"])
         q_t, q_n = out[target], out[drawn]
-        s_t = np.einsum("ij,ij->i", r, q_t) + bias[target] - self.log_noise[target]
-        s_n = r @ q_n.T + (bias[drawn] - self.log_noise[drawn])
-        n = np.float32(len(at))
-        e_t = (1 / (1 + np.exp(-np.clip(s_t, -15, 15))) - 1) / n  # towards 1
-        e_n = (1 / (1 + np.exp(-np.clip(s_n, -15, 15)))) / n  # towards 0
+        e_t = (sigmoid(np.einsum("ij,ij->i", r, q_t) + bias[target] - self.log_class[target]) - 1) / n  # towards 1
+        e_n = sigmoid(r @ q_n.T + (bias[drawn] - self.log_class[drawn])) / n  # towards 0
         g_r = e_t[:, None] * q_t + e_n @ q_n
-        k, d = len(out), DIM
-        cells = lambda ids: (ids[:, None] * d + np.arange(d)).ravel()
-        g_out = np.bincount(cells(target), (e_t[:, None] * r).ravel(), minlength=k * d).reshape(k, d)
+        g_out = added(target, e_t[:, None] * r, len(out))
         np.add.at(g_out, drawn, e_n.T @ r)
-        g_bias = np.bincount(target, e_t, minlength=k) + np.bincount(drawn, e_n.sum(axis=0), minlength=k)
-        g_words, g_position = np.zeros(words.size), np.empty_like(position)
+        g_bias = np.bincount(target, e_t, minlength=len(out)) + np.bincount(drawn, e_n.sum(axis=0), minlength=len(out))
+        # inside the classes of words
+        own = np.flatnonzero(x.word[at] >= 0)
+        word = x.word[at[own]]
+        u_t, r_own = word_out[word], r[own]
+        f_t = (sigmoid(np.einsum("ij,ij->i", r_own, u_t) + word_bias[word] - self.log_word[word]) - 1) / n
+        g_own = f_t[:, None] * u_t
+        g_words_out = added(word, f_t[:, None] * r_own, len(word_out))
+        g_word_bias = np.bincount(word, f_t, minlength=len(word_out))
+        side = self.v["side"]
+        for c, places in by_class(word // side):
+            noise = c * side + np.minimum(np.searchsorted(self.until[c], self.rnd.random(WORD_NOISE) * self.until[c, -1], side="right"), side - 1)
+            u_n, r_c = word_out[noise], r_own[places]
+            f_n = sigmoid(r_c @ u_n.T + (word_bias[noise] - self.log_word[noise])) / n
+            g_own[places] += f_n @ u_n
+            np.add.at(g_words_out, noise, f_n.T @ r_c)
+            np.add.at(g_word_bias, noise, f_n.sum(axis=0))
+        g_r[own] += g_own
+        g_context, g_position = np.zeros(words.shape), np.empty_like(position)
         for i, p in enumerate(parts):
-            g_words += np.bincount(cells(c[at - 1 - i]), (g_r * position[i]).ravel(), minlength=words.size)
+            g_context += added(x.context[at - 1 - i], g_r * position[i], len(words))
             g_position[i] = np.einsum("ij,ij->j", g_r, p)
-        for x, g2, g in zip(self.p, self.g2, (g_words.reshape(words.shape), g_position, g_out, g_bias)):
+        for value, g2, g in zip(self.p, self.g2, (g_context, g_position, g_out, g_bias, g_words_out, g_word_bias)):
             g = g.astype(np.float32)
             g2 += g * g
-            x -= np.float32(RATE) * g / np.sqrt(g2)
+            value -= np.float32(RATE) * g / np.sqrt(g2)
 
 
-def train(texts: DataFrame, vocabulary: Vocabulary, shared) -> list[np.ndarray]:
+def train(texts: DataFrame, shared) -> list[np.ndarray]:
     """Parameters averaged over the partitions of ``texts``, by tokens."""
-    shapes = [x.shape for x in start_parameters(vocabulary.noise)]
+    start = start_parameters(shared.value)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, trainer, seen = shared.value, None, 0
         for batch in slices(batches):
-            c, o, _, _, _ = encode(batch.column(0).to_pylist(), v)
-            at = np.flatnonzero(o >= 0)
-            trainer = trainer or Trainer(v["noise"], 3)
-            trainer.rnd.shuffle(at)
-            for i in range(0, len(at), BATCH):
-                part = at[i:i + BATCH]
-                trainer.step(c, part, o[part])
-            seen += len(at)
+            trainer = trainer or Trainer(v, 3)
+            x = Encoded(batch.column(0), v)
+            trainer.learn(x)
+            seen += len(x.at)
         if seen:
             flat = np.concatenate([x.ravel() for x in trainer.p])
             yield pa.RecordBatch.from_arrays([pa.array([flat.tobytes()], pa.binary()), pa.array([seen], pa.int64())], ["p", "n"])
@@ -213,34 +288,50 @@ def train(texts: DataFrame, vocabulary: Vocabulary, shared) -> list[np.ndarray]:
     def add(a, b):
         return a[0] + b[0], a[1] + b[1]
 
-    nothing = (np.zeros(sum(int(np.prod(s)) for s in shapes)), 0)
+    nothing = (np.zeros(sum(x.size for x in start)), 0)
     done = (texts.mapInArrow(run, "p binary, n long").rdd
             .map(lambda r: (np.frombuffer(r[0], np.float32).astype(np.float64) * r[1], r[1])).treeAggregate(nothing, add, add, depth=3))
     if not done[1]:
-        return start_parameters(vocabulary.noise)
+        return start
     flat, out, at = (done[0] / done[1]).astype(np.float32), [], 0
-    for s in shapes:
-        out.append(flat[at:at + int(np.prod(s))].reshape(s))
-        at += int(np.prod(s))
+    for x in start:
+        out.append(flat[at:at + x.size].reshape(x.shape))
+        at += x.size
     return out
 
 
-def token_log10(c: np.ndarray, o: np.ndarray, p: list[np.ndarray]) -> np.ndarray:
-    """log10 P(output | context) at every place with an output, 0 elsewhere."""
-    words, position, out, bias = p
-    result = np.zeros(len(c))
-    at_all = np.flatnonzero(o >= 0)
-    for i in range(0, len(at_all), BLOCK):
-        at = at_all[i:i + BLOCK]
-        _, r = predicted(c, at, words, position)
-        s = r @ out.T + bias
+def log_softmax(r: np.ndarray, out: np.ndarray, bias: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """log of the target's share in a softmax over all of ``out``, by blocks that fit a cache."""
+    result = np.empty(len(r))
+    turned = np.ascontiguousarray(out.T)
+    for i in range(0, len(r), BLOCK):
+        s = r[i:i + BLOCK] @ turned
+        s += bias
         s -= s.max(axis=1, keepdims=True)
-        own = s[np.arange(len(at)), o[at]].astype(np.float64)
+        own = s[np.arange(len(s)), target[i:i + BLOCK]].astype(np.float64)
         np.exp(s, out=s)
-        result[at] = (own - np.log(s.sum(axis=1, dtype=np.float64))) / np.log(10)
+        result[i:i + BLOCK] = own - np.log(s.sum(axis=1, dtype=np.float64))
+    return result
+
+
+def token_log10(x: Encoded, p: list[np.ndarray], side: int) -> np.ndarray:
+    """log10 P(class | context), for words times P(word | class, context), at every token, 0 at pads."""
+    words, position, out, bias, word_out, word_bias = p
+    result = np.zeros(len(x.cls))
+    for i in range(0, len(x.at), CHUNK):
+        at = x.at[i:i + CHUNK]
+        _, r = predicted(x.context, at, words, position)
+        log = log_softmax(r, out, bias, x.cls[at])
+        own = np.flatnonzero(x.word[at] >= 0)
+        word = x.word[at[own]]
+        for c, places in by_class(word // side):
+            of = slice(c * side, (c + 1) * side)
+            log[own[places]] += log_softmax(r[own[places]], word_out[of], word_bias[of], word[places] - c * side)
+        result[at] = log / np.log(10)
     return result
 
 
+# ---------------------------------------------------------------- scores
 def score(docs: DataFrame, in_training: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens,
     base_score and score."""
@@ -249,30 +340,39 @@ def score(docs: DataFrame, in_training: Column, doc_id: str = "doc_id", text: st
     counts = saved(count_tokens(training))
     vocabulary = Vocabulary(counts)
     shared = spark.sparkContext.broadcast(vocabulary.shared())
-    parameters = spark.sparkContext.broadcast(train(training, vocabulary, shared))
+    parameters = spark.sparkContext.broadcast(train(training, shared))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, p = shared.value, parameters.value
         for batch in slices(batches):
-            c, o, number, starts, others = encode(batch.column(3).to_pylist(), v)
-            model = token_log10(c, o, p)
-            head = number >= 0
-            safe = np.maximum(number, 0)
-            model += np.where(head, v["inside"][safe], 0.0)
-            sums = [np.add.reduceat(x, starts) for x in (model, np.where(head, v["base"][safe], 0.0), head.astype(np.int64), (o >= 0).astype(np.int64))]
-            rare = pa.array([[{"token": t, "cls": ending(t) % OUT_CLASSES, "n": n} for t, n in x.items()] for x in others],
-                            pa.list_(pa.struct([("token", pa.binary()), ("cls", pa.int32()), ("n", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sums[3]), pa.array(sums[2]), pa.array(sums[1]), pa.array(sums[0]), rare],
-                                             ["rk", "id", "held", "n_tokens", "known", "base", "model", "rare"])
+            if not batch.num_rows:
+                continue
+            x = Encoded(batch.column(3), v)
+            head, safe = x.number >= 0, np.maximum(x.number, 0)
+            model = token_log10(x, p, v["side"]) + np.where(head, v["inside"][safe], 0.0)
+            sums = [np.add.reduceat(y, x.start) for y in (model, np.where(head, v["base"][safe], 0.0), (head & v["known"][safe]).astype(np.int64))]
+            # other tokens of each text with their counts
+            t = pa.table({"row": x.rare_row, "token": x.rare, "mark": x.rare_mark}).group_by(["row", "token", "mark"], use_threads=False).aggregate(
+                [([], "count_all")]).sort_by("row").combine_chunks()
+            offsets = pa.array(np.searchsorted(t["row"].to_numpy(), np.arange(batch.num_rows + 1)), pa.int32())
+
+            def lists(column):
+                values = t[column].combine_chunks() if t.num_rows else pa.array([], t.schema.field(column).type)
+                return pa.ListArray.from_arrays(offsets, values.chunk(0) if isinstance(values, pa.ChunkedArray) else values)
+
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(x.n_tokens, pa.int64()), pa.array(sums[2]), pa.array(sums[1]), pa.array(sums[0]),
+                                              lists("token"), lists("mark"), lists("count_all")],
+                                             ["rk", "id", "held", "n_tokens", "known", "base", "model", "token", "mark", "n"])
 
     src = docs.select(F.monotonically_increasing_id().alias("rk"), F.col(doc_id).cast("long").alias("id"), (~in_training).alias("held"),
                       F.col(text).alias("text"))
     rows = saved(src.mapInArrow(run, "rk long, id long, held boolean, n_tokens long, known long, base double, model double, "
-                                     "rare array<struct<token:binary,cls:int,n:long>>"))
+                                     "token array<binary>, mark array<long>, n array<long>"))
     n_plus = float(vocabulary.total + vocabulary.distinct + 1)
-    classes = spark.createDataFrame([(c, float(n), float(v)) for c, (n, v) in enumerate(zip(vocabulary.class_n, vocabulary.class_v))],
+    classes = spark.createDataFrame([(c, float(n), float(v)) for c, (n, v) in enumerate(zip(vocabulary.rare_n, vocabulary.rare_v))],
                                     "cls int, class_n double, class_v double")
-    rare = rows.select("rk", F.explode("rare").alias("r")).select("rk", F.col("r.token").alias("token"), F.col("r.cls").alias("cls"), F.col("r.n").alias("n"))
+    rare = rows.select("rk", F.explode(F.arrays_zip("token", "mark", "n")).alias("r")).select(
+        "rk", "r.token", (F.col("r.mark") % vocabulary.rare).cast("int").alias("cls"), "r.n")
     rare = rare.join(vocabulary.tail.select("token", F.col("n").alias("count")), "token", "left").join(F.broadcast(classes), "cls")
     seen = F.coalesce("count", F.lit(0))
     inside = F.when(seen > 0, (seen - DISCOUNT) / (F.col("class_n") + 1)).otherwise((F.col("class_v") * DISCOUNT + 1) / (F.col("class_n") + 1))
@@ -280,7 +380,7 @@ def score(docs: DataFrame, in_training: Column, doc_id: str = "doc_id", text: st
                                   F.sum(F.col("n") * F.log10((seen + 1) / F.lit(n_plus))).alias("base2"),
                                   F.sum(F.col("n") * F.log10(inside)).alias("model2"))
     zero = F.lit(0.0)
-    out = rows.drop("rare").join(rare, "rk", "left")
+    out = rows.drop("token", "mark", "n").join(rare, "rk", "left")
     return out.select(F.col("id").alias(doc_id), F.col("held").alias("held_out"), "n_tokens",
                       (F.col("known") + F.coalesce("known2", F.lit(0))).cast("long").alias("n_known"),
                       F.lit(vocabulary.total).cast("long").alias("train_tokens"),

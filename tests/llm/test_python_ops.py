@@ -105,12 +105,59 @@ def test_lm_base_scores_and_normalisation(spark, monkeypatch):
     for a, b in zip(want, have, strict=True):
         assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], abs=1e-6)
     assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
-    p = lm.start_parameters(np.full(lm.OUT_WORDS + lm.OUT_CLASSES, 1 / (lm.OUT_WORDS + lm.OUT_CLASSES)))
-    outs = len(p[3])
-    context = np.array([lm.PAD] * lm.CONTEXT + [5], dtype=np.int32)
-    total = sum(10 ** lm.token_log10(context, np.array([-1] * lm.CONTEXT + [k]), p)[-1] for k in range(outs))
-    assert total == pytest.approx(1.0, abs=1e-5)
     assert lm.score(docs(spark, []), keep).count() == 0
+    untrained = lm.score(docs(spark, [(1, "a b"), (2, None)]), F.lit(False)).orderBy("doc_id").collect()
+    assert [(r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in untrained] == [(3, 0, 0, 0.0), (1, 0, 0, 0.0)]
+
+
+def test_lm_trained_model_adds_up_to_one(spark, monkeypatch):
+    """After any context the words, the tokens of the rare classes and one unseen token of each are all there is."""
+    monkeypatch.setattr(lm, "BATCH", 64)
+    rnd = random.Random(3)
+    rows = [(i, " ".join(rnd.choices([f"{a}{b}" for a in "abcdefgh" for b in ("x", "yy", "zzz")], k=rnd.randrange(3, 30)))) for i in range(200)]
+    training = docs(spark, rows).select("text")
+    counts = lm.count_tokens(training)
+    vocabulary = lm.Vocabulary(counts)
+    assert vocabulary.side == 4 and vocabulary.words == 16 and vocabulary.classes == 4  # own words and rare ones
+    shared = spark.sparkContext.broadcast(vocabulary.shared())
+    p = lm.train(training, shared)
+    assert not np.allclose(p[4], lm.start_parameters(vocabulary.shared())[4])
+    known = [r["token"].decode() for r in counts.collect() if r["token"]]
+    unseen = (vocabulary.rare_v * lm.DISCOUNT + 1) / (vocabulary.rare_n + 1)
+    for before in ("", "ax byy", "nothing like czzz", "dx dx dx"):
+        v = shared.value
+
+        def log10(text):
+            x = lm.Encoded(lm.pa.array([text]), v)
+            return x, lm.token_log10(x, p, v["side"]) + np.where(x.number >= 0, v["inside"][np.maximum(x.number, 0)], 0.0)
+
+        total = 10 ** log10(before)[1][-1]  # the end
+        total += sum(10 ** log10(f"{before} {t}")[1][-2] for t in known)
+        x, _ = log10(before)
+        x.cls[-1] = 0
+        for c in range(vocabulary.rare):  # an unseen token of each rare class
+            x.cls[-1], x.word[-1] = vocabulary.classes + c, -1
+            total += 10 ** lm.token_log10(x, p, v["side"])[-1] * unseen[c]
+        assert total == pytest.approx(1.0, abs=1e-4)
+
+
+def test_lm_context_tells_words_of_a_class_apart(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BATCH", 64)
+    rnd = random.Random(8)
+    pairs = [("sun", "rises"), ("rain", "falls"), ("dog", "barks"), ("cat", "purrs"), ("bird", "sings"), ("fish", "swims")]
+    rows = [(i, " ".join(" ".join(p) for p in rnd.choices(pairs, k=20))) for i in range(600)]
+    out = lm.score(docs(spark, rows + [(10_001, "sun rises dog barks"), (10_002, "sun barks dog rises")]).coalesce(1), F.col("doc_id") < 10_000)
+    got = {r["doc_id"]: r["score"] for r in out.where("doc_id > 10000").collect()}
+    assert got[10_001] > got[10_002] + 1  # the same words, the same classes
+
+
+def test_lm_tokens_are_those_of_the_rule():
+    texts_ = ["A b\tC\x0bd\x0ce\r\nf", "", None, "  ", " É é\u00a0x ", "x" * 5]
+    flat, n = lm.tokens_of(lm.pa.array(texts_))
+    assert flat.to_pylist() == [t for x in texts_ for t in token_bytes(x)] and n.tolist() == [len(token_bytes(x)) for x in texts_]
+    tokens = lm.pa.array([b"", b"a", b"ba", b"cba", b"xcba", b"cbb"])
+    marks = lm.endings(tokens).tolist()
+    assert marks[3] == marks[4] != marks[5] and marks[2:] == lm.endings(tokens[2:]).tolist()
 
 
 # ---------------------------------------------------------------- op4, op10
@@ -246,7 +293,10 @@ def test_near_copies_do_not_fill_one_task(spark, monkeypatch):
 
 
 # ---------------------------------------------------------------- op9
-def test_warc_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("digests, hot", [(1 << 19, 1 << 12), (0, 2), (0, 1 << 12)])
+def test_warc_round_trip(spark, tmp_path, monkeypatch, digests, hot):
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", digests)
+    monkeypatch.setattr(warc, "HOT_PAGES", hot)
     rows = [(5, "http://a/%20x y", "<p>é</p>"), (3, "http://b/", "<p>é</p>"), (9, None, None), (4, "u", ""), (7, "u", "\r\n\r\nWARC/1.1\r\n"),
             (None, "n", "<p>é</p>"), (5, "again", "<p>é</p>"), (8, "z", "x" * 300000)]
     pages = spark.createDataFrame([(*r, "mine") for r in rows], "page_id long, url string, html string, payload string")
@@ -269,11 +319,18 @@ def test_warc_round_trip(spark, tmp_path):
     try:
         revisits = warc.read_archives(spark, path).where("record_type = 'revisit'")
         assert revisits.count() == sum(w[4] == "revisit" for w in want)
+        by_uri = warc.read_archives(spark, path).where("target_uri = 'http://a/%20x y'")
+        assert by_uri.count() == 1 and "= http://a/" not in by_uri._jdf.queryExecution().executedPlan().toString()  # the reader decides
     finally:
         spark.conf.unset("spark.sql.python.filterPushdown.enabled")
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_payloads_do_not_move(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    assert "Exchange hashpartitioning" not in warc.page_records(pages)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_warc_query_filters_by_pushdown(spark, monkeypatch):
     pages = spark.createDataFrame([(1, "u", "a"), (2, "v", "a"), (3, "w", "b")], "page_id long, url string, html string")
     asked, read = [], warc.read_archives
