@@ -192,31 +192,40 @@ def start_parameters(v: dict) -> list[np.ndarray]:
             rnd.normal(0, 0.1, (shape[0] * shape[1], DIM)).astype(np.float32), bias.ravel().astype(np.float32)]
 
 
-def predicted(c: np.ndarray, at: np.ndarray, words: np.ndarray, position: np.ndarray):
-    parts = [words[c[at - 1 - i]] for i in range(CONTEXT)]
-    return parts, sum(p * position[i] for i, p in enumerate(parts))
+def predicted(x: Encoded, a: int, b: int, words: np.ndarray, position: np.ndarray):
+    """The feature vectors from CONTEXT places before ``a`` to ``b``, and the predicted vectors at the places from ``a`` to ``b``."""
+    features = words[x.context[a - CONTEXT:b]]
+    return features, sum(features[before(i, b - a)] * position[i] for i in range(CONTEXT))
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -15, 15)))
+def before(i: int, n: int) -> slice:
+    """Of such features, those of the i-th tokens before n places."""
+    return slice(CONTEXT - 1 - i, CONTEXT - 1 - i + n)
 
 
-def added(cells: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
-    """Rows of ``values`` added up by ``cells``."""
-    flat = (cells[:, None] * DIM + np.arange(DIM)).ravel()
-    return np.bincount(flat, values.ravel(), minlength=rows * DIM).reshape(rows, DIM)
+def sorting(cells: np.ndarray) -> np.ndarray:
+    """A stable order; small numbers sort much faster as 16 bits."""
+    return np.argsort(cells.astype(np.uint16) if len(cells) and cells.max() < 1 << 16 else cells, kind="stable")
 
 
-def by_class(cls: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(class, places) of the classes that occur."""
-    order = np.argsort(cls, kind="stable")
-    cuts = np.flatnonzero(np.diff(cls[order])) + 1
-    for places in np.split(order, cuts) if len(order) else []:
-        yield int(cls[places[0]]), places
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    with np.errstate(over="ignore"):
+        np.exp(np.negative(x, out=x), out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def added(cells: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(cells that occur, rows of ``values`` added up for each of them)."""
+    order = sorting(cells)
+    cells = cells[order]
+    first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
+    return cells[first], np.add.reduceat(values[order], first, axis=0)
 
 
 class Trainer:
-    """Noise-contrastive estimation with noise shared within a batch, Adagrad steps."""
+    """Noise-contrastive estimation with noise shared within a batch, Adagrad steps on the rows that a batch touches."""
 
     def __init__(self, v: dict, seed: int):
         self.v, self.p = v, start_parameters(v)
@@ -224,50 +233,71 @@ class Trainer:
         self.rnd = np.random.default_rng(seed)
         self.log_class = np.log(v["class_noise"] * NOISE).astype(np.float32)
         self.log_word = np.log(np.maximum(v["word_noise"] * WORD_NOISE, 1e-300)).astype(np.float32).ravel()
-        self.until = np.cumsum(v["word_noise"], axis=1)
+        until = np.cumsum(v["word_noise"], axis=1)
+        # one ascending list: class c ends at c + 1
+        self.until = (until / until[:, -1:] + np.arange(len(until))[:, None]).ravel()
 
     def learn(self, x: Encoded) -> None:
-        at = self.rnd.permutation(x.at)
-        for i in range(0, len(at), BATCH):
-            self.step(x, at[i:i + BATCH])
+        """Stretches of BATCH places in random order."""
+        starts = np.arange(CONTEXT, len(x.cls), BATCH)
+        for a in self.rnd.permutation(starts).tolist():
+            self.step(x, a, min(a + BATCH, len(x.cls)))
 
-    def step(self, x: Encoded, at: np.ndarray) -> None:
+    def update(self, k: int, rows, g: np.ndarray) -> None:
+        g2 = self.g2[k][rows] + g * g
+        self.g2[k][rows] = g2
+        self.p[k][rows] -= np.float32(RATE) * g / np.sqrt(g2)
+
+    def step(self, x: Encoded, a: int, b: int) -> None:
         words, position, out, bias, word_out, word_bias = self.p
-        parts, r = predicted(x.context, at, words, position)
-        n, target = np.float32(len(at)), x.cls[at]
+        side = self.v["side"]
+        features, r_all = predicted(x, a, b, words, position)
+        at = np.flatnonzero(x.cls[a:b] >= 0)
+        at = at[sorting(x.word[a:b][at] + 1)]  # tokens without a vector first, then the words class by class
+        r, target, word = r_all[at], x.cls[a:b][at], x.word[a:b][at]
+        n = np.float32(max(len(at), 1))
         drawn = self.rnd.choice(len(out), size=NOISE, p=self.v["class_noise"])
         q_t, q_n = out[target], out[drawn]
-        e_t = (sigmoid(np.einsum("ij,ij->i", r, q_t) + bias[target] - self.log_class[target]) - 1) / n  # towards 1
+        e_t = (sigmoid(np.einsum("ij,ij->i", r, q_t) + (bias - self.log_class)[target]) - 1) / n  # towards 1
         e_n = sigmoid(r @ q_n.T + (bias[drawn] - self.log_class[drawn])) / n  # towards 0
         g_r = e_t[:, None] * q_t + e_n @ q_n
-        g_out = added(target, e_t[:, None] * r, len(out))
-        np.add.at(g_out, drawn, e_n.T @ r)
-        g_bias = np.bincount(target, e_t, minlength=len(out)) + np.bincount(drawn, e_n.sum(axis=0), minlength=len(out))
+        outs = added(np.concatenate([target, drawn]), np.concatenate([np.concatenate([e_t[:, None] * r, e_n.T @ r]),
+                                                                      np.concatenate([e_t, e_n.sum(axis=0)])[:, None]], axis=1))
         # inside the classes of words
-        own = np.flatnonzero(x.word[at] >= 0)
-        word = x.word[at[own]]
-        u_t, r_own = word_out[word], r[own]
-        f_t = (sigmoid(np.einsum("ij,ij->i", r_own, u_t) + word_bias[word] - self.log_word[word]) - 1) / n
+        skip = int(np.searchsorted(word, 0))
+        word, r_own = word[skip:], r[skip:]
+        cuts = np.searchsorted(word, np.arange(self.v["classes"] + 1) * side)
+        used = np.flatnonzero(np.diff(cuts))
+        spans = list(zip(used.tolist(), cuts[used].tolist(), cuts[used + 1].tolist()))
+        picks = np.searchsorted(self.until, self.rnd.random((self.v["classes"], WORD_NOISE)) + np.arange(self.v["classes"])[:, None], side="right")
+        u_n, shift = word_out[picks], (word_bias - self.log_word)[picks]
+        u_t = word_out[word]
+        f_t = (sigmoid(np.einsum("ij,ij->i", r_own, u_t) + (word_bias - self.log_word)[word]) - 1) / n
+        f_n = np.empty((len(word), WORD_NOISE), np.float32)
+        for c, i, j in spans:
+            np.matmul(r_own[i:j], u_n[c].T, out=f_n[i:j])
+            f_n[i:j] += shift[c]
+        f_n = sigmoid(f_n) / n
         g_own = f_t[:, None] * u_t
-        g_words_out = added(word, f_t[:, None] * r_own, len(word_out))
-        g_word_bias = np.bincount(word, f_t, minlength=len(word_out))
-        side = self.v["side"]
-        for c, places in by_class(word // side):
-            noise = c * side + np.minimum(np.searchsorted(self.until[c], self.rnd.random(WORD_NOISE) * self.until[c, -1], side="right"), side - 1)
-            u_n, r_c = word_out[noise], r_own[places]
-            f_n = sigmoid(r_c @ u_n.T + (word_bias[noise] - self.log_word[noise])) / n
-            g_own[places] += f_n @ u_n
-            np.add.at(g_words_out, noise, f_n.T @ r_c)
-            np.add.at(g_word_bias, noise, f_n.sum(axis=0))
-        g_r[own] += g_own
-        g_context, g_position = np.zeros(words.shape), np.empty_like(position)
-        for i, p in enumerate(parts):
-            g_context += added(x.context[at - 1 - i], g_r * position[i], len(words))
-            g_position[i] = np.einsum("ij,ij->j", g_r, p)
-        for value, g2, g in zip(self.p, self.g2, (g_context, g_position, g_out, g_bias, g_words_out, g_word_bias)):
-            g = g.astype(np.float32)
-            g2 += g * g
-            value -= np.float32(RATE) * g / np.sqrt(g2)
+        g_noise = np.zeros((*picks.shape, DIM + 1), np.float32)
+        for c, i, j in spans:
+            g_own[i:j] += f_n[i:j] @ u_n[c]
+            g_noise[c, :, :DIM] = f_n[i:j].T @ r_own[i:j]
+            g_noise[c, :, DIM] = f_n[i:j].sum(axis=0)
+        g_r[skip:] += g_own
+        word_outs = added(np.concatenate([word, picks[used].ravel()]),
+                          np.concatenate([np.concatenate([f_t[:, None] * r_own, f_t[:, None]], axis=1), g_noise[used].reshape(-1, DIM + 1)]))
+        g_all = np.zeros_like(r_all)
+        g_all[at] = g_r
+        g_features, g_position = np.zeros_like(features), np.empty_like(position)
+        for i in range(CONTEXT):
+            g_features[before(i, b - a)] += g_all * position[i]
+            g_position[i] = np.einsum("ij,ij->j", g_all, features[before(i, b - a)])
+        self.update(1, slice(None), g_position)
+        self.update(0, *added(x.context[a - CONTEXT:b], g_features))
+        for k, (rows, g) in ((2, outs), (4, word_outs)):
+            self.update(k, rows, g[:, :DIM])
+            self.update(k + 1, rows, g[:, DIM])
 
 
 def train(texts: DataFrame, shared) -> list[np.ndarray]:
@@ -300,6 +330,14 @@ def train(texts: DataFrame, shared) -> list[np.ndarray]:
     return out
 
 
+def by_class(cls: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(class, places) of the classes that occur."""
+    order = sorting(cls)
+    cuts = np.flatnonzero(np.diff(cls[order])) + 1
+    for places in np.split(order, cuts) if len(order) else []:
+        yield int(cls[places[0]]), places
+
+
 def log_softmax(r: np.ndarray, out: np.ndarray, bias: np.ndarray, target: np.ndarray) -> np.ndarray:
     """log of the target's share in a softmax over all of ``out``, by blocks that fit a cache."""
     result = np.empty(len(r))
@@ -307,10 +345,15 @@ def log_softmax(r: np.ndarray, out: np.ndarray, bias: np.ndarray, target: np.nda
     for i in range(0, len(r), BLOCK):
         s = r[i:i + BLOCK] @ turned
         s += bias
-        s -= s.max(axis=1, keepdims=True)
         own = s[np.arange(len(s)), target[i:i + BLOCK]].astype(np.float64)
-        np.exp(s, out=s)
-        result[i:i + BLOCK] = own - np.log(s.sum(axis=1, dtype=np.float64))
+        with np.errstate(over="ignore"):
+            np.exp(s, out=s)
+        total = s @ np.ones(s.shape[1], np.float32)
+        if not (np.isfinite(total).all() and total.min() > 1e-30):  # beyond the range of floats: again, from each row's largest
+            s = r[i:i + BLOCK] @ turned + bias
+            top = s.max(axis=1)
+            total, own = np.exp(s - top[:, None]).sum(axis=1), own - top
+        result[i:i + BLOCK] = own - np.log(total, dtype=np.float64)
     return result
 
 
@@ -318,9 +361,10 @@ def token_log10(x: Encoded, p: list[np.ndarray], side: int) -> np.ndarray:
     """log10 P(class | context), for words times P(word | class, context), at every token, 0 at pads."""
     words, position, out, bias, word_out, word_bias = p
     result = np.zeros(len(x.cls))
-    for i in range(0, len(x.at), CHUNK):
-        at = x.at[i:i + CHUNK]
-        _, r = predicted(x.context, at, words, position)
+    for a in range(CONTEXT, len(x.cls), CHUNK):
+        _, r = predicted(x, a, min(a + CHUNK, len(x.cls)), words, position)
+        at = np.flatnonzero(x.cls[a:a + CHUNK] >= 0)
+        r, at = r[at], at + a
         log = log_softmax(r, out, bias, x.cls[at])
         own = np.flatnonzero(x.word[at] >= 0)
         word = x.word[at[own]]
