@@ -8,8 +8,10 @@
    to , ; TAB | over the first 32 K characters, default comma), reject binary
    files (NUL in the first 8 KB) and take the header.  Files chosen as UTF-8
    are then proven to be so over every line, in splits.
-2. One ``spark.read.csv`` per (encoding, delimiter, header) group with an
-   explicit all-string schema plus an overflow column: a row with too many
+2. One scan per (encoding, delimiter, header) group with an all-string schema
+   plus an overflow column: ``splits.read_records``, which reads quoted line
+   ends in many tasks, or ``spark.read.csv`` with ``multiline=False`` for files
+   known to have none (backslash escapes there).  A row with too many
    fields fills the overflow column and rejects its file; a short row is
    padded with nulls.  Whitespace-only cells become null (S6).
 """
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from proofsheet.functions import vocab as V
+from proofsheet.sources.splits import read_records
 
 SNIFF_SCHEMA = "path string, encoding string, delimiter string, header array<string>, error string"
 SAMPLE_BYTES = 65536
@@ -140,10 +143,13 @@ def read_delimited(spark: SparkSession, path: str, multiline: bool = True, stric
             groups.setdefault((r["encoding"], r["delimiter"], tuple(r["header"])), []).append(r["path"])
     frames = []
     for (enc, delim, header), paths in groups.items():
+        if multiline:
+            frames.append(read_records(spark, paths, list(header), delim, "utf-8" if enc.startswith("utf-8") else enc, OVERFLOW))
+            continue
         schema = T.StructType([T.StructField(h, T.StringType()) for h in header]
                               + [T.StructField(OVERFLOW, T.StringType())])
         df = (spark.read.schema(schema)
-              .option("header", True).option("enforceSchema", True).option("multiLine", multiline)
+              .option("header", True).option("enforceSchema", True)
               .option("sep", delim).option("encoding", "UTF-8" if enc.startswith("utf-8") else enc.upper())
               .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__corrupt_unused")
               .csv(paths))
