@@ -26,6 +26,7 @@ from proofsheet.functions.expr import (
     any_of, col, is_numeric_type, normalize_text, parse_date, parse_numeric, text_changed, utrim,
 )
 from proofsheet.operators.metrics import exact_sum
+from proofsheet.operators.fingerprints import groups
 from proofsheet.operators.positions import dense_position, exact_quantiles, join_small
 from proofsheet.operators.profile import ColumnProfile
 from proofsheet.session import cut_lineage
@@ -213,15 +214,22 @@ def coerce_columns(df: DataFrame, profiles: list[ColumnProfile], original_order:
 def drop_duplicates_keep_first(df: DataFrame, src: str = SRC, carry: list[str] | None = None,
                                extra_keys: list[str] | None = None) -> DataFrame:
     """Exact duplicates over every data column (null equals null) go;
-    the survivor is the smallest source row.  ``carry`` counter columns are
-    summed over each group; ``__dups`` = removed rows of the group.
-    Map-side partial aggregation collapses a hot duplicate group before the
-    shuffle."""
+    the survivor is the smallest source row (``src``: unique).  ``carry`` counter
+    columns are summed over each group; ``__dups`` = removed rows of the group,
+    ``__n`` its rows.
+
+    Only fingerprints and source rows are shuffled (``fingerprints.groups``);
+    the rows removed and the sums of repeated groups meet the table by its
+    source row, broadcast where they are few."""
     cols = data_columns(df) + list(extra_keys or [])
     carry = carry or []
-    return (df.groupBy(*[col(c) for c in cols])
-              .agg(F.min(col(src)).alias(src), (F.count(F.lit(1)) - 1).alias("__dups"),
-                   F.count(F.lit(1)).alias("__n"), *[F.sum(c).alias(c) for c in carry]))
+    first, removed = groups(df, cols, src, carry)
+    kept = df.select(*[col(c) for c in cols], col(src), *[F.col(c).cast("long").alias(c) for c in carry])
+    kept = join_small(kept, removed, src, "left_anti")
+    kept = join_small(kept, first.select(src, F.col("n").alias("__g"), *[F.col(c).alias(f"__s_{c}") for c in carry]), src, "left")
+    n = F.coalesce("__g", F.lit(1)).cast("long")
+    return kept.select(*[col(c) for c in cols], col(src), (n - 1).alias("__dups"), n.alias("__n"),
+                       *[F.coalesce(f"__s_{c}", F.col(c)).alias(c) for c in carry])
 
 
 def duplicate_rows(df: DataFrame, kept: DataFrame, src: str = SRC) -> DataFrame:

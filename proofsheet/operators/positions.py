@@ -4,9 +4,7 @@
   per-partition counts (one row per input partition) are prefix-summed and
   broadcast back.
 * ``dense_position``: 0-based dense rank of rows by a *unique* ordering key,
-  computed inside bounded buckets of that key (a bucket holds at most
-  ``bucket`` rows because the key is unique), so no task ever receives an
-  unbounded group.
+  from range partitions sorted by it and the prefix sum of their counts.
 * ``exact_quantiles``: linear-interpolated quantiles (the interpolation of
   pandas and DuckDB ``quantile_cont``) by range partitioning the values and
   locating the rank(s) with per-partition offsets.  Spark's ``percentile``
@@ -76,17 +74,16 @@ def with_row_index(df: DataFrame, name: str = "__source_row", start: int = 2,
         .drop("__pid", "__seq", "__off")
 
 
-def dense_position(df: DataFrame, order_col: str, name: str = "__position",
-                   bucket: int = 1 << 20) -> DataFrame:
-    """0-based dense position by a unique integral ``order_col``."""
-    keyed = df.withColumn("__bucket", F.floor(col(order_col) / F.lit(bucket)))
-    counts = keyed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__bucket", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
-    inner = Window.partitionBy("__bucket").orderBy(col(order_col))
-    ranked = keyed.withColumn("__r", F.row_number().over(inner) - 1)
-    out = join_small(ranked, offsets, "__bucket", "inner")
-    return out.withColumn(name, (F.col("__off") + F.col("__r")).cast("long")).drop("__bucket", "__off", "__r")
+def dense_position(df: DataFrame, order_col: str, name: str = "__position", partitions: int | None = None) -> DataFrame:
+    """0-based dense position by a unique ``order_col``.
+
+    Rows are range-partitioned by the key (bounds from a sample, so spread,
+    hashed or dense keys give partitions alike) and sorted inside; the positions
+    are those of ``with_row_index``: a prefix sum over one row a partition, and
+    no window over the data."""
+    parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = df.repartitionByRange(parts, col(order_col)).sortWithinPartitions(col(order_col))
+    return with_row_index(ordered, name, 0, checkpoint=True)
 
 
 def exact_quantiles(df: DataFrame, value: Column | str, probs: list[float],

@@ -28,6 +28,7 @@ class ColumnProfile:
     sample_values: list = field(default_factory=list)
     ambiguous: bool = False
     reason: str = ""
+    unique_exact: bool = True
 
 
 PROFILE_SCHEMA = T.StructType([
@@ -40,6 +41,7 @@ PROFILE_SCHEMA = T.StructType([
     T.StructField("sample_values", T.ArrayType(T.StringType())),
     T.StructField("ambiguous", T.BooleanType()),
     T.StructField("reason", T.StringType()),
+    T.StructField("unique_exact", T.BooleanType()),
 ])
 
 
@@ -50,71 +52,77 @@ def _is_null(c, dt):
 
 
 CHUNK = 50                       # columns per profiling aggregate
-EXACT_DISTINCT_BELOW = 10_000    # exact counting is cheap below this many distinct values
-THRESHOLD_BAND = 0.15            # …and needed when HLL (rsd 0.05) lands within 3σ of the role threshold
+BITMAP_SPREAD = 16               # bits of range a value may cost in a bitmap count
+
+
+def distinct_counts(df: DataFrame, columns: list[int], names: list[str], ranges: dict[int, tuple[int, int, int]]) -> dict[int, int]:
+    """Exact distinct values per column ordinal, without a row per cell.
+
+    Each column is an aggregate of its own that reads that column alone, in
+    batches of CHUNK.  Whole numbers whose range is narrow for their number of
+    values (``ranges``: least, greatest, present) go into bitmaps, one of 32,768
+    bits a bucket, OR-ed before and after the shuffle; of other columns the
+    distinct values are aggregated map-side and counted in hash buckets."""
+    fields = {f.name: f.dataType for f in df.schema.fields}
+    out: dict[int, int] = {}
+    for start in range(0, len(columns), CHUNK):
+        counts = None
+        for i in columns[start:start + CHUNK]:
+            c, dt = col(names[i]), fields[names[i]]
+            present = df.where(~_is_null(c, dt))
+            lo, hi, n = ranges.get(i, (0, 0, 0))
+            if n and hi - lo <= BITMAP_SPREAD * n:
+                v = c.cast("long")
+                buckets = present.groupBy(F.bitmap_bucket_number(v).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(v)).alias("m"))
+                one = buckets.agg(F.coalesce(F.sum(F.bitmap_count("m")), F.lit(0)).alias("n"))
+            else:
+                value = c if isinstance(dt, T.AtomicType) else F.to_json(F.struct(c))  # maps have no equality
+                one = present.select(value.alias("v")).groupBy("v").agg(F.lit(1).alias("x")).agg(F.count(F.lit(1)).alias("n"))
+            one = one.select(F.lit(i).alias("ordinal"), F.col("n").cast("long").alias("n"))
+            counts = one if counts is None else counts.unionByName(one)
+        out.update({r["ordinal"]: r["n"] for r in counts.collect()})  # a row per column
+    return out
 
 
 def column_stats(df: DataFrame, columns: list[str] | None = None, distinct: str = "exact") -> DataFrame:
     """A13/A14/P4 per column: ``ordinal, column, rows, null_count,
     present_count, numeric_count, unique_count, unique_exact``.
 
-    ``distinct``: ``"exact"`` (default) counts every column exactly (one explode +
-    distinct, deduplicated map-side); ``"approx"`` uses HyperLogLog inside
-    the single wide aggregate; ``"auto"`` takes HyperLogLog for
-    every column and recounts exactly only the columns where the role rule
-    ``unique ≤ max(20, 0.2·rows)`` could flip, or whose distinct count is
-    small — so a 200-column, 10¹²-row table is not exploded cell by cell.
+    ``distinct``: ``"exact"`` (default) counts every column exactly
+    (``distinct_counts``); ``"approx"`` uses HyperLogLog inside the single wide
+    aggregate and says so in ``unique_exact``.
     """
     columns = columns or [c for c in df.columns if not c.startswith("__")]
     fields = {f.name: f.dataType for f in df.schema.fields}
-    # the wide aggregate and the cell explode are row-wise CPU work: give them
-    # every core when the scan is under-partitioned (no-op for large scans)
-    from proofsheet.sources.tables import spread
-    df = spread(df.select(*[col(c) for c in columns]))
-    aggs = []
-    for i, name in enumerate(columns):
-        c, dt = col(name), fields[name]
-        aggs.append(F.sum(F.when(_is_null(c, dt), 1).otherwise(0)).cast("long").alias(f"n{i}"))
-        if isinstance(dt, T.StringType):
-            ok = c.isNotNull() & parse_numeric(c, dt).isNotNull()
-            aggs.append(F.sum(F.when(ok, 1).otherwise(0)).cast("long").alias(f"k{i}"))
-        else:
-            aggs.append(F.lit(None).cast("long").alias(f"k{i}"))
-        if distinct != "exact":
-            aggs.append(F.approx_count_distinct(F.when(~_is_null(c, dt), c), 0.05).cast("long").alias(f"d{i}"))
+    df = df.select(*[col(c) for c in columns])
+    integral = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
     # Batches of CHUNK columns keep each generated aggregate small enough for
     # the JIT; on a columnar source every batch reads only its own columns.
-    per_col = len(aggs) // max(len(columns), 1)
     wide: dict = {}
-    for start in range(0, len(columns), CHUNK):
-        part = aggs[start * per_col:(start + CHUNK) * per_col]
-        first = [F.count(F.lit(1)).alias("rows")] if start == 0 else []
-        wide.update(df.agg(*first, *part).collect()[0].asDict())  # one row of per-column scalars
+    for start in range(0, max(len(columns), 1), CHUNK):
+        aggs = [F.count(F.lit(1)).alias("rows")] if start == 0 else []
+        for i, name in enumerate(columns[start:start + CHUNK], start):
+            c, dt = col(name), fields[name]
+            aggs.append(F.sum(F.when(_is_null(c, dt), 1).otherwise(0)).cast("long").alias(f"n{i}"))
+            if isinstance(dt, T.StringType):
+                ok = c.isNotNull() & parse_numeric(c, dt).isNotNull()
+                aggs.append(F.sum(F.when(ok, 1).otherwise(0)).cast("long").alias(f"k{i}"))
+            if distinct != "exact":
+                aggs.append(F.approx_count_distinct(F.when(~_is_null(c, dt), c), 0.05).cast("long").alias(f"d{i}"))
+            elif isinstance(dt, integral):
+                aggs += [F.min(c).cast("long").alias(f"l{i}"), F.max(c).cast("long").alias(f"h{i}")]
+        wide.update(df.agg(*aggs).collect()[0].asDict())  # one row of per-column scalars
     rows = int(wide["rows"])
-    threshold = max(V.CATEGORY_DISTINCT_FLOOR, rows * V.CATEGORY_DISTINCT_SHARE)
+    absent = {i: int(wide[f"n{i}"] or 0) for i in range(len(columns))}
     if distinct == "exact":
-        exact_set = list(range(len(columns)))
-    elif distinct == "approx":
-        exact_set = []
+        ranges = {i: (wide[f"l{i}"], wide[f"h{i}"], rows - absent[i]) for i in range(len(columns)) if wide.get(f"l{i}") is not None}
+        unique = distinct_counts(df, list(range(len(columns))), columns, ranges)
     else:
-        exact_set = [i for i in range(len(columns))
-                     if wide[f"d{i}"] <= EXACT_DISTINCT_BELOW
-                     or abs(wide[f"d{i}"] - threshold) <= THRESHOLD_BAND * threshold]
-    exact: dict[int, int] = {}
-    if exact_set:
-        cells = df.select(F.explode(F.array(*[
-            F.struct(F.lit(i).alias("ordinal"), col(columns[i]).cast("string").alias("value")) for i in exact_set
-        ])).alias("cell")).select("cell.ordinal", "cell.value").where(F.col("value").isNotNull())
-        nan_ordinals = [i for i in exact_set if isinstance(fields[columns[i]], (T.FloatType, T.DoubleType))]
-        if nan_ordinals:
-            cells = cells.where(~(F.col("ordinal").isin(nan_ordinals) & (F.col("value") == "NaN")))
-        exact = {r["ordinal"]: r["n"] for r in cells.distinct().groupBy("ordinal").agg(F.count(F.lit(1)).alias("n")).collect()}
+        unique = {i: int(wide[f"d{i}"]) for i in range(len(columns))}
     out = []
     for i, name in enumerate(columns):
-        n = int(wide[f"n{i}"])
-        unique = exact.get(i, 0) if i in exact_set else int(wide[f"d{i}"])
-        k = wide[f"k{i}"]
-        out.append((i, name, rows, n, rows - n, None if k is None else int(k), int(unique), i in exact_set))
+        k = wide.get(f"k{i}", 0 if isinstance(fields[name], T.StringType) else None)
+        out.append((i, name, rows, absent[i], rows - absent[i], None if k is None else int(k), int(unique[i]), distinct == "exact"))
     return df.sparkSession.createDataFrame(out, "ordinal int, column string, rows long, null_count long, present_count long, "
                                                "numeric_count long, unique_count long, unique_exact boolean")
 
@@ -169,7 +177,7 @@ def decide_role(name: str, dtype: T.DataType, stats: dict, mapping: dict[str, st
     return "text", "unknown"
 
 
-def infer_columns(df: DataFrame, mapping: dict[str, str] | None = None, distinct: str = "auto",
+def infer_columns(df: DataFrame, mapping: dict[str, str] | None = None, distinct: str = "exact",
                   samples: bool = False, order_col: str | None = None) -> list[ColumnProfile]:
     """Role inference.  Collects only the per-column statistics rows."""
     mapping = mapping or {}
@@ -188,14 +196,14 @@ def infer_columns(df: DataFrame, mapping: dict[str, str] | None = None, distinct
                   "name matched no term of the role dictionary" if ambiguous else
                   "inferred from the name and the value types")
         out.append(ColumnProfile(name, inferred, role, int(s["null_count"]), int(s["unique_count"] or 0),
-                                 samp.get(i, []), ambiguous, reason))
+                                 samp.get(i, []), ambiguous, reason, bool(s["unique_exact"])))
     return out
 
 
 def profile_frame(spark: SparkSession, profiles: list[ColumnProfile]) -> DataFrame:
     """Profiles as a DataFrame (one row per column)."""
     rows = [(i, p.name, p.inferred_type, p.semantic_role, p.null_count, p.unique_count,
-             [None if v is None else str(v) for v in p.sample_values], p.ambiguous, p.reason)
+             [None if v is None else str(v) for v in p.sample_values], p.ambiguous, p.reason, p.unique_exact)
             for i, p in enumerate(profiles)]
     return spark.createDataFrame(rows, PROFILE_SCHEMA)
 

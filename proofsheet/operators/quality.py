@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from proofsheet.functions import vocab as V
 from proofsheet.functions.expr import col, parse_date, parse_numeric
+from proofsheet.operators.fingerprints import repeats
 from proofsheet.operators.positions import exact_quantiles, join_small
 from proofsheet.operators.profile import ColumnProfile
 
@@ -24,9 +25,7 @@ def _data_columns(df: DataFrame) -> list[str]:
 
 def duplicate_row_count(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Rows that repeat an earlier row over all columns (null = null)."""
-    columns = columns or _data_columns(df)
-    return (df.groupBy(*[col(c) for c in columns]).count()
-              .agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("long").alias("duplicate_rows")))
+    return repeats(df, columns or _data_columns(df))
 
 
 def measure_values(df: DataFrame, measures: list[str]) -> DataFrame:

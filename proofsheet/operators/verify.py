@@ -29,21 +29,51 @@ def second_path(op: str, c):
     return {"sum": F.sum(c), "average": F.avg(c), "min": F.min(c), "max": F.max(c), "count": F.count(c).cast("double")}[op]
 
 
-def reconcile(result: DataFrame, df: DataFrame, keys: list[str], value_col: str, op: str, measure: str) -> DataFrame:
+def _full_keys(keys: list[str], how: str, left: DataFrame, right: DataFrame) -> DataFrame:
+    """A null-safe join on ``keys``; ``__in_left`` and ``__in_right`` tell the sides, the keys come from the side that has them."""
+    left = left.withColumn("__in_left", F.lit(True))
+    right = right.select(*[col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *[col(c) for c in right.columns if c not in keys], F.lit(True).alias("__in_right"))
+    cond = F.lit(True)
+    for i, k in enumerate(keys):
+        cond = cond & col(k).eqNullSafe(F.col(f"__k{i}"))
+    j = left.join(right, cond, how)
+    for i, k in enumerate(keys):
+        j = j.withColumn(k, F.when(F.col("__in_left"), col(k)).otherwise(F.col(f"__k{i}")))
+    return j.drop(*[f"__k{i}" for i in range(len(keys))])
+
+
+def reconcile(result: DataFrame, df: DataFrame, keys: list[str], value_col: str, op: str, measure: str, complete: bool = False) -> DataFrame:
     """Rows of ``result`` whose value disagrees with an independent
-    recomputation (or whose group is missing on either side).  Empty ⇒ ok."""
+    recomputation or whose group the data does not have; with ``complete`` (the
+    result is no top-k) also the groups of the data that ``result`` lacks.
+    Empty ⇒ ok."""
     other = df.groupBy(*[col(k) for k in keys]).agg(F.coalesce(second_path(op, col(measure)), F.lit(0.0)).alias("__check"))
     if not keys:
         check = other.collect()[0]["__check"]
         bad = result.where(~isclose(F.coalesce(F.col(value_col), F.lit(0.0)), F.lit(check)))
         return bad.select(F.col(value_col), F.lit(check).alias("__check"))
-    cond = None
-    for k in keys:
-        c = result[k].eqNullSafe(other[k])
-        cond = c if cond is None else cond & c
-    j = result.join(other, cond, "left")
-    bad = j.where(F.col("__check").isNull() | ~isclose(F.coalesce(F.col(value_col), F.lit(0.0)), F.col("__check")))
-    return bad.select(*[result[k] for k in keys], F.col(value_col), F.col("__check"))
+    j = _full_keys(keys, "full" if complete else "left", result, other)
+    missing = F.col("__in_left").isNull() | F.col("__in_right").isNull()
+    bad = j.where(missing | ~isclose(F.coalesce(F.col(value_col), F.lit(0.0)), F.col("__check")))
+    return bad.select(*[col(k) for k in keys], F.col(value_col), F.col("__check"))
+
+
+def group_checksums(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """(keys, rows, checksum): per group its rows and the sum of their hashes, which no order of rows changes."""
+    marks = [x for c in columns for x in (col(c).isNull(), col(c))]
+    return df.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("rows"),
+                                                   F.sum(F.xxhash64(*marks).cast("decimal(38,0)")).alias("checksum"))
+
+
+def compare_groups(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Groups in which two tables differ: ``keys``, ``difference`` (missing
+    left, missing right, altered), ``left_rows``, ``right_rows``.  One null-safe
+    full outer join of the groups' checksums; no row leaves its group."""
+    a = group_checksums(left, keys, columns).withColumnsRenamed({"rows": "left_rows", "checksum": "__l"})
+    b = group_checksums(right, keys, columns).withColumnsRenamed({"rows": "right_rows", "checksum": "__r"})
+    difference = F.when(F.col("__in_left").isNull(), "missing left").when(F.col("__in_right").isNull(), "missing right").when(
+        (F.col("left_rows") != F.col("right_rows")) | (F.col("__l") != F.col("__r")), "altered")
+    return _full_keys(keys, "full", a, b).select(*[col(k) for k in keys], difference.alias("difference"), "left_rows", "right_rows").where("difference is not null")
 
 
 def assert_reconciled(bad: DataFrame) -> None:

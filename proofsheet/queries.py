@@ -479,10 +479,42 @@ select * from (select 1 as l_returnflag, 1.0 as value_0, 1.0 as __check) where f
 def q_reconcile(spark, sf):
     li = T(spark, sf, "lineitem")
     top = li.groupBy("l_returnflag").agg(M.aggregate("sum", F.col("l_extendedprice")).alias("value_0"))
-    bad = VF.reconcile(top, li, ["l_returnflag"], "value_0", "sum", "l_extendedprice")
+    bad = VF.reconcile(top, li, ["l_returnflag"], "value_0", "sum", "l_extendedprice", complete=True)
     return bad.select(F.col("l_returnflag").cast("int").alias("l_returnflag"), "value_0", "__check")
 
 
+@register("reconcile_faults", """
+with o as (select o_orderpriority as k, count(*) n from orders group by 1)
+select k as o_orderpriority, case k when '1-URGENT' then 'missing right' else 'altered' end as difference, n as left_rows,
+  case k when '1-URGENT' then null else n - (select count(*) from orders where o_orderpriority = '2-HIGH' and o_orderkey % 10 = 3) end as right_rows
+from o where k = '1-URGENT' or (k = '2-HIGH' and exists (select 1 from orders where o_orderpriority = '2-HIGH' and o_orderkey % 10 = 3))
+union all select k, 'altered', n, n from o where k = '3-MEDIUM' and exists (select 1 from orders where o_orderpriority = '3-MEDIUM' and o_totalprice is not null)
+union all select 'added', 'missing left', null, count(*) from orders where o_orderpriority = '5-LOW' having count(*) > 0
+""")
+def q_reconcile_faults(spark, sf):
+    """Orders against a copy with one group dropped, one short of rows, one with other values and one added."""
+    o = T(spark, sf, "orders").select("o_orderpriority", "o_orderkey", "o_totalprice")
+    p = F.col("o_orderpriority")
+    other = o.where(~F.coalesce((p == "1-URGENT") | (p == "2-HIGH") & (F.col("o_orderkey") % 10 == 3), F.lit(False)))
+    other = other.withColumn("o_totalprice", F.when(p == "3-MEDIUM", F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    other = other.unionByName(o.where(p == "5-LOW").withColumn("o_orderpriority", F.lit("added")))
+    return VF.compare_groups(o, other, ["o_orderpriority"], ["o_orderkey", "o_totalprice"])
+
+
+@register("reconcile_missing_groups", """
+with s as (select o_orderpriority, sum(o_totalprice) s from orders group by 1)
+select o_orderpriority, cast(null as double) value, round(s, 2) as recomputed from s where o_orderpriority = '1-URGENT'
+union all select 'no such group', cast(1 as double), null
+""")
+def q_reconcile_missing(spark, sf):
+    """A grouped result that lacks one group of the data and has one that the data lacks."""
+    o = T(spark, sf, "orders")
+    sums = o.groupBy("o_orderpriority").agg(M.aggregate("sum", F.col("o_totalprice")).alias("value")).where("o_orderpriority <> '1-URGENT' or o_orderpriority is null")
+    sums = sums.unionByName(spark.createDataFrame([("no such group", 1.0)], "o_orderpriority string, value double"))
+    bad = VF.reconcile(sums, o, ["o_orderpriority"], "value", "sum", "o_totalprice", complete=True)
+    return bad.select("o_orderpriority", "value", F.round("__check", 2).alias("recomputed"))
+
+
 @register("analysis_registry_keys", """
 select key from (values ('rows.total'), ('sum.o_totalprice'), ('metric.average.o_totalprice'), ('metric.max.o_totalprice'),
   ('metric.min.o_totalprice'), ('quality.score'), ('quality.missing'), ('quality.duplicates'), ('quality.invalid'),
@@ -719,6 +751,47 @@ def q_sorted_page(spark, sf):
     return X.sorted_page(o, "o_totalprice", True, page=2).select("o_orderkey", "o_totalprice")
 
 
+@register("page_after_key", """
+select o_orderkey, o_totalprice from orders where o_totalprice is not null order by o_totalprice, o_orderkey limit 50 offset 120
+""")
+def q_page_after(spark, sf):
+    """The page behind the last row of another page, found by its key."""
+    o = T(spark, sf, "orders").where("o_totalprice is not null").withColumn("__source_row", F.col("o_orderkey"))
+    pages = X.PageDirectory(o.select("o_orderkey", "o_totalprice", "__source_row"), "o_totalprice")
+    last = pages.page(11, 10).orderBy(F.col("o_totalprice").desc(), F.col("__source_row").desc()).first()  # one row
+    return pages.after(last["o_totalprice"], last["__source_row"]).select("o_orderkey", "o_totalprice")
+
+
+@register("analyze_profile", """
+select 'o_orderkey' as name, count(distinct o_orderkey) as unique_count, true as unique_exact from orders
+union all select 'o_custkey', count(distinct o_custkey), true from orders
+union all select 'o_totalprice', count(distinct o_totalprice), true from orders
+union all select 'o_orderdate', count(distinct o_orderdate), true from orders
+""")
+def q_analyze_profile(spark, sf):
+    """The distinct counts that the end-to-end job itself decides on."""
+    from proofsheet.plans.analysis import analyze
+    result = analyze(T(spark, sf, "orders"), ORDERS_MAPPING, source_row="o_orderkey")
+    named = F.col("name").isin("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    return result.profile.where(named).select("name", "unique_count", "unique_exact")
+
+
+@register("delimited_scan_quoted", """
+select doc_id, md5(case when regexp_full_match(text, '[\\x09-\\x0D\\x1C-\\x20\\x85\\p{Z}]*') then '' else text end) as text_md5,
+  lang from documents
+""")
+def q_delimited_scan(spark, sf):
+    """The documents written as quoted CSV, line ends inside fields, and read back in byte ranges."""
+    import uuid
+
+    from proofsheet.session import checkpoint_dir
+    from proofsheet.sources.delimited import read_delimited
+    path = f"{checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    (T(spark, sf, "documents").select(F.col("doc_id").cast("string"), "lang", "text").write.option("header", True).option("quoteAll", True)
+     .option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    return read_delimited(spark, path).select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), "lang")
+
+
 @register("repaired_cells", f"""
 with d as {DIRTY_ORDERS_SQL}
 select o_orderkey, concat_ws(',', case when o_orderpriority is null then 'o_orderpriority' end,
