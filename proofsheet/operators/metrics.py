@@ -81,37 +81,18 @@ _PREFIX = {"sum": "Total", "average": "Average", "max": "Highest", "min": "Lowes
 
 
 def plan_kpis(measures: list[str]) -> list[Kpi]:
-    """A2–A5: primary aggregate of the first 4 measures, then average / max /
-    min extras until there are 4, then the fallback fill."""
-    kpis: list[Kpi] = []
-    for m in measures[:V.MAX_KPIS]:
-        op = N.primary_aggregate(m)
-        key = f"sum.{m}" if op == "sum" else f"metric.{op}.{m}"
-        kpis.append(Kpi(f"metric-{m}", f"{_PREFIX[op]} {m}", key, op, m, N.display_format(m)))
-    for m in measures:
-        primary = N.primary_aggregate(m)
-        for op in ("average", "max", "min"):
-            if len(kpis) >= V.MAX_KPIS:
-                break
-            if op == primary:
-                continue
-            kpis.append(Kpi(f"{op}-{m}", f"{_PREFIX[op]} {m}", f"metric.{op}.{m}", op, m, N.display_format(m)))
-        if len(kpis) >= V.MAX_KPIS:
-            break
-    if measures and len(kpis) < V.MAX_KPIS:
-        existing = {k.id for k in kpis}
-        for m in measures:
-            for op in ("sum", "average", "max", "min"):
-                kid = f"{op}-{m}"
-                if kid in existing:
-                    continue
-                kpis.append(Kpi(kid, f"{_PREFIX[op]} {m}", f"metric.fallback.{op}.{m}", op, m, N.display_format(m)))
-                existing.add(kid)
-                if len(kpis) >= V.MAX_KPIS:
-                    break
-            if len(kpis) >= V.MAX_KPIS:
-                break
-    return kpis
+    """A2–A5: every KPI a table could show, in order of preference (primary
+    aggregates, then other aggregates by measure, then fallbacks); the first
+    MAX_KPIS of them, each id once."""
+    def kpi(id_: str, key: str, op: str, m: str) -> Kpi:
+        return Kpi(f"{id_}-{m}", f"{_PREFIX[op]} {m}", f"{key}.{m}", op, m, N.display_format(m))
+
+    primary = {m: N.primary_aggregate(m) for m in measures}
+    offers = [kpi("metric", "sum" if op == "sum" else f"metric.{op}", op, m) for m, op in primary.items()]
+    offers += [kpi(op, f"metric.{op}", op, m) for m in measures for op in ("average", "max", "min") if op != primary[m]]
+    offers += [kpi(op, f"metric.fallback.{op}", op, m) for m in measures for op in _PREFIX]
+    ids = [k.id for k in offers]
+    return [k for i, k in enumerate(offers) if ids.index(k.id) == i][:V.MAX_KPIS]
 
 
 def registry_rows(one_row: DataFrame, entries: list[tuple[str, str, str, list[str], str]]) -> DataFrame:
