@@ -1,17 +1,28 @@
 """Operator 6: embedding near-duplicates by NN-descent.
 
-Vectors are compared within a label only.  Equal vectors are one point with a
-count.  Each point starts with the neighbours it meets in leaves of random
-hyperplanes, cut as deep as its own label's count asks for; NN-descent then improves the lists through neighbours of
-neighbours, joined point by point.  Links of the lists at or above the
-threshold connect points to sets.  A list can end too early or miss a link, so
-all points of a label are then compared in blocks: that counts every link and
-joins the sets that a link connects.  The work of this step grows with the
-square of the label, its rows with the label's number of blocks.  The result is
-exact whatever the lists missed, so nothing is sampled to judge them.
-
-Similarities are cosines in double precision.  All work is grouped by run of a
-leaf, by point block or by pairs of blocks, each of a bounded size.
+Vectors are compared within a label only; equal vectors are one point with a
+count.  All lists hold angles.
+
+Classes: points that meet in a leaf of random hyperplanes and lie within half
+the threshold's angle of a representative make a class; any two of them are
+linked, whatever their number, so dense sets need no lists of their own.  Some
+rounds over new hyperplanes collapse representatives further.
+
+NN-descent over the classes: each starts with neighbours from the leaves; then
+every class introduces its neighbours, and those it is a neighbour of, to one
+another, as long as its list has news.  Lists are ordered by gap, the angle of
+the representatives less both radii; only classes with a gap up to the
+threshold's angle can have linked members.  A list whose last entry is still
+that near is saturated: it is enlarged to twice its length, and leaves and
+descent run again, until no list is saturated and no link is new.
+
+Threshold edges: of the listed pairs of classes those whose members are all
+linked by the triangle bound count by class size; the members of the others are
+compared in double precision, by pairs of blocks.
+
+Audit: AUDIT points (all, if fewer) are compared with all points of their
+label; while the mean share of their links that was found is below RECALL, all
+lists double and new hyperplanes are drawn.
 
 Defined results: vectors with a null label, that are null, empty, zero or hold
 null or non-finite components link with nothing; vectors of unequal lengths are
@@ -34,11 +45,15 @@ from pyspark.sql import Window as W
 from proofsheet.llm.graph import connected_components
 from proofsheet.session import saved
 
-NEIGHBOURS, TREES, LEAF, DESCENTS, SEED = 8, 5, 128, 2, 0
-#: Points of one block, and of one matrix product, when a label is compared with itself.
+NEIGHBOURS, TREES, LEAF, SEED = 8, 5, 128, 0
+#: Points of one block, and of one matrix product, when the members of two classes are compared.
 LABEL_BLOCK, TILE = 16384, 2048
-#: Points that introduce their neighbours in one task group, on average.
+#: Classes that introduce their neighbours in one task group, on average.
 HOSTS = 4096
+#: Radians by which bounds are kept away from what floating point could turn.
+SLACK = 1e-5
+#: Points of the audit, which the driver holds, and the mean share of their links that must be found.
+AUDIT, RECALL = 2048, 0.999
 
 
 def _matrix(vectors) -> np.ndarray:
@@ -64,10 +79,12 @@ def _depth(points: DataFrame) -> DataFrame:
     return points.join(counts.withColumn("depth", depth), "label")
 
 
-def _leaves(points: DataFrame, seed: int) -> DataFrame:
+def _leaves(points: DataFrame, seed: int, trees: int | None = None) -> DataFrame:
     """(rid, label, v, tree, leaf): sides of random hyperplanes.
 
     Each label has as many hyperplanes as its own count asks for; one that fits a leaf is one leaf, of one tree."""
+    trees = trees or TREES
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
@@ -76,10 +93,10 @@ def _leaves(points: DataFrame, seed: int) -> DataFrame:
             for depth, dim in set(kinds):
                 which = [i for i, kind in enumerate(kinds) if kind == (depth, dim)]
                 if (depth, dim) not in planes:
-                    planes[depth, dim] = np.random.default_rng([seed, depth, dim]).normal(size=(dim, TREES * depth))
+                    planes[depth, dim] = np.random.default_rng([seed, depth, dim]).normal(size=(dim, trees * depth))
                 side = _matrix([vectors[i] for i in which]) @ planes[depth, dim]
                 rows = batch.take(pa.array(which))
-                for t in range(TREES if depth else 1):
+                for t in range(trees if depth else 1):
                     leaf = ((side[:, t * depth:(t + 1) * depth] > 0) @ (1 << np.arange(depth))).astype(np.int64) if depth else np.zeros(len(which), np.int64)
                     yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), pa.array(np.full(len(which), t, np.int32)),
                                                       pa.array(leaf)], ["rid", "label", "v", "tree", "leaf"])
@@ -88,145 +105,267 @@ def _leaves(points: DataFrame, seed: int) -> DataFrame:
             .mapInArrow(run, "rid long, label string, v array<double>, tree int, leaf long"))
 
 
-PAIRS = "a long, b long, s double"
-
-
-def _top_pairs(ids: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
-    """Each row's k most similar others."""
-    if len(ids) < 2:
-        return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "s": np.empty(0)})
-    s = x @ x.T
-    np.fill_diagonal(s, -2)
-    k = min(k, len(ids) - 1)
-    best = np.argpartition(-s, k - 1, axis=1)[:, :k]
-    a = np.repeat(np.arange(len(ids)), k)
-    b = best.ravel()
-    return pd.DataFrame({"a": ids[a], "b": ids[b], "s": s[a, b]})
-
-
-def _runs(points: DataFrame, seed: int) -> DataFrame:
+def _runs(points: DataFrame, seed: int, trees: int | None = None) -> DataFrame:
     """The leaves' rows with ``run``: leaves of more than 2 * LEAF points are
     dealt out in Spark, anew for each tree, so that no group grows with a set of near copies."""
-    leaves, leaf = _leaves(points, seed), ["label", "tree", "leaf"]
+    leaves, leaf = _leaves(points, seed, trees), ["label", "tree", "leaf"]
     crowded = saved(leaves.groupBy(*leaf).agg(F.ceil(F.count("*") / (2 * LEAF)).alias("runs")).where("runs > 1"))
     run = F.pmod(F.xxhash64("rid", "tree", F.lit(seed)), F.col("runs"))
     return leaves.join(crowded, leaf, "left").withColumn("run", F.coalesce(run, F.lit(0))).drop("runs")
 
 
-def _start(points: DataFrame, seed: int) -> DataFrame:
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _top_pairs(pdf["rid"].to_numpy(), _matrix(pdf["v"]), NEIGHBOURS)
+def angles(s: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(s, -1, 1))
+
+
+# ---------------------------------------------------------------- classes
+def collapse(points: DataFrame, theta: float, seed: int) -> DataFrame:
+    """(rid, rep): the representative of every point, within half of ``theta``."""
+    half = theta / 2 - SLACK
+    now, chain = points.select("rid", "label", "v", F.lit(0.0).alias("r")), None
+
+    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rid")
+        ids, r = pdf["rid"].to_numpy(), pdf["r"].to_numpy().copy()
+        x = _matrix(pdf["v"])
+        far, rep = angles(x @ x.T), np.full(len(ids), -1)
+        for i in range(len(ids)):
+            if rep[i] < 0:
+                mine = (rep < 0) & (far[i] + r <= half)
+                mine[i] = True
+                others = mine.copy()
+                others[i] = False
+                rep[mine] = i
+                r[i] = max(r[i], (far[i] + r)[others].max(initial=0))
+        return pd.DataFrame({"rid": ids, "rep": ids[rep], "r": r})
+
+    n = None
+    for t in range(TREES):
+        radii = now.select("rid", "r")
+        groups = _runs(now, seed + 100 + t, 1).join(radii, "rid").groupBy("label", "tree", "leaf", "run")
+        step = saved(groups.applyInPandas(gather, "rid long, rep long, r double"))
+        chain = step.select("rid", "rep") if chain is None else chain.join(
+            step.select(F.col("rid").alias("rep"), F.col("rep").alias("next")), "rep").select("rid", F.col("next").alias("rep"))
+        chain = saved(chain)
+        before, n = n, step.where("rid = rep").count()
+        now = saved(now.select("rid", "label", "v").join(step.where("rid = rep").select("rid", "r"), "rid"))
+        if before is not None and n > 0.98 * before:
+            break
+    return chain
+
+
+def classes_of(points: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (rid, label, v, size, cid) and classes (rid, label, v, r, weight, points): ``rid`` of a class,
+    the ``cid`` of its members, is the smallest of theirs, ``v`` its representative's vector."""
+    rows = points.join(reps, "rid").join(points.select(F.col("rid").alias("rep"), F.col("v").alias("centre")), "rep")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            far = [float(angles((_matrix([a])[0] * _matrix([b])[0]).sum())) if i != j else 0.0 for i, j, a, b in
+                   zip(*(batch.column(c).to_pylist() for c in range(4)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far, pa.float64()), batch.column(4)], ["rid", "rep", "far", "size"])
 
-    return _runs(points, seed).groupBy("label", "tree", "leaf", "run").applyInPandas(meet, PAIRS)
+    far = saved(rows.select("rid", "rep", "v", "centre", "size").mapInArrow(run, "rid long, rep long, far double, size long"))
+    named = far.groupBy("rep").agg(F.min("rid").alias("cid"), F.max("far").alias("r"), F.sum("size").alias("weight"), F.count("*").alias("points"))
+    classes = saved(named.join(points.select(F.col("rid").alias("rep"), "label", "v"), "rep").select(
+        F.col("cid").alias("rid"), "label", "v", F.when(F.col("r") > 0, F.col("r") + SLACK / 10).otherwise(0.0).alias("r"), "weight", "points", "rep"))
+    members = saved(points.join(reps, "rid").join(classes.select("rep", F.col("rid").alias("cid")), "rep").drop("rep"))
+    return members, classes.drop("rep")
 
 
-def _best(pairs: DataFrame) -> DataFrame:
-    """The NEIGHBOURS best entries of each list."""
-    w = W.partitionBy("a").orderBy(F.desc("s"), "b")
-    return (pairs.groupBy("a", "b").agg(F.max("s").alias("s")).withColumn("place", F.row_number().over(w))
-            .where(F.col("place") <= NEIGHBOURS).drop("place"))
+# ---------------------------------------------------------------- lists
+PAIRS = "a long, b long, g double"
 
 
-def _descend(lists: DataFrame, points: DataFrame) -> DataFrame:
-    """One round: every point introduces the neighbours on its list, and those
-    whose list it is on (its NEIGHBOURS best), to one another."""
-    w = W.partitionBy("a").orderBy(F.desc("s"), "b")
-    back = (lists.select(F.col("b").alias("a"), F.col("a").alias("b"), "s").withColumn("place", F.row_number().over(w))
-            .where(F.col("place") <= NEIGHBOURS).drop("place"))
-    worst = lists.groupBy("a").agg(F.min("s").alias("worst"))
-    host = lists.unionByName(back).select(F.col("a").alias("host"), F.col("b").alias("rid")).distinct()
-    guests = host.join(points.select("rid", "v").join(worst, F.col("rid") == F.col("a")).select("rid", "v", "worst"), "rid")
-    blocks = max(points.sparkSession.sparkContext.defaultParallelism * 4, -(-points.count() // HOSTS))
+def _start(classes: DataFrame, ks: DataFrame, seed: int) -> DataFrame:
+    """The nearest others that each class meets in leaves, as many as its list takes."""
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, r, k = pdf["rid"].to_numpy(), pdf["r"].to_numpy(), pdf["k"].to_numpy()
+        if len(ids) < 2:
+            return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "g": np.empty(0)})
+        x = _matrix(pdf["v"])
+        g = angles(x @ x.T) - r[:, None] - r[None, :]
+        np.fill_diagonal(g, np.inf)
+        most = int(min(k.max(), len(ids) - 1))
+        best = np.argsort(g, axis=1)[:, :most]
+        a, place = np.divmod(np.arange(best.size), most)
+        take = place < k[a]
+        a, b = a[take], best.ravel()[take]
+        return pd.DataFrame({"a": ids[a], "b": ids[b], "g": g[a, b]})
+
+    rows = _runs(classes, seed).join(classes.select("rid", "r"), "rid").join(ks, "rid")
+    return rows.groupBy("label", "tree", "leaf", "run").applyInPandas(meet, PAIRS)
+
+
+def _best(pairs: DataFrame, ks: DataFrame) -> DataFrame:
+    """The best entries of each list, as many as it takes."""
+    w = W.partitionBy("a").orderBy("g", "b")
+    ranked = pairs.groupBy("a", "b").agg(F.min("g").alias("g")).withColumn("place", F.row_number().over(w))
+    return ranked.join(ks.withColumnRenamed("rid", "a"), "a").where("place <= k").drop("place", "k")
+
+
+def _descend(lists: DataFrame, news: DataFrame, classes: DataFrame, ks: DataFrame) -> DataFrame:
+    """Every class with news introduces the classes on its list, and those on whose list it is (as many), to one another."""
+    back = _best(lists.select(F.col("b").alias("a"), F.col("a").alias("b"), "g"), ks)
+    worst = lists.groupBy("a").agg(F.max("g").alias("worst"), F.count("*").alias("n")).withColumnRenamed("a", "rid")
+    full = ks.join(worst, "rid", "left").select("rid", F.when(F.col("n") >= F.col("k"), F.col("worst")).otherwise(float("inf")).alias("worst"))
+    active = news.select(F.explode(F.array("a", "b")).alias("host")).distinct()
+    host = lists.unionByName(back).select(F.col("a").alias("host"), F.col("b").alias("rid")).distinct().join(active, "host")
+    guests = host.join(classes.select("rid", F.col("v").cast("array<float>").alias("v"), "r").join(full, "rid"), "rid")
+    blocks = max(classes.sparkSession.sparkContext.defaultParallelism * 4, -(-classes.count() // HOSTS))
 
     def introduce(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         pdf = pdf.sort_values(["host", "rid"])
-        ids, worst_, x = pdf["rid"].to_numpy(), pdf["worst"].to_numpy(), _matrix(pdf["v"])
+        ids, worst_, r, x = pdf["rid"].to_numpy(), pdf["worst"].to_numpy(), pdf["r"].to_numpy(), None
+        dims = pdf["v"].map(len).to_numpy()
         _, first, n = np.unique(pdf["host"].to_numpy(), return_index=True, return_counts=True)
-        for size in np.unique(n):
-            at = first[n == size][:, None] + np.arange(size)
-            for i in range(0, len(at), 4096):
-                part = at[i:i + 4096]
-                s = x[part] @ x[part].transpose(0, 2, 1)
-                better = (s > worst_[part][:, :, None]) & ~np.eye(size, dtype=bool)
-                g, p, q = np.nonzero(better)
-                out.append(pd.DataFrame({"a": ids[part[g, p]], "b": ids[part[g, q]], "s": s[g, p, q]}))
-        return pd.concat(out).drop_duplicates(["a", "b"]) if out else pd.DataFrame({"a": [], "b": [], "s": []})
+        for dim in np.unique(dims):
+            x = np.zeros((len(ids), dim))
+            x[dims == dim] = _matrix(pdf["v"][dims == dim])
+            for size in np.unique(n[dims[first] == dim]):
+                at = first[(n == size) & (dims[first] == dim)][:, None] + np.arange(size)
+                step = max(1, (1 << 20) // int(size * size))
+                for i in range(0, len(at), step):
+                    part = at[i:i + step]
+                    g = angles(x[part] @ x[part].transpose(0, 2, 1)) - r[part][:, :, None] - r[part][:, None, :]
+                    h, p, q = np.nonzero((g < worst_[part][:, :, None]) & ~np.eye(size, dtype=bool))
+                    out.append(pd.DataFrame({"a": ids[part[h, p]], "b": ids[part[h, q]], "g": g[h, p, q]}))
+        return pd.concat(out).drop_duplicates(["a", "b"]) if out else pd.DataFrame({"a": [], "b": [], "g": []})
 
     block = F.pmod(F.xxhash64("host"), F.lit(blocks)).cast("int")
     return guests.withColumn("block", block).groupBy("block").applyInPandas(introduce, PAIRS)
 
 
-def _block_pairs(points: DataFrame) -> DataFrame:
-    """``points`` once for each pair of blocks of their label that they belong to (group, i, j); small labels share groups."""
-    total = points.count()
-    shared = max(points.sparkSession.sparkContext.defaultParallelism * 4, -(-total // LABEL_BLOCK))
-    rows = _depth(points).withColumn("blocks", F.ceil(F.col("in_label") / LABEL_BLOCK))
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("rid"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    group = F.when(F.col("blocks") > 1, F.col("label")).otherwise(F.concat(F.lit("/"), F.pmod(F.xxhash64("label"), F.lit(shared)).cast("string")))
-    return rows.select("rid", "label", "v", "size", "set", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), group.alias("group"))
+def neighbours(classes: DataFrame, lists: DataFrame | None, ks: DataFrame, theta: float, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Lists that the descent no longer improves and that end beyond ``theta``, and their lengths."""
+    while True:
+        start = _start(classes, ks, seed)
+        news = lists = saved(_best(start if lists is None else start.unionByName(lists), ks))
+        links = None
+        while True:
+            better = saved(_best(lists.unionByName(_descend(lists, news, classes, ks)), ks))
+            news = saved(better.join(lists.select("a", "b"), ["a", "b"], "left_anti"))
+            n_news, n, near = news.count(), better.count(), better.where(F.col("g") <= theta).count()
+            lists = better
+            if n_news <= 0.01 * n and near == links:
+                break
+            links = near
+        ends = lists.groupBy("a").agg(F.count("*").alias("n"), F.max("g").alias("g")).withColumnRenamed("a", "rid")
+        grown = saved(ks.join(ends, "rid", "left").select("rid", "k", F.coalesce((F.col("n") >= F.col("k")) & (F.col("g") <= theta + SLACK), F.lit(False)).alias("full")))
+        if not grown.where("full").limit(1).count():
+            return lists, ks
+        ks = grown.select("rid", F.when(F.col("full"), F.col("k") * 2).otherwise(F.col("k")).alias("k"))
+
+
+# ---------------------------------------------------------------- links
+def _member_pairs(pairs: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame:
+    """The members of both classes of each pair, once for each pair of their blocks; small pairs share groups."""
+    blocks = classes.select("rid", F.ceil(F.col("points") / LABEL_BLOCK).cast("int").alias("blocks"))
+    pairs = pairs.join(blocks.withColumnsRenamed({"rid": "a", "blocks": "na"}), "a").join(blocks.withColumnsRenamed({"rid": "b", "blocks": "nb"}), "b")
+    sides = pairs.select("a", "b", "na", "nb", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("cid")),
+                                                                  F.struct(F.lit(1).alias("side"), F.col("b").alias("cid")))).alias("s")).select("a", "b", "na", "nb", "s.*")
+    rows = sides.join(members, "cid")
+    own, others = F.when(F.col("side") == 0, F.col("na")).otherwise(F.col("nb")), F.when(F.col("side") == 0, F.col("nb")).otherwise(F.col("na"))
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("rid"), own).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
+    shared = max(members.sparkSession.sparkContext.defaultParallelism * 4, -(-members.count() // LABEL_BLOCK))
+    small = (F.col("na") == 1) & (F.col("nb") == 1)
+    name = F.when(small, F.pmod(F.xxhash64("a", "b"), F.lit(shared)).cast("string")).otherwise(F.concat_ws("/", "a", "b"))
+    first, second = F.when(F.col("side") == 0, F.col("mine")).otherwise(F.col("other")), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("mine"))
+    return rows.select("a", "b", "side", "rid", "v", "size", name.alias("group"), first.alias("i"), second.alias("j"))
+
+
+def class_links(lists: DataFrame, members: DataFrame, classes: DataFrame, theta: float, threshold: float) -> DataFrame:
+    """(kind, a, b, n): 'class': n links of every member of class a; 'member': n links of point a; 'edge': classes a and b are linked."""
+    near = lists.where(F.col("g") <= theta + SLACK).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "g").groupBy("a", "b").agg(F.min("g").alias("g"))
+    side = classes.select("rid", "r", "weight")
+    near = near.join(side.withColumnsRenamed({"rid": "a", "r": "ra", "weight": "wa"}), "a").join(side.withColumnsRenamed({"rid": "b", "r": "rb", "weight": "wb"}), "b")
+    near = saved(near.withColumn("all", F.col("g") + 2 * (F.col("ra") + F.col("rb")) <= theta - SLACK))
+    whole = near.where("all")
+    whole = whole.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), x.alias("a"), y.alias("b"), n.cast("long").alias("n")) for k, x, y, n in (
+        ("class", F.col("a"), F.lit(None).cast("long"), F.col("wb")), ("class", F.col("b"), F.lit(None).cast("long"), F.col("wa")),
+        ("edge", F.col("a"), F.col("b"), F.lit(0)))])).alias("x")).select("x.*")
 
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        counts: dict[int, int] = {}
+        edges = []
+        pdf = pdf.sort_values(["a", "b", "side"])
+        pair = pdf[["a", "b"]].to_numpy()
+        cuts = np.flatnonzero((pair[1:] != pair[:-1]).any(axis=1)) + 1
+        ids, size, side_ = pdf["rid"].to_numpy(), pdf["size"].to_numpy(), pdf["side"].to_numpy()
+        for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(pdf)]):
+            x, cut = _matrix(pdf["v"].iloc[start:end]), start + int((side_[start:end] == 0).sum())
+            linked = False
+            for p in range(start, cut, TILE):
+                for q in range(cut, end, TILE):
+                    l, r = slice(p, min(p + TILE, cut)), slice(q, min(q + TILE, end))
+                    hit = x[l.start - start:l.stop - start] @ x[r.start - start:r.stop - start].T >= threshold
+                    if hit.any():
+                        linked = True
+                        for where, n in ((l, hit @ size[r]), (r, size[l] @ hit)):
+                            for i, m in zip(ids[where].tolist(), n.tolist()):
+                                if m:
+                                    counts[i] = counts.get(i, 0) + m
+            if linked:
+                edges.append(tuple(pair[start].tolist()))
+        rows = [("member", i, None, n) for i, n in counts.items()] + [("edge", i, j, 0) for i, j in edges]
+        return pd.DataFrame({"kind": [r[0] for r in rows], "a": pd.array([r[1] for r in rows], "Int64"),
+                             "b": pd.array([r[2] for r in rows], "Int64"), "n": pd.array([r[3] for r in rows], "Int64")})
+
+    some = _member_pairs(near.where(~F.col("all")).select("a", "b"), members, classes)
+    return whole.unionByName(some.groupBy("group", "i", "j").applyInPandas(compare, "kind string, a long, b long, n long"))
+
+
+def counted(members: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """Members with ``n``, the rows linked with each of their rows."""
+    by_class = found.where("kind = 'class'").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("of_class"))
+    by_member = found.where("kind = 'member'").groupBy(F.col("a").alias("rid")).agg(F.sum("n").alias("of_member"))
+    rows = members.join(classes.select(F.col("rid").alias("cid"), "weight"), "cid").join(by_class, "cid", "left").join(by_member, "rid", "left")
+    zero = F.lit(0)
+    return rows.withColumn("n", F.col("weight") - 1 + F.coalesce("of_class", zero) + F.coalesce("of_member", zero)).drop("weight", "of_class", "of_member")
+
+
+def recall(points: DataFrame, links: DataFrame, threshold: float) -> float:
+    """The mean share of their links that ``links`` (rid, n) has of AUDIT points; 1 if none of them has a link."""
+    asked = points.orderBy(F.xxhash64("rid", F.lit(7)), "rid").limit(AUDIT).select("rid", "label", "v", "size").collect()
+    by_label: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    for name in {r["label"] for r in asked}:
+        mine = [r for r in asked if r["label"] == name]
+        by_label[name] = np.array([r["rid"] for r in mine]), _matrix([r["v"] for r in mine])
+    shared = points.sparkSession.sparkContext.broadcast(by_label)
 
-def label_links(points: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, n): n weighted links of point a where b is null, else a link between the sets a and b.
-
-    Every point is compared with all others of its label, by pairs of blocks.
-    Of the links between sets, each pair of blocks gives a spanning forest."""
-    rows = points.join(sets.select(F.col("node").alias("rid"), F.col("component").alias("set")), "rid", "left")
-    rows = _block_pairs(rows.withColumn("set", F.coalesce("set", "rid")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            labels = np.array(batch.column(0).to_pylist(), object)
+            size = batch.column(2).to_numpy()
+            for name in set(labels.tolist()) & set(shared.value):
+                at = np.flatnonzero(labels == name)
+                ids, x = shared.value[name]
+                n = ((_matrix(batch.column(1).take(pa.array(at)).to_pylist()) @ x.T >= threshold) * size[at, None]).sum(axis=0)
+                some = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(n[some])], ["rid", "actual"])
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, part in pdf.groupby("label"):
-            if len(part) < 2:
-                continue
-            x, ids, size = _matrix(part["v"]), part["rid"].to_numpy(), part["size"].to_numpy(np.float64)
-            names, own = np.unique(part["set"].to_numpy(), return_inverse=True)
-            mine, i, j = part["mine"].to_numpy(), int(part["i"].iloc[0]), int(part["j"].iloc[0])
-            left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-            n, root, joined = np.zeros(len(ids)), np.arange(len(names)), []
-            for p in range(0, len(left), TILE):
-                for q in range(p if i == j else 0, len(right), TILE):
-                    l, r = left[p:p + TILE], right[q:q + TILE]
-                    near = x[l] @ x[r].T >= threshold
-                    same = i == j and p == q
-                    if same:
-                        np.fill_diagonal(near, False)
-                    g, h = np.divmod(np.flatnonzero(near), len(r))
-                    n[l] += np.bincount(g, size[r[h]], len(l))
-                    if not same:
-                        n[r] += np.bincount(h, size[l[g]], len(r))
-                    s, t = root[own[l[g]]], root[own[r[h]]]
-                    apart = s != t
-                    for s, t in np.unique(np.column_stack([s[apart], t[apart]]), axis=0):
-                        s, t = root[s], root[t]
-                        if s != t:
-                            joined.append((names[s], names[t]))
-                            root[root == t] = s
-            some = n > 0
-            out.append(pd.DataFrame({"a": ids[some], "b": pd.array([None] * int(some.sum()), "Int64"), "n": n[some].astype(np.int64)}))
-            if joined:
-                out.append(pd.DataFrame({"a": [s for s, _ in joined], "b": pd.array([t for _, t in joined], "Int64"), "n": 0}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "n": []})
-
-    return rows.groupBy("group", "i", "j").applyInPandas(compare, "a long, b long, n long")
+    linked = points.select("label", "v", "size").mapInArrow(run, "rid long, actual long").groupBy("rid").agg((F.sum("actual") - 1).alias("actual")).where("actual > 0")
+    share = linked.join(links.select("rid", "n"), "rid").agg(F.avg(F.least(F.col("n") / F.col("actual"), F.lit(1.0)))).first()[0]
+    return 1.0 if share is None else share
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, vec_id: str = "vec_id", embedding: str = "embedding",
                     label: str = "label") -> DataFrame:
     """One row per vector: id, n_links, component_id, kept."""
+    theta = float(np.arccos(threshold))
     points = saved(distinct_points(vectors, vec_id, embedding, label))
-    lists = saved(_best(_start(points, SEED)))
-    for _ in range(DESCENTS):
-        lists = saved(_best(lists.unionByName(_descend(lists, points))))
-    sets = saved(connected_components(lists.where(F.col("s") >= threshold)))
-    found = saved(label_links(points, sets, threshold))
-    whole = saved(connected_components(found.where(F.col("b").isNotNull()))).select(F.col("node").alias("set"), F.col("component").alias("whole"))
-    links = points.select("rid", "size", "label", "v").join(sets.select(F.col("node").alias("rid"), F.col("component").alias("set")), "rid", "left")
-    links = links.withColumn("set", F.coalesce("set", "rid")).join(whole, "set", "left")
-    links = links.join(found.where(F.col("b").isNull()).groupBy(F.col("a").alias("rid")).agg(F.sum("n").alias("n")), "rid", "left")
-    links = saved(links.select("label", "v", F.coalesce("whole", "set").alias("component"),
-                               (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n")))
+    members, classes = classes_of(points, collapse(points, theta, SEED))
+    lists, ks, seed = None, classes.select("rid", F.lit(NEIGHBOURS).alias("k")), SEED
+    while True:
+        lists, ks = neighbours(classes, lists, ks, theta, seed)
+        found = saved(class_links(lists, members, classes, theta, threshold))
+        links = saved(counted(members, classes, found))
+        if recall(points, links, threshold) >= RECALL:
+            break
+        ks, seed = saved(ks.select("rid", (F.col("k") * 2).alias("k"))), seed + 1
+    whole = saved(connected_components(found.where("kind = 'edge'").select("a", "b"))).select(F.col("node").alias("cid"), F.col("component").alias("whole"))
+    links = saved(links.join(whole, "cid", "left").select("label", "v", F.coalesce("whole", "cid").alias("component"), "n"))
     e = F.col(embedding).cast("array<double>")
     rows = vectors.select(F.col(vec_id), F.concat_ws("/", F.col(label).cast("string"), F.size(e)).alias("__label"),
                           F.when(F.col(vec_id).isNotNull() & F.col(label).isNotNull(), F.transform(e, lambda x: x + 0.0)).alias("__v"))
