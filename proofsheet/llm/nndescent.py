@@ -139,7 +139,7 @@ def collapse(points: DataFrame, theta: float, seed: int) -> DataFrame:
                 r[i] = max(r[i], (far[i] + r)[others].max(initial=0))
         return pd.DataFrame({"rid": ids, "rep": ids[rep], "r": r})
 
-    n = None
+    n = points.count()
     for t in range(TREES):
         radii = now.select("rid", "r")
         groups = _runs(now, seed + 100 + t, 1).join(radii, "rid").groupBy("label", "tree", "leaf", "run")
@@ -149,7 +149,7 @@ def collapse(points: DataFrame, theta: float, seed: int) -> DataFrame:
         chain = saved(chain)
         before, n = n, step.where("rid = rep").count()
         now = saved(now.select("rid", "label", "v").join(step.where("rid = rep").select("rid", "r"), "rid"))
-        if before is not None and n > 0.98 * before:
+        if n > 0.98 * before:
             break
     return chain
 
@@ -204,7 +204,7 @@ def _best(pairs: DataFrame, ks: DataFrame) -> DataFrame:
     return ranked.join(ks.withColumnRenamed("rid", "a"), "a").where("place <= k").drop("place", "k")
 
 
-def _descend(lists: DataFrame, news: DataFrame, classes: DataFrame, ks: DataFrame) -> DataFrame:
+def _descend(lists: DataFrame, news: DataFrame, classes: DataFrame, ks: DataFrame, blocks: int) -> DataFrame:
     """Every class with news introduces the classes on its list, and those on whose list it is (as many), to one another."""
     back = _best(lists.select(F.col("b").alias("a"), F.col("a").alias("b"), "g"), ks)
     worst = lists.groupBy("a").agg(F.max("g").alias("worst"), F.count("*").alias("n")).withColumnRenamed("a", "rid")
@@ -212,7 +212,6 @@ def _descend(lists: DataFrame, news: DataFrame, classes: DataFrame, ks: DataFram
     active = news.select(F.explode(F.array("a", "b")).alias("host")).distinct()
     host = lists.unionByName(back).select(F.col("a").alias("host"), F.col("b").alias("rid")).distinct().join(active, "host")
     guests = host.join(classes.select("rid", F.col("v").cast("array<float>").alias("v"), "r").join(full, "rid"), "rid")
-    blocks = max(classes.sparkSession.sparkContext.defaultParallelism * 4, -(-classes.count() // HOSTS))
 
     def introduce(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -239,15 +238,16 @@ def _descend(lists: DataFrame, news: DataFrame, classes: DataFrame, ks: DataFram
 
 def neighbours(classes: DataFrame, lists: DataFrame | None, ks: DataFrame, theta: float, seed: int) -> tuple[DataFrame, DataFrame]:
     """Lists that the descent no longer improves and that end beyond ``theta``, and their lengths."""
+    blocks = max(classes.sparkSession.sparkContext.defaultParallelism * 4, -(-classes.count() // HOSTS))
     while True:
         start = _start(classes, ks, seed)
         news = lists = saved(_best(start if lists is None else start.unionByName(lists), ks))
         links = None
         while True:
-            better = saved(_best(lists.unionByName(_descend(lists, news, classes, ks)), ks))
-            news = saved(better.join(lists.select("a", "b"), ["a", "b"], "left_anti"))
-            n_news, n, near = news.count(), better.count(), better.where(F.col("g") <= theta).count()
-            lists = better
+            better = _best(lists.unionByName(_descend(lists, news, classes, ks, blocks)), ks)
+            lists = saved(better.join(lists.select("a", "b", F.lit(False).alias("new")), ["a", "b"], "left").withColumn("new", F.coalesce("new", F.lit(True))))
+            n_news, n, near = lists.agg(F.count_if("new"), F.count("*"), F.count_if(F.col("g") <= theta)).first()
+            news, lists = lists.where("new"), lists.drop("new")
             if n_news <= 0.01 * n and near == links:
                 break
             links = near
