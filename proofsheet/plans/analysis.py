@@ -13,14 +13,19 @@ from pyspark.sql import functions as F
 
 from proofsheet.functions import names as N
 from proofsheet.functions import vocab as V
-from proofsheet.functions.expr import col, day_label, is_temporal_type
+from proofsheet.functions.expr import col, day_label, is_temporal_type, period_label
 from proofsheet.operators import insights as I
 from proofsheet.operators import metrics as M
 from proofsheet.operators import quality as Q
 from proofsheet.operators.clean import CleanResult, clean_dataset
 from proofsheet.operators.positions import with_file_row_index, with_row_index
 from proofsheet.operators.profile import ColumnProfile, infer_columns, profile_frame
+from proofsheet.operators.rollup import RollUp, roll_up, selection_set
 from proofsheet.operators.verify import missing_refs, unproven_numbers
+from proofsheet.session import saved
+
+#: Key of the roll-up that holds the month of the first date.
+MONTH = "__month"
 
 
 @dataclass
@@ -68,6 +73,12 @@ class AnalysisResult:
     plan: AnalysisPlan
     notes: DataFrame | None = None      # audit summary first, then the quality notes
     warnings: DataFrame | None = None   # the notes again when the score is below 90
+    facts: DataFrame | None = None      # what the insights are made of
+    rollup: RollUp | None = None        # charts, filters and selections without the rows
+
+
+def _point_ref(prefix: str, index: str):
+    return F.concat(F.lit(prefix), F.col(index).cast("string")).alias("result_ref")
 
 
 def analyze(df: DataFrame, mapping: dict[str, str] | None = None, mode: str = "recommended",
@@ -109,32 +120,42 @@ def analyze(df: DataFrame, mapping: dict[str, str] | None = None, mode: str = "r
     spark_ = df.sparkSession
     kpi_rows = M.registry_rows(M.one_row(spark_, glob, [e[0] for e in k_entries]), k_entries)
     parts = [kpi_rows, q_results]
-    charts = []
+    charts, facts = [], []
     chart_measures = measures[:2]
     category_dim = next((d for d in dims if not N.is_temporal_dimension(d)), None)
+    temporal = [d for d in dims if N.is_temporal_dimension(d)]
+    time_keys = [MONTH] if dates else temporal[:2]
+    # ONE more pass for all charts, filter values and later selections
+    uniques = {p.name: p.unique_count for p in prof if p.name in dims and p.unique_exact}
+    wanted = [[category_dim] if category_dim else [], time_keys, *[[d] for d in dims[:V.MAX_FILTERS]], selection_set(uniques)]
+    wanted = [s for s in wanted if s]
+    rollup = roll_up(work, wanted, measures, {MONTH: period_label(col(dates[0]))} if dates else None) if wanted else None
     if category_dim and chart_measures:
-        top = M.category_topk(work, category_dim, chart_measures)
+        top = saved(rollup.category_topk(category_dim, chart_measures))
         ops = [f"group_{N.primary_aggregate(m)}" for m in chart_measures]
         parts.append(M.chart_registry(top, "chart.category", [f"value_{i}" for i in range(len(chart_measures))], ops,
                                       [[category_dim, m] for m in chart_measures], "rank"))
         parts.append(I.category_readings(top, category_dim, chart_measures[0]))
+        facts.append(I.category_facts(top, chart_measures))
         for i, m in enumerate(chart_measures):
             charts.append(top.select(F.lit("category-bar").alias("chart_id"), F.col("rank").alias("ordinal"),
-                                     F.col("category").alias("label"), F.col(f"value_{i}").alias("value"), F.lit(m).alias("series")))
+                                     F.col("category").alias("label"), F.col(f"value_{i}").alias("value"), F.lit(m).alias("series"),
+                                     _point_ref(f"chart.category.{i}.", "rank")))
         charts.append(top.where(F.col("rank") < V.DONUT_TOP_K).select(
             F.lit("category-donut").alias("chart_id"), F.col("rank").alias("ordinal"),
-            F.col("category").alias("label"), F.col("value_0").alias("value"), F.lit(chart_measures[0]).alias("series")))
-    temporal = [d for d in dims if N.is_temporal_dimension(d)]
-    if chart_measures and (dates or temporal):
+            F.col("category").alias("label"), F.col("value_0").alias("value"), F.lit(chart_measures[0]).alias("series"),
+            _point_ref("chart.category.0.", "rank")))
+    if chart_measures and time_keys:
         tcols = dates[:1] if dates else temporal[:2]
-        tr = M.trend(work, tcols, chart_measures, is_date=bool(dates))
+        tr = saved(rollup.trend(time_keys, chart_measures))
         ops = [f"period_{N.primary_aggregate(m)}" for m in chart_measures]
         parts.append(M.chart_registry(tr, "chart.trend", [f"value_{i}" for i in range(len(chart_measures))], ops,
                                       [[*tcols, m] for m in chart_measures], "ordinal"))
         parts.append(I.trend_readings(tr, tcols[0], chart_measures[0]))
+        facts.append(I.trend_facts(tr, chart_measures[0]))
         for i, m in enumerate(chart_measures):
             charts.append(tr.select(F.lit("time-line").alias("chart_id"), "ordinal", F.col("period").alias("label"),
-                                    F.col(f"value_{i}").alias("value"), F.lit(m).alias("series")))
+                                    F.col(f"value_{i}").alias("value"), F.lit(m).alias("series"), _point_ref(f"chart.trend.{i}.", "ordinal")))
     if measures:
         m0 = measures[0]
         rng = M.one_row(spark_, glob, ["min_value", "avg_value", "max_value"])
@@ -142,15 +163,17 @@ def analyze(df: DataFrame, mapping: dict[str, str] | None = None, mode: str = "r
                                            ("avg_value", f"dist.{m0}.avg", "average", [m0], "avg"),
                                            ("max_value", f"dist.{m0}.max", "max", [m0], "max")]))
         parts.append(I.range_readings(rng, m0))
+        facts.append(I.range_facts(rng, m0))
         charts.append(rng.select(F.explode(F.array(
-            F.struct(F.lit(0).alias("ordinal"), F.lit("min").alias("label"), F.col("min_value").alias("value")),
-            F.struct(F.lit(1).alias("ordinal"), F.lit("average").alias("label"), F.col("avg_value").alias("value")),
-            F.struct(F.lit(2).alias("ordinal"), F.lit("max").alias("label"), F.col("max_value").alias("value")),
-        )).alias("p")).select(F.lit("distribution").alias("chart_id"), "p.*", F.lit(m0).alias("series")))
+            F.struct(F.lit(0).alias("ordinal"), F.lit("min").alias("label"), F.col("min_value").alias("value"), F.lit(f"dist.{m0}.min").alias("ref")),
+            F.struct(F.lit(1).alias("ordinal"), F.lit("average").alias("label"), F.col("avg_value").alias("value"), F.lit(f"dist.{m0}.avg").alias("ref")),
+            F.struct(F.lit(2).alias("ordinal"), F.lit("max").alias("label"), F.col("max_value").alias("value"), F.lit(f"dist.{m0}.max").alias("ref")),
+        )).alias("p")).select(F.lit("distribution").alias("chart_id"), "p.ordinal", "p.label", "p.value", F.lit(m0).alias("series"),
+                              F.col("p.ref").alias("result_ref")))
     if not charts:
         charts.append(q_results.where(F.col("key").isin("quality.score", "quality.missing", "quality.duplicates"))
                       .select(F.lit("quality-overview").alias("chart_id"), F.lit(0).alias("ordinal"),
-                              F.col("key").alias("label"), "value", F.lit(None).cast("string").alias("series")))
+                              F.col("key").alias("label"), "value", F.lit(None).cast("string").alias("series"), F.col("key").alias("result_ref")))
     results = parts[0]
     for p in parts[1:]:
         results = results.unionByName(p)
@@ -167,19 +190,18 @@ def analyze(df: DataFrame, mapping: dict[str, str] | None = None, mode: str = "r
     for cid, r in rank.items():
         order_expr = F.when(F.col("chart_id") == cid, F.lit(r)).otherwise(order_expr)
     chart_df = chart_df.withColumn("chart_order", order_expr)
+    results = saved(results)   # some tens of rows, read by every check below
     kpi_df = spark.createDataFrame([(k.id, k.label, k.key, k.format, k.operation) for k in kpis],
                                    "id string, label string, result_ref string, format string, operation string")
-    prio = (F.when(F.col("key").startswith("rows."), 0).when(F.col("key").startswith("quality."), 1)
-            .when(F.col("key").startswith("category."), 2).when(F.col("key").startswith("trend."), 3)
-            .when(F.col("key").startswith("distribution."), 4).when(F.col("key").startswith("sum.") | F.col("key").startswith("metric."), 5)
-            .otherwise(6))
-    insights = I.complete_insights(results.withColumn("priority", prio))
+    kpi_order = spark.createDataFrame([(i, k.label, k.key) for i, k in enumerate(kpis)], "ordinal int, label string, result_ref string")
+    points = chart_df.withColumn("ordinal", (F.col("chart_order") * 1000 + F.col("ordinal")).cast("int"))
+    all_facts = I.scope_facts(results).unionByName(I.reading_facts(kpi_order, points, results))
+    for f in facts:
+        all_facts = all_facts.unionByName(f)
+    insights = saved(I.complete_insights(all_facts)).orderBy("ordinal")
     filters = None
     for d in dims[:V.MAX_FILTERS]:
-        first_seen = (work.where(col(d).isNotNull()).groupBy(col(d).cast("string").alias("value"))
-                      .agg(F.min("__source_row").alias("__first"))
-                      .orderBy("__first").limit(V.FILTER_VALUES)
-                      .select(F.lit(d).alias("column"), "value", "__first"))
+        first_seen = rollup.first_values(d)
         filters = first_seen if filters is None else filters.unionByName(first_seen)
     if filters is None:
         filters = spark.createDataFrame([], "column string, value string, __first long")
@@ -187,9 +209,10 @@ def analyze(df: DataFrame, mapping: dict[str, str] | None = None, mode: str = "r
                                            for f in work.schema.fields if not f.name.startswith("__")])
     integrity = missing_refs(insights.select("result_refs"), results).unionByName(
         missing_refs(kpi_df.select(F.col("result_ref").alias("ref")), results)).unionByName(
+        missing_refs(chart_df.select(F.col("result_ref").alias("ref")), results)).unionByName(
         unproven_numbers(insights, results).select(F.concat(F.lit("number:"), F.col("raw")).alias("ref")))
     summary = cleaned.summary().select(F.lit(-1).alias("ordinal"), F.col("summary").alias("note"))
     notes = summary.unionByName(Q.quality_notes(quality)).orderBy("ordinal")
     warnings = notes if qrow["score"] < V.DASHBOARD_WARNING_SCORE else notes.where(F.lit(False))
     return AnalysisResult(profile_frame(spark, prof), cleaned, quality, results, kpi_df, chart_df, insights,
-                          filters, table, integrity, N.currency_code(measures), plan, notes, warnings)
+                          filters, table, integrity, N.currency_code(measures), plan, notes, warnings, all_facts, rollup)

@@ -12,9 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofsheet.functions.expr import col
+from proofsheet.functions.expr import col, period_label
 from proofsheet.operators import metrics as M
 from proofsheet.operators import profile as P
+from proofsheet.operators import rollup as R
 from proofsheet.sources.tables import load_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -464,6 +465,69 @@ def q_trend_extremes(spark, sf):
     return I.trend_extremes(tr)
 
 
+@register("insight_facts", f"""
+with t as (select row_number() over (order by value_0 desc nulls last, category) - 1 as rank, category, value_0, value_1 from (
+    select cast(l_returnflag as varchar) as category, {dsum('l_extendedprice')} as value_0, {dsum('l_quantity')} as value_1
+    from lineitem where l_returnflag is not null group by 1 order by value_0 desc nulls last, category limit 8)),
+a as (select * from t where rank = 0), b as (select * from t where rank = 1), z as (select * from t where rank = (select max(rank) from t)),
+hi as (select * from t order by value_1 desc, rank limit 1), lo as (select * from t order by value_1, rank limit 1),
+m as {MONTHS_SQL},
+m0 as (select * from m where ordinal = 0), mz as (select * from m where ordinal = (select max(ordinal) from m)),
+mh as (select * from m order by value_0 desc, ordinal limit 1), ml as (select * from m order by value_0, ordinal limit 1),
+mean as (select {dsum('value_0')} / count(*) as v from m)
+select 'leads' as verb, category as subject, null as object, 'l_extendedprice' as measure, round(value_0, 2) as number, 'chart.category.0.0' as refs from a
+union all select 'follows', category, null, 'l_extendedprice', round(value_0, 2), 'chart.category.0.1' from b
+union all select 'lead margin', a.category, b.category, 'l_extendedprice', round(a.value_0 - b.value_0, 2),
+  'category.primary.lead_margin,chart.category.0.0,chart.category.0.1' from a, b
+union all select 'trails', category, null, 'l_extendedprice', round(value_0, 2), 'chart.category.0.' || cast(rank as varchar) from z where rank > 0
+union all select 'gap', a.category, z.category, 'l_extendedprice', round(a.value_0 - z.value_0, 2),
+  'category.primary.gap,chart.category.0.0,chart.category.0.' || cast(z.rank as varchar) from a, z where z.rank > 0
+union all select 'share', a.category, null, 'l_extendedprice', round(a.value_0 / (select {dsum('value_0')} from t) * 100, 2),
+  'category.primary.top_share,chart.category.0.0' from a
+union all select 'second highest', category, null, 'l_quantity', round(value_1, 2), 'chart.category.1.' || cast(rank as varchar) from hi
+union all select 'second lowest', category, null, 'l_quantity', round(value_1, 2), 'chart.category.1.' || cast(rank as varchar) from lo
+union all select 'peak', period, null, 'o_totalprice', round(value_0, 2), 'chart.trend.0.' || cast(ordinal as varchar) from mh
+union all select 'weakest', period, null, 'o_totalprice', round(value_0, 2), 'chart.trend.0.' || cast(ordinal as varchar) from ml
+union all select 'change', m0.period, mz.period, 'o_totalprice', round(mz.value_0 - m0.value_0, 2),
+  'trend.primary.change,chart.trend.0.0,chart.trend.0.' || cast(mz.ordinal as varchar) from m0, mz
+union all select 'average', null, null, 'o_totalprice', round(v, 2), 'trend.primary.average' from mean
+union all select 'change rate', m0.period, mz.period, 'o_totalprice', round((mz.value_0 - m0.value_0) / abs(m0.value_0) * 100, 2),
+  'trend.primary.change_rate,chart.trend.0.0,chart.trend.0.' || cast(mz.ordinal as varchar) from m0, mz where m0.value_0 <> 0
+union all select 'above average', null, null, 'o_totalprice', cast((select count(*) from m where value_0 > v) as double),
+  'trend.primary.periods_above_average,trend.primary.average' from mean
+union all select 'distance from peak', mz.period, mh.period, 'o_totalprice', round(mh.value_0 - mz.value_0, 2),
+  'trend.primary.distance_from_peak,chart.trend.0.' || cast(mh.ordinal as varchar) || ',chart.trend.0.' || cast(mz.ordinal as varchar) from mh, mz
+""")
+def q_insight_facts(spark, sf):
+    top = M.category_topk(T(spark, sf, "lineitem"), "l_returnflag", ["l_extendedprice", "l_quantity"])
+    tr = M.trend(T(spark, sf, "orders"), ["o_orderdate"], ["o_totalprice"], is_date=True)
+    facts = I.category_facts(top, ["l_extendedprice", "l_quantity"]).unionByName(I.trend_facts(tr, "o_totalprice"))
+    return facts.select("verb", "subject", "object", "measure", F.get("numbers", F.lit(0)).alias("number"), F.array_join("refs", ",").alias("refs"))
+
+
+@register("insight_texts", f"""
+with o as (select count(*) n, {dsum('o_totalprice')} s, {davg('o_totalprice')} a, min(o_totalprice) lo, max(o_totalprice) hi from orders),
+c as (select o_orderstatus k, {dsum('o_totalprice')} v from orders where o_orderstatus is not null group by 1),
+r as (select k, v, row_number() over (order by v desc, k) - 1 as i from c),
+f as (select {dsum('v')} t from r where i < 8)
+select 'Scope of the analysis' as title, 'The analysis covers ' || cast(n as varchar) || ' records.' as text, 'rows.total' as refs from o
+union all select 'Category leader', '«' || k || '» leads in «o_totalprice» with ' || regexp_replace(format('{{:.2f}}', round(v, 2)), '\\.00$', '') || '.',
+  'chart.category.0.0' from r where i = 0
+union all select 'Share of the first category', '«' || k || '» has ' || regexp_replace(format('{{:.2f}}', round(v / t * 100, 2)), '\\.00$', '')
+  || '% of «o_totalprice» among the categories shown.', 'category.primary.top_share,chart.category.0.0' from r, f where i = 0
+union all select 'Extent of values', '«o_totalprice» lies between ' || regexp_replace(format('{{:.2f}}', round(lo, 2)), '\\.00$', '') || ' and '
+  || regexp_replace(format('{{:.2f}}', round(hi, 2)), '\\.00$', '') || ', ' || regexp_replace(format('{{:.2f}}', round(a, 2)), '\\.00$', '') || ' on average.',
+  'dist.o_totalprice.min,dist.o_totalprice.avg,dist.o_totalprice.max' from o
+union all select 'Indicator: Total o_totalprice', '«Total o_totalprice» is ' || regexp_replace(format('{{:.2f}}', round(s, 2)), '\\.00$', '')
+  || ' within the data analysed.', 'sum.o_totalprice' from o
+""")
+def q_insight_texts(spark, sf):
+    from proofsheet.plans.analysis import analyze
+    res = analyze(T(spark, sf, "orders"), ORDERS_MAPPING, source_row="o_orderkey")
+    titles = ["Scope of the analysis", "Category leader", "Share of the first category", "Extent of values", "Indicator: Total o_totalprice"]
+    return res.insights.where(F.col("title").isin(titles)).select("title", "text", F.array_join("result_refs", ",").alias("refs"))
+
+
 @register("range_readings", f"""
 with r as (select min(l_extendedprice) mn, {davg('l_extendedprice')} av, max(l_extendedprice) mx from lineitem)
 select 'distribution.primary.spread' as key, round(mx - mn, 2) as value from r
@@ -719,6 +783,42 @@ def q_explore_line(spark, sf):
     return X.explore(T(spark, sf, "lineitem"), "l_linenumber", "l_quantity", "line")
 
 
+@register("rollup_charts", f"""
+with t as {MONTHS_SQL}
+select * from (select 'category' as chart, o_orderpriority as label, {dsum('o_totalprice')} as value from orders where o_orderpriority is not null
+  group by 2 order by value desc nulls last, label limit 8)
+union all select 'trend', period, value_0 from t
+union all select 'filter', o_orderstatus, cast(min(o_orderkey) as double) from orders where o_orderstatus is not null group by 2
+""")
+def q_rollup_charts(spark, sf):
+    o = T(spark, sf, "orders").withColumn("__source_row", F.col("o_orderkey"))
+    cube = R.roll_up(o, [["o_orderpriority"], ["__month"], ["o_orderstatus"]], ["o_totalprice"], {"__month": period_label(F.col("o_orderdate"))})
+    top, tr, values = cube.category_topk("o_orderpriority", ["o_totalprice"]), cube.trend(["__month"], ["o_totalprice"]), cube.first_values("o_orderstatus")
+    return top.select(F.lit("category").alias("chart"), F.col("category").alias("label"), F.col("value_0").alias("value")).unionByName(
+        tr.select(F.lit("trend").alias("chart"), F.col("period").alias("label"), F.col("value_0").alias("value"))).unionByName(
+        values.select(F.lit("filter").alias("chart"), F.col("value").alias("label"), F.col("__first").cast("double").alias("value")))
+
+
+@register("rollup_selection", f"""
+with s as (select * from lineitem where l_linestatus = 'F' and l_returnflag = 'R'),
+l as (select cast(l_linenumber as varchar) as label, {dsum('l_quantity')} as value from s where l_quantity is not null and l_linenumber is not null
+  group by 1 order by try_cast(label as double), label limit 24)
+select 'line' as answer, label, value from l
+union all select 'rows', null, cast(count(*) as double) from s
+union all select 'average', null, coalesce({davg('l_extendedprice')}, 0) from s
+union all select 'max', null, max(l_extendedprice) from s
+""")
+def q_rollup_selection(spark, sf):
+    cube = R.roll_up(T(spark, sf, "lineitem"), [["l_returnflag", "l_linestatus", "l_linenumber"], ["l_returnflag", "l_linestatus"]],
+                     ["l_quantity", "l_extendedprice"])
+    sel = {"l_returnflag": "R", "l_linestatus": "F"}
+    parts = [cube.explore("l_linenumber", "l_quantity", "line", sel).select(F.lit("line").alias("answer"), "label", "value"),
+             cube.kpi("count", None, sel).select(F.lit("rows").alias("answer"), F.lit(None).cast("string").alias("label"), "value"),
+             cube.kpi("average", "l_extendedprice", sel).select(F.lit("average").alias("answer"), F.lit(None).cast("string").alias("label"), "value"),
+             cube.selection_range("l_extendedprice", sel).select(F.lit("max").alias("answer"), F.lit(None).cast("string").alias("label"), F.col("max_value").alias("value"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 @register("selection_range", f"""
 select min(l_extendedprice) as min_value, {davg('l_extendedprice')} as avg_value, max(l_extendedprice) as max_value
 from lineitem where l_returnflag = 'R'
@@ -909,7 +1009,7 @@ def q_fallback_chart(spark, sf):
     from proofsheet.plans.analysis import analyze
     r = T(spark, sf, "region")
     res = analyze(r, {"r_regionkey": "identifier", "r_name": "dimension"}, source_row="r_regionkey")
-    return res.charts.drop("chart_order", "series")
+    return res.charts.drop("chart_order", "series", "result_ref")
 
 
 @register("kpi_fallback", f"""
