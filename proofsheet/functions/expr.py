@@ -109,23 +109,55 @@ def parse_numeric(c: Column, dt: T.DataType) -> Column:
     return F.lit(None).cast("double")
 
 
-# Date formats tried in order for text cells (ISO first).  Wider than a
-# single inferred format: each cell is parsed on its own.
+# Date formats tried in order, cell by cell, where a column has no format of
+# its own (ISO first).
 DATE_FORMATS = (
     "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd",
     "yyyy/MM/dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd-MM-yyyy", "yyyyMMdd", "yyyy-MM",
 )
 
 
-def parse_date(c: Column, dt: T.DataType) -> Column:
-    """P5: typed timestamp; text parsed by the declared format list."""
+# Formats a text column can have as a whole, with the shape of their texts: a
+# cell is parsed only by formats whose shape it has.  Of two readings of the
+# same text the month comes first.
+COLUMN_DATE_FORMATS = (
+    ("yyyy-M-d HH:mm:ss", r"^\d{4}-\d{1,2}-\d{1,2} \d{2}:\d{2}:\d{2}$"),
+    ("yyyy-M-d'T'HH:mm:ss", r"^\d{4}-\d{1,2}-\d{1,2}T\d{2}:\d{2}:\d{2}$"),
+    ("yyyy-M-d HH:mm", r"^\d{4}-\d{1,2}-\d{1,2} \d{2}:\d{2}$"),
+    ("yyyy-M-d", r"^\d{4}-\d{1,2}-\d{1,2}$"),
+    ("yyyy/M/d", r"^\d{4}/\d{1,2}/\d{1,2}$"),
+    ("M/d/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    ("d/M/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    ("M-d-yyyy", r"^\d{1,2}-\d{1,2}-\d{4}$"),
+    ("d-M-yyyy", r"^\d{1,2}-\d{1,2}-\d{4}$"),
+    ("yyyyMMdd", r"^\d{8}$"),
+    ("yyyy-MM", r"^\d{4}-\d{2}$"),
+)
+
+
+def date_text(c: Column) -> Column:
+    """A text cell as date formats read it: trimmed, Latin digits."""
+    return utrim(F.translate(c, V.ARABIC_DIGITS, V.ASCII_DIGITS))
+
+
+def parse_date_as(text: Column, fmt: str) -> Column:
+    """``date_text`` by one of COLUMN_DATE_FORMATS; null where it has another form."""
+    shape = dict(COLUMN_DATE_FORMATS)[fmt]
+    return F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(fmt))).cast("timestamp_ntz")
+
+
+def parse_date(c: Column, dt: T.DataType, fmt: str | None = None) -> Column:
+    """P5: typed timestamp; text by its column's format (``profile.date_formats``),
+    without one by the declared list, cell by cell."""
     if isinstance(dt, (T.TimestampNTZType,)):
         return c
     if is_temporal_type(dt):
         return c.cast("timestamp_ntz")
     if isinstance(dt, T.StringType):
-        t = utrim(F.translate(c, V.ARABIC_DIGITS, V.ASCII_DIGITS))
-        tries = [F.try_to_timestamp(t, F.lit(fmt)) for fmt in DATE_FORMATS]
+        t = date_text(c)
+        if fmt is not None:
+            return parse_date_as(t, fmt)
+        tries = [F.try_to_timestamp(t, F.lit(f)) for f in DATE_FORMATS]
         return F.coalesce(*tries).cast("timestamp_ntz")
     if isinstance(dt, (T.IntegerType, T.LongType)):
         s = c.cast("string")

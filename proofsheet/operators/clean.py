@@ -28,7 +28,7 @@ from proofsheet.functions.expr import (
 from proofsheet.operators.metrics import exact_sum
 from proofsheet.operators.fingerprints import groups
 from proofsheet.operators.positions import dense_position, exact_quantiles, join_small
-from proofsheet.operators.profile import ColumnProfile
+from proofsheet.operators.profile import ColumnProfile, date_formats
 from proofsheet.session import cut_lineage
 
 SRC = "__source_row"
@@ -143,9 +143,10 @@ def evaluate_row_formula(cell: Column, operands: list[Column], own_row: Column)
 
 
 def coerce_columns(df: DataFrame, profiles: list[ColumnProfile], original_order: list[str],
-                   src: str = SRC) -> DataFrame:
+                   src: str = SRC, formats: dict[str, str] | None = None) -> DataFrame:
     """Typed measures and dates + per-row counters
-    ``__nconv __ninv __dconv __dinv __formula``.
+    ``__nconv __ninv __dconv __dinv __formula``.  Text dates are read by the
+    format of their column in ``formats``, cells of another form are invalid.
 
     Text columns are parsed once into staging columns; row formulas of a
     measure read those (or the already-typed earlier measures), and every
@@ -195,7 +196,7 @@ def coerce_columns(df: DataFrame, profiles: list[ColumnProfile], original_order:
             counters["__ninv"].append(f"__ninv{k}")
             typed_measures.add(name)
         elif p.semantic_role == "date":
-            out = out.withColumn("__dx", parse_date(c, dt))
+            out = out.withColumn("__dx", parse_date(c, dt, (formats or {}).get(name)))
             if not isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):
                 out = out.withColumn(f"__dconv{k}", F.when(c.isNotNull() & F.col("__dx").isNotNull(), 1).otherwise(0))
                 counters["__dconv"].append(f"__dconv{k}")
@@ -429,7 +430,12 @@ def clean_dataset(df: DataFrame, profiles: list[ColumnProfile], mode: str = "rec
                           for i, c in enumerate(original)])
     # 4: formulas and coercion (summary rows are coerced too, never counted)
     carry = ["__nconv", "__ninv", "__dconv", "__dinv", "__formula"]
-    s3 = coerce_columns(s1, profiles, original, src)
+    text_dates = [p.name for p in profiles if p.semantic_role == "date" and p.name in original and isinstance(s1.schema[p.name].dataType, T.StringType)]
+    formats = {}
+    if text_dates:
+        found = date_formats(s1.where(~F.col("__summary")), text_dates, src).where(F.col("format").isNotNull())
+        formats = {r["column"]: r["format"] for r in found.select("column", "format").collect()}   # one row a column
+    s3 = coerce_columns(s1, profiles, original, src, formats)
     s3 = s3.select(*[F.when(F.col("__summary"), F.lit(0)).otherwise(F.col(c)).alias(c) if c in carry else col(c)
                      for c in s3.columns])
     # 5: duplicates (keep first).  ONE pass over the source: summary rows ride

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from proofsheet.functions import names as N
 from proofsheet.functions import vocab as V
-from proofsheet.functions.expr import col, is_numeric_type, is_temporal_type, parse_numeric
+from proofsheet.functions.expr import COLUMN_DATE_FORMATS, col, date_text, is_numeric_type, is_temporal_type, parse_date_as, parse_numeric
 
 
 @dataclass
@@ -224,3 +224,27 @@ def roles(profiles: list[ColumnProfile], role: str) -> list[str]:
 
 def as_dicts(profiles: list[ColumnProfile]) -> list[dict]:
     return [asdict(p) for p in profiles]
+
+
+def date_formats(df: DataFrame, columns: list[str], src: str = "__source_row") -> DataFrame:
+    """P5: one row per text column: ``column, first_value`` (its cell of the
+    smallest source row that is not null), ``format`` (the first of
+    COLUMN_DATE_FORMATS that reads this cell; null: none does, the column is
+    read cell by cell), ``texts`` (cells that are not null), ``fitting`` (cells
+    that the format reads) and ``scores`` (how many cells each format reads).
+    One aggregate over the columns; only its row is shaped further."""
+    aggs = []
+    for i, name in enumerate(columns):
+        t = date_text(col(name))
+        aggs += [F.min_by(t, F.when(t.isNotNull(), col(src))).alias(f"first{i}"), F.count(t).alias(f"texts{i}")]
+        aggs += [F.count(parse_date_as(t, fmt)).alias(f"score{i}_{j}") for j, (fmt, _) in enumerate(COLUMN_DATE_FORMATS)]
+    rows = []
+    for i, name in enumerate(columns):
+        first = F.col(f"first{i}")
+        # texts of the same digits can fit two formats: the earlier one is the column's
+        fmt = F.coalesce(*[F.when(parse_date_as(first, f).isNotNull(), F.lit(f)) for f, _ in COLUMN_DATE_FORMATS])
+        scores = F.create_map(*[x for j, (f, _) in enumerate(COLUMN_DATE_FORMATS) for x in (F.lit(f), F.col(f"score{i}_{j}"))])
+        rows.append(F.struct(F.lit(name).alias("column"), first.alias("first_value"), fmt.alias("format"), F.col(f"texts{i}").alias("texts"),
+                             scores.alias("scores")))
+    out = df.agg(*aggs).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    return out.select("column", "first_value", "format", "texts", F.when(F.col("format").isNotNull(), F.element_at("scores", F.col("format"))).alias("fitting"), "scores")

@@ -975,6 +975,65 @@ def q_quality_invalid(spark, sf):
                                              "duplicate_rows", "invalid_values")
 
 
+# A text view of the order dates: one column mostly ISO, one mostly day/month, with cells of the other form among them.
+MIXED_DATES_SQL = """(select o_orderkey as id,
+  case when o_orderkey % 11 = 0 then null when o_orderkey % 7 = 0 then strftime(o_orderdate, '%d/%m/%Y') else strftime(o_orderdate, '%Y-%m-%d') end as opened,
+  case when o_orderkey % 13 = 0 then null when o_orderkey % 7 = 3 then strftime(o_orderdate, '%Y-%m-%d') else strftime(o_orderdate, '%d/%m/%Y') end as closed
+  from orders)"""
+
+
+def _mixed_dates(spark, sf):
+    k = F.col("o_orderkey")
+    iso, day_first = F.date_format("o_orderdate", "yyyy-MM-dd"), F.date_format("o_orderdate", "dd/MM/yyyy")
+    return T(spark, sf, "orders").select(
+        k.alias("__source_row"), k.alias("id"),
+        F.when(k % 11 == 0, None).when(k % 7 == 0, day_first).otherwise(iso).alias("opened"),
+        F.when(k % 13 == 0, None).when(k % 7 == 3, iso).otherwise(day_first).alias("closed"))
+
+
+MIXED_PROFILES = [ColumnProfile("id", "number", "identifier"), ColumnProfile("opened", "date", "date"), ColumnProfile("closed", "date", "date")]
+
+#: A column's form from its first cell: ISO, else month first where that reads it, else day first.
+_FORM_SQL = """case when try_strptime(v, '%Y-%m-%d') is not null then 'yyyy-M-d' when try_strptime(v, '%m/%d/%Y') is not null then 'M/d/yyyy'
+  when try_strptime(v, '%d/%m/%Y') is not null then 'd/M/yyyy' end"""
+_READ_SQL = """case (select form from f where f."column" = '{c}') when 'yyyy-M-d' then try_strptime({c}, '%Y-%m-%d')
+  when 'M/d/yyyy' then try_strptime({c}, '%m/%d/%Y') when 'd/M/yyyy' then try_strptime({c}, '%d/%m/%Y') end"""
+_FORMS_SQL = f"""d as {MIXED_DATES_SQL},
+x as (select 'opened' as "column", (select arg_min(opened, id) from d where opened is not null) as v
+  union all select 'closed', (select arg_min(closed, id) from d where closed is not null)),
+f as (select "column", v, {_FORM_SQL} as form from x)"""
+
+
+@register("date_format_per_column", f"""
+with {_FORMS_SQL}
+select 'opened' as "column", (select v from f where "column" = 'opened') as first_value, (select form from f where "column" = 'opened') as format,
+  count(opened) as texts, count({_READ_SQL.format(c='opened')}) as fitting from d
+union all select 'closed', (select v from f where "column" = 'closed'), (select form from f where "column" = 'closed'),
+  count(closed), count({_READ_SQL.format(c='closed')}) from d
+""")
+def q_date_formats(spark, sf):
+    return P.date_formats(_mixed_dates(spark, sf), ["opened", "closed"]).drop("scores")
+
+
+@register("dates_by_column_format", f"""
+with {_FORMS_SQL}
+select id, strftime({_READ_SQL.format(c='opened')}, '%Y-%m-%d') as opened, strftime({_READ_SQL.format(c='closed')}, '%Y-%m-%d') as closed from d
+""")
+def q_dates_by_format(spark, sf):
+    work = C.clean_dataset(_mixed_dates(spark, sf), MIXED_PROFILES).cleaned
+    return work.select("id", *[F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("opened", "closed")])
+
+
+@register("date_coercion_counts", f"""
+with {_FORMS_SQL},
+r as (select opened, closed, {_READ_SQL.format(c='opened')} as po, {_READ_SQL.format(c='closed')} as pc from d)
+select count(po) + count(pc) as date_conversions,
+  count_if(opened is not null and po is null) + count_if(closed is not null and pc is null) as invalid_date_cells from r
+""")
+def q_date_counts(spark, sf):
+    return C.clean_dataset(_mixed_dates(spark, sf), MIXED_PROFILES).counters.select("date_conversions", "invalid_date_cells")
+
+
 @register("quality_notes", """
 select 0 as ordinal, cast(count(*) as varchar) || ' missing cells found.' as note from orders where o_orderkey % 17 = 0 or o_orderkey % 23 = 0
 """)
