@@ -77,20 +77,30 @@ class AnalysisResult:
     rollup: RollUp | None = None        # charts, filters and selections without the rows
 
 
+def with_source_row(df: DataFrame, source_row: str | None = None) -> DataFrame:
+    """``df`` with ``__source_row``: a unique column of its own, else the row's
+    number (W1) in its file or table."""
+    if source_row:
+        return df.withColumn("__source_row", col(source_row).cast("long"))
+    if "__source_row" in df.columns:
+        return df
+    return with_file_row_index(df) if "__source_file" in df.columns else with_row_index(df, "__source_row", 2)
+
+
 def _point_ref(prefix: str, index: str):
     return F.concat(F.lit(prefix), F.col(index).cast("string")).alias("result_ref")
 
 
-def analyze(df: DataFrame, mapping: dict[str, str] | None = None, mode: str = "recommended",
+def analyze(df: DataFrame | None, mapping: dict[str, str] | None = None, mode: str = "recommended",
             overrides: DataFrame | None = None, deleted_rows=None, plan: AnalysisPlan | None = None,
-            source_row: str | None = None, quantiles: str = "exact") -> AnalysisResult:
-    """R2: profile → clean → quality → plan → metrics → insights → checks."""
-    if source_row:
-        df = df.withColumn("__source_row", col(source_row).cast("long"))
-    elif "__source_row" not in df.columns:
-        df = (with_file_row_index(df) if "__source_file" in df.columns else with_row_index(df, "__source_row", 2))
-    profiles = infer_columns(df, mapping)
-    cleaned = clean_dataset(df, profiles, mode, overrides, deleted_rows, quantiles=quantiles)
+            source_row: str | None = None, quantiles: str = "exact", cleaned: CleanResult | None = None) -> AnalysisResult:
+    """R2: profile → clean → quality → plan → metrics → insights → checks.
+    With ``cleaned`` (``store.cleaned_copy``) nothing is cleaned; ``df``,
+    ``overrides``, ``deleted_rows``, ``mode`` and ``source_row`` are not read."""
+    if cleaned is None:
+        df = with_source_row(df, source_row)
+        profiles = infer_columns(df, mapping)
+        cleaned = clean_dataset(df, profiles, mode, overrides, deleted_rows, quantiles=quantiles)
     work = cleaned.cleaned
     # roles are re-inferred on the typed working copy (a text date column is
     # now a timestamp, parsed money is now a number); mapped roles persist
@@ -107,7 +117,7 @@ def analyze(df: DataFrame, mapping: dict[str, str] | None = None, mode: str = "r
     quality = Q.quality_report(work, prof, quantiles, base=glob)
 
     qrow = quality.collect()[0]
-    spark = df.sparkSession
+    spark = work.sparkSession
     q_results = spark.createDataFrame([
         ("quality.score", float(qrow["score"]), "quality_profile", [], "quality_report"),
         ("quality.missing", float(qrow["missing_cells"]), "missing_count", [], "quality_report"),
@@ -117,7 +127,7 @@ def analyze(df: DataFrame, mapping: dict[str, str] | None = None, mode: str = "r
         ("quality.completeness", round((1 - float(qrow["missing_rate"])) * 100, 2), "completeness_rate", [],
          "(1 - missing_rate) * 100"),
     ], M.RESULTS_SCHEMA)
-    spark_ = df.sparkSession
+    spark_ = work.sparkSession
     kpi_rows = M.registry_rows(M.one_row(spark_, glob, [e[0] for e in k_entries]), k_entries)
     parts = [kpi_rows, q_results]
     charts, facts = [], []

@@ -1135,6 +1135,51 @@ def q_preview_rows(spark, sf):
     return o.select("o_orderkey", day_label(F.col("o_orderdate")).alias("o_orderdate"), "o_totalprice")
 
 
+@register("preview_repaired", f"""
+with d as {DIRTY_ORDERS_SQL}, m as (select {dsum('o_totalprice')} / count(o_totalprice) as mean from d)
+select o_orderkey, round(coalesce(o_totalprice, (select mean from m)), 6) as o_totalprice, coalesce(o_orderpriority, 'غير محدد') as o_orderpriority,
+  concat_ws(',', case when o_orderpriority is null then 'o_orderpriority' end, case when o_totalprice is null then 'o_totalprice' end) as repaired
+from d
+""")
+def q_preview_repaired(spark, sf):
+    from proofsheet.operators.profile import infer_columns
+    from proofsheet.plans.store import preview
+    df = _dirty_orders(spark, sf)
+    shown = preview(C.clean_dataset(df, infer_columns(df, ORDERS_MAPPING)), ORDERS_MAPPING).rows
+    return shown.select("o_orderkey", F.round("o_totalprice", 6).alias("o_totalprice"), "o_orderpriority", F.array_join("repaired_columns", ",").alias("repaired"))
+
+
+@register("preview_profile", f"""
+with d as {DIRTY_ORDERS_SQL}, m as (select {dsum('o_totalprice')} / count(o_totalprice) as mean from d)
+select 'o_totalprice' as name, 'measure' as semantic_role, 0 as null_count,
+  (select count(distinct coalesce(o_totalprice, (select mean from m))) from d) as unique_count
+union all select 'o_orderpriority', 'dimension', 0, (select count(distinct coalesce(o_orderpriority, 'غير محدد')) from d)
+""")
+def q_preview_profile(spark, sf):
+    from proofsheet.operators.profile import infer_columns
+    from proofsheet.plans.store import preview
+    df = _dirty_orders(spark, sf)
+    profile = preview(C.clean_dataset(df, infer_columns(df, ORDERS_MAPPING)), ORDERS_MAPPING).profile
+    return profile.where(F.col("name").isin("o_totalprice", "o_orderpriority")).select("name", "semantic_role", "null_count", "unique_count")
+
+
+@register("cleaned_copy_reused", f"""
+select run, run = 2 as reused, (select count(*) from orders) as output_rows, (select {dsum('o_totalprice')} from orders) as total
+from (values (1), (2)) v(run)
+""")
+def q_cleaned_copy(spark, sf):
+    import uuid
+    from proofsheet.plans.store import cleaned_copy
+    from proofsheet.session import checkpoint_dir
+    store = f"{checkpoint_dir(spark)}/store-{uuid.uuid4().hex}"
+    parts = []
+    for run in (1, 2):
+        res, reused = cleaned_copy(spark, store, f"{sf}/orders.parquet", ORDERS_MAPPING, source_row="o_orderkey")
+        parts.append(res.cleaned.agg(F.lit(run).alias("run"), F.lit(reused).alias("reused"), F.count(F.lit(1)).alias("output_rows"),
+                                     M.aggregate("sum", F.col("o_totalprice")).alias("total")))
+    return parts[0].unionByName(parts[1])
+
+
 @register("audit_summary", f"""
 with d as {DIRTY_ORDERS_SQL}
 select 'The working copy was cleaned: found ' || cast(count_if(o_totalprice is null) + count_if(o_orderpriority is null) as varchar)
