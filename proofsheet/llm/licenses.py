@@ -4,7 +4,7 @@ A few hundred signatures run over the words of a text (lower case, single
 spaces).  A keyword gate decides which rules look at a text at all; a rule's
 regular expression then marks its places.  Detections are word intervals with
 a priority; one that lies inside another of the same or a higher priority is
-suppressed, by one sweep over the intervals in order.
+suppressed, by sweeps over blocks of the intervals in order.
 
 Native: one pass of Column functions, no shuffle; rows stay where they are.
 
@@ -16,6 +16,7 @@ empty result; input columns named like outputs are replaced.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -153,6 +154,8 @@ def _families() -> list[Rule]:
 
 RULES = [Rule(*x) for x in SINGLE] + _families()
 LEVELS = sorted({r.priority for r in RULES})
+#: Words of one block of the suppression, at least.
+BLOCK_WORDS = 64
 
 
 def gate_words(rules: list[Rule]) -> list[str]:
@@ -172,6 +175,11 @@ def gate_pattern(words: list[str]) -> str:
     return "(?= (" + "|".join(f"{letter}(?:{'|'.join(rest)})" for letter, rest in sorted(by_letter.items())) + "))"
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def detections(padded: Column, rules: list[Rule]) -> Column:
     """Places of all rules whose gate word the text has: array of
     (first, last, priority, label, confidence), words from 0."""
@@ -202,8 +210,11 @@ def suppress(found: Column) -> Column:
     """Detections that lie in no other of at least their priority.
 
     In the order of start, then longest, then highest priority, whatever holds
-    an interval comes before it; the sweep carries the furthest end so far of
-    each priority level and above."""
+    an interval comes before it.  The order is cut into blocks by first word, as
+    wide as the longest detection at least, so that a holder lies in the same
+    block or in the one before: each block is swept with the one before ahead
+    of it, and the work grows with the number of blocks.  The sweep carries the
+    furthest end so far of each priority level and above."""
     ordered = F.transform(
         F.sort_array(F.transform(found, lambda d: F.struct(
             d["first"].alias("first"), (-d["last"]).alias("neg_last"), (-d["priority"]).alias("neg_priority"),
@@ -217,14 +228,28 @@ def suppress(found: Column) -> Column:
             out = F.when(d["priority"] == level, s[f"e{level}"]).otherwise(out)
         return out
 
-    def step(s, d):
-        ends = [F.when(d["priority"] >= level, F.greatest(s[f"e{level}"], d["last"])).otherwise(s[f"e{level}"]).alias(f"e{level}") for level in LEVELS]
-        kept = F.when(end(s, d) >= d["last"], s["kept"]).otherwise(F.concat(s["kept"], F.array(d)))
-        return F.struct(*ends, kept.alias("kept"))
+    def sweep(part: Column, own_from: Column) -> Column:
+        def step(s, d):
+            ends = [F.when(d["priority"] >= level, F.greatest(s[f"e{level}"], d["last"])).otherwise(s[f"e{level}"]).alias(f"e{level}") for level in LEVELS]
+            kept = F.when((d["first"] < own_from) | (end(s, d) >= d["last"]), s["kept"]).otherwise(F.concat(s["kept"], F.array(d)))
+            return F.struct(*ends, kept.alias("kept"))
+
+        start = F.struct(*[F.lit(-1).alias(f"e{level}") for level in LEVELS], F.slice(part, 1, 0).alias("kept"))
+        return F.aggregate(part, start, step)["kept"]
+
+    def in_blocks(o: Column) -> Column:
+        width = F.greatest(F.lit(BLOCK_WORDS), F.array_max(F.transform(o, lambda d: d["last"] - d["first"] + 1)))
+
+        def swept(o: Column, width: Column) -> Column:
+            block = lambda i: F.floor(F.get(o, i)["first"] / width)
+            begins = F.filter(F.transform(o, lambda d, i: i), lambda i: (i == 0) | (block(i) != block(i - 1)))
+            return F.flatten(bound(begins, lambda at: F.transform(at, lambda begin, k: sweep(
+                F.slice(o, F.coalesce(F.get(at, k - 1), F.lit(0)) + 1, F.coalesce(F.get(at, k + 1), F.size(o)) - F.coalesce(F.get(at, k - 1), F.lit(0))),
+                F.get(o, begin)["first"]))))
+
+        return bound(width, lambda w: swept(o, w))
 
-    none = F.filter(ordered, lambda d: F.lit(False))
-    start = F.struct(*[F.lit(-1).alias(f"e{level}") for level in LEVELS], none.alias("kept"))
-    return F.aggregate(ordered, start, step)["kept"]
+    return bound(ordered, in_blocks)
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None) -> DataFrame:

@@ -169,6 +169,18 @@ def test_license_scan_against_brute_force(spark):
     assert licenses.scan_licenses(docs(spark, [])).count() == 0
 
 
+def test_license_scan_of_long_texts_in_blocks(spark, monkeypatch):
+    lines = ["gnu general public license version 3 or at your option any later version", "cc by nc sa 4 0", "all rights reserved", "the mit license",
+             "no part of this may be reproduced without prior written permission", "provided as is", "x y z"]
+    rows = [(i, " ".join(lines[(i * j + j // 7) % 7] for j in range(250))) for i in range(1, 5)]
+    for width in (1, licenses.BLOCK_WORDS):  # 1: blocks as narrow as the longest detection allows
+        monkeypatch.setattr(licenses, "BLOCK_WORDS", width)
+        for r in licenses.scan_licenses(docs(spark, rows)).collect():
+            assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"], r["labels"], r["score"]) == brute_license(r["text"])
+            assert [d["first"] for d in r["detections"]] == sorted(d["first"] for d in r["detections"])
+            assert len(r["detections"]) > 100
+
+
 # ---------------------------------------------------------------- op8
 def fill(budget, children):
     """children: {name: (weight, cap)}; repeated rounds: give by weight, fill up, share the rest again."""
