@@ -8,9 +8,11 @@ leaves without a weight of zero on their path).
 Each leaf then takes whole seeded epochs of its documents, and of the last
 epoch the longest prefix, in the seeded order, that fits the remaining tokens.
 
-Only DataFrame functions.  Documents themselves are never shuffled: the order
-within a leaf is decided on (hash, tokens) digests summed in hash buckets, and
-each leaf's answer is one cut-off hash, joined back on the leaf.
+Only DataFrame functions.  Documents themselves are not moved for their order: it
+is decided within a leaf on (hash, tokens) digests summed in hash buckets, and
+each leaf's answer is one cut-off hash, joined back on the leaf.  Leaves are
+broadcast while their table is small in rows and bytes; more of them than that
+are met by a shuffle of the documents, each leaf dealt to several tasks.
 
 Defined results: null levels are a node of their own named ``(null)``; null or
 empty texts have no tokens and belong to every epoch taken up to their place
@@ -30,6 +32,9 @@ from proofsheet.session import saved
 
 #: Documents that one bucket of a leaf's order holds on average.
 BUCKET_ROWS = 2000
+#: Rows and bytes of names up to which a table of leaves is broadcast; beyond either it meets the documents by a
+#: shuffle in which each leaf is dealt to SALTS tasks.
+BROADCAST_LEAVES, BROADCAST_NAMES, SALTS = 200_000, 32 << 20, 64
 
 
 def weight_of(column: Column, weights: dict[str, float], default: float) -> Column:
@@ -68,8 +73,8 @@ def budgets(leaves: DataFrame, levels: list[str], weights: list[tuple[dict[str,
     for level, (named, default) in zip(levels, weights):
         placed = placed & (weight_of(F.col(level), named, default) > 0)
     node = leaves.withColumn("__cap0", F.when(placed, (F.col("available") * max_epochs).cast("double")).otherwise(0.0))
-    root = W.partitionBy(F.lit(0))
-    node = node.withColumn("__b0", F.floor(F.sum("available").over(root) * F.lit(float(budget_share))).cast("double"))
+    total = leaves.agg(F.sum("available")).first()[0] or 0  # one number
+    node = node.withColumn("__b0", F.floor(F.lit(total).cast("long") * F.lit(float(budget_share))).cast("double"))
     for i, level in enumerate(levels):
         path = levels[:i + 1]
         nodes = (node.groupBy(*path).agg(F.sum("__cap0").alias("__c"), F.max(f"__b{i}").alias(f"__b{i}"))
@@ -80,6 +85,15 @@ def budgets(leaves: DataFrame, levels: list[str], weights: list[tuple[dict[str,
     return node.select(*levels, "available", "n_docs", F.floor(F.col(f"__b{len(levels)}") + 1e-6).cast("long").alias("target"))
 
 
+def join_leaves(rows: DataFrame, leaves: DataFrame, names: list[str]) -> DataFrame:
+    """``rows`` with the columns of their leaf; a leaf of any share of the rows stays spread."""
+    n, size = leaves.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.concat(*names)).cast("long")), F.lit(0))).first()
+    if n <= BROADCAST_LEAVES and size <= BROADCAST_NAMES:
+        return rows.join(F.broadcast(leaves), names)
+    dealt = leaves.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(dealt, [*names, "__salt"]).drop("__salt")
+
+
 def mix(docs: DataFrame, levels: dict[str, Column], weights: list[tuple[dict[str, float], float]], budget_share: float,
         max_epochs: int = 1, seed: int = 17, key: str = "doc_id", text: str = "text",
         tokens: str = "n_tokens", epoch: str = "epoch") -> DataFrame:
@@ -93,7 +107,7 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: list[tuple[dict[str
     rows = docs.withColumns({i: F.coalesce(c.cast("string"), F.lit("(null)")) for i, c in zip(inner, levels.values())}
                             | {"__tokens": n_tokens(F.col(text)), "__id": F.coalesce(F.col(key).cast("string"), F.lit(""))})
     light = saved(rows.select(*inner, "__id", "__tokens"))  # ids and counts only: the texts are read again, not moved
-    leaves = light.groupBy(*inner).agg(F.sum("__tokens").alias("available"), F.count("*").alias("n_docs"))
+    leaves = saved(light.groupBy(*inner).agg(F.sum("__tokens").alias("available"), F.count("*").alias("n_docs")))
     leaves = budgets(leaves, inner, weights, budget_share, max_epochs)
     can = F.col("available") > 0
     leaves = saved(
@@ -106,7 +120,7 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: list[tuple[dict[str
         return F.md5(F.concat(F.lit(f"{seed}:"), full.cast("string"), F.lit(":"), F.col("__id")).cast("binary"))
 
     # the longest prefix of each leaf, first by buckets of the order, then within the bucket where it ends
-    ordered = (light.join(leaves.where("__rest > 0").select(*inner, "__full", "__rest", "__digits"), inner)
+    ordered = (join_leaves(light, leaves.where("__rest > 0").select(*inner, "__full", "__rest", "__digits"), inner)
                .withColumn("__h", order(F.col("__full")))
                .withColumn("__bucket", F.expr("substring(__h, 1, __digits)")))
     by_bucket = W.partitionBy(*inner).orderBy("__bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -125,7 +139,7 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: list[tuple[dict[str
     plan = saved(leaves.join(cuts, inner, "left").select(*inner, "__full", "__cut"))
 
     taken = F.when(F.coalesce(order(F.col("__full")) <= F.col("__cut"), F.lit(False)), F.col("__full") + 1).otherwise(F.col("__full"))
-    out = (rows.join(plan, inner).withColumn("__times", taken).where("__times > 0")
+    out = (join_leaves(rows, plan, inner).withColumn("__times", taken).where("__times > 0")
            .withColumn(epoch, F.explode(F.sequence(F.lit(0), F.col("__times") - 1))))
     return (out.withColumns({n: F.col(i) for n, i in zip(names, inner)} | {tokens: F.col("__tokens")})
             .drop(*inner, "__tokens", "__id", "__full", "__cut", "__times"))

@@ -244,6 +244,16 @@ def test_mixing_fills_siblings_before_ancestors(spark):
     assert mixing.mix(df.limit(0), mix_levels(), MIX_WEIGHTS, 0.5).count() == 0
 
 
+def test_mixing_with_more_leaves_than_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BROADCAST_LEAVES", 0)
+    rows = [(i, "w " * (i % 13), "en", "src0" if i % 3 else f"src{i}") for i in range(400)] + [(5, "a b c", "en", "src0")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = mixing.mix(df, mix_levels(), MIX_WEIGHTS, budget_share=0.6, max_epochs=2, seed=3)
+    assert sorted((r["doc_id"], r["epoch"]) for r in out.collect()) == sorted(brute_mix(rows, 0.6, 2, 3))
+    assert "__salt" not in out.columns
+    assert "Broadcast" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_mixing_gives_on_what_zero_weights_cannot_place(spark):
     leaves = spark.createDataFrame([("A", "x", 10, 1), ("A", "y", 100, 1), ("B", "x", 100, 1)], "a string, b string, available long, n_docs long")
     weights = [({}, 1.0), ({"y": 0.0}, 1.0)]
