@@ -1388,3 +1388,92 @@ select row_number() over (order by value desc, label) - 1 as ordinal, label, val
 """)
 def q_question_compare_two_with_year(spark, sf):
     return ask(spark, sf, "Compare the revenue of Brand#1 and Brand#2 in year 1996")[2]
+
+
+# =============================================================== answers
+from proofsheet.plans import answers as AN  # noqa: E402
+
+#: Sales of which one brand has no row in 2000 and another no revenue in its first year.
+ANSWER_SALES_SQL = f"""(select brand, year, quarter, case when brand = 'Brand#8' and year = 1995 then 0 else revenue end as revenue, quantity
+  from {SALES_SQL} x where not (brand = 'Brand#9' and year = 2000))"""
+
+
+def shown_sql(v: str) -> str:
+    return f"""(case when abs({v}) >= 1e9 then format('{{:,.2f}}', {v} / 1e9) || ' billion'
+      when abs({v}) >= 1e6 then format('{{:,.2f}}', {v} / 1e6) || ' million' else format('{{:,.2f}}', {v}) end || ' USD')"""
+
+
+def answer_sales(spark, sf, question):
+    df = brand_sales(spark, sf).where(~((F.col("brand") == "Brand#9") & (F.col("year") == 2000)))
+    df = df.withColumn("revenue", F.when((F.col("brand") == "Brand#8") & (F.col("year") == 1995), F.lit(0.0)).otherwise(F.col("revenue")))
+    return AN.answer(question, QP.build_catalog(df, SALES_PROFILES), "USD").withColumn("sources", F.array_join("sources", ","))
+
+
+def refused_sql(question: str, why: str) -> str:
+    return f"select '{question}' as question, cast(null as varchar) as answer, cast(null as varchar) as sources, '{why}' as error"
+
+
+def register_answer(name: str, question: str, sql: str) -> None:
+    register(name, sql)(lambda spark, sf: answer_sales(spark, sf, question))
+
+
+register_answer("answer_two_digit_brand", "What is the total revenue of Brand#12 in 1996?", f"""
+select 'What is the total revenue of Brand#12 in 1996?' as question, 'sum of revenue (year=1996; brand=Brand#12): ' || {shown_sql("v")} as answer,
+  'revenue,year,brand' as sources, cast(null as varchar) as error
+from (select {dsum("revenue")} as v from {ANSWER_SALES_SQL} s where brand = 'Brand#12' and year = 1996)
+""")
+register_answer("answer_ranking", "Top 3 brands by revenue 2000", f"""
+select 'Top 3 brands by revenue 2000' as question, 'ranking of revenue by brand (year=2000): ' ||
+  string_agg(n || '. ' || brand || ': ' || {shown_sql("v")}, '; ' order by n) as answer, 'revenue,brand,year' as sources, cast(null as varchar) as error
+from (select brand, {dsum("revenue")} as v, row_number() over (order by {dsum("revenue")} desc, brand) as n from {ANSWER_SALES_SQL} s
+  where year = 2000 group by brand) where n <= 3
+""")
+register_answer("answer_comparison", "Compare revenue of Brand#5 and Brand#16", f"""
+with c as (select brand, {dsum("revenue")} as v, row_number() over (order by {dsum("revenue")} desc, brand) as n from {ANSWER_SALES_SQL} s
+  where brand in ('Brand#5', 'Brand#16') group by brand),
+g as (select max(case when n = 1 then v end) - max(case when n = 2 then v end) as gap, max(case when n = 1 then brand end) as leader from c)
+select 'Compare revenue of Brand#5 and Brand#16' as question, (select 'comparison of revenue by brand (' ||
+  'brand=' || string_agg(brand, ', ' order by first_row) || '): ' from (select brand, min(src) as first_row from {SALES_SQL} s
+  where brand in ('Brand#5', 'Brand#16') group by brand)) || (select string_agg(n || '. ' || brand || ': ' || {shown_sql("v")}, '; ' order by n) from c)
+  || '; ' || leader || ' leads by ' || {shown_sql("gap")} as answer, 'revenue,brand' as sources, cast(null as varchar) as error from g
+""")
+register_answer("answer_growth", "Revenue growth of Brand#7 by year", f"""
+with g as (select year, {dsum("revenue")} as v from {ANSWER_SALES_SQL} s where brand = 'Brand#7' group by year),
+e as (select min(year) as a, max(year) as b, min_by(v, year) as va, max_by(v, year) as vb from g)
+select 'Revenue growth of Brand#7 by year' as question, 'revenue changed from ' || {shown_sql("va")} || ' (' || a || ') to ' || {shown_sql("vb")} ||
+  ' (' || b || '): ' || format('{{:,.2f}}', (vb - va) / abs(va) * 100) || '% (brand=Brand#7)' as answer, 'revenue,year,brand' as sources, cast(null as varchar) as error from e
+""")
+for _name, _question, _why in (
+        ("answer_no_rows", "What is the total revenue of Brand#9 in 2000?", "no rows match the question"),
+        ("answer_one_period", "Revenue growth of Brand#7 in 1996", "a growth needs two groups or more"),
+        ("answer_zero_base", "Revenue growth of Brand#8 by year", "a growth rate needs a first period that is not zero"),
+        ("answer_unknown_year", "What is the total revenue of Brand#12 in 2030?", "year 2030 is not in the data")):
+    register_answer(_name, _question, refused_sql(_question, _why))
+
+
+@register("answer_data_quality", f"""
+with d as {DIRTY_ORDERS_SQL}, n as (select count(*) filter (o_totalprice is null) as t, count(*) filter (o_orderpriority is null) as p from d)
+select 'Which values were missing and how was cleaning done?' as question, (t + p) || ' missing cells were found: o_orderpriority (' || p ||
+  '), o_totalprice (' || t || '). o_orderpriority: ' || p || ' by label. o_totalprice: ' || t || ' by mean. None remains untreated.' as answer,
+  'missing-value audit,imputation policy,cleaned working copy' as sources, cast(null as varchar) as error from n
+""")
+def q_answer_quality(spark, sf):
+    from proofsheet.operators.profile import infer_columns
+    df = _dirty_orders(spark, sf)
+    res = C.clean_dataset(df, infer_columns(df, ORDERS_MAPPING))
+    catalog = QP.Catalog(res.cleaned, res.actions, res.profiles)  # a quality question looks nothing up
+    out = AN.answer("Which values were missing and how was cleaning done?", catalog, clean=res)
+    return out.withColumn("sources", F.array_join("sources", ","))
+
+
+@register("quality_rows", f"""
+with d as {DIRTY_ORDERS_SQL}, x as (select 'o_totalprice' as "column", 'mean' as strategy, o_orderkey as r from d where o_totalprice is null
+  union all select 'o_orderpriority', 'label', o_orderkey from d where o_orderpriority is null)
+select "column", strategy, min(r) as first_row, count(*) as cells, string_agg(cast(r as varchar), ',' order by r) as rows
+from x group by "column", strategy, r // 1000
+""")
+def q_quality_rows(spark, sf):
+    from proofsheet.operators.profile import infer_columns
+    df = _dirty_orders(spark, sf)
+    res = C.clean_dataset(df, infer_columns(df, ORDERS_MAPPING))
+    return AN.quality_rows(res.actions).withColumn("rows", F.array_join(F.transform("rows", lambda r: r.cast("string")), ","))
