@@ -1477,3 +1477,87 @@ def q_quality_rows(spark, sf):
     df = _dirty_orders(spark, sf)
     res = C.clean_dataset(df, infer_columns(df, ORDERS_MAPPING))
     return AN.quality_rows(res.actions).withColumn("rows", F.array_join(F.transform("rows", lambda r: r.cast("string")), ","))
+
+
+# =============================================================== registry values and planted faults
+def analysed_orders(spark, sf):
+    from proofsheet.plans.analysis import analyze
+    return analyze(T(spark, sf, "orders"), ORDERS_MAPPING, source_row="o_orderkey")
+
+
+STATUS_SQL = f"""(select o_orderstatus as label, {dsum("o_totalprice")} as v,
+  row_number() over (order by {dsum("o_totalprice")} desc, o_orderstatus) - 1 as n from orders group by o_orderstatus)"""
+
+
+@register("registry_values", f"""
+with t as (select strftime(o_orderdate, '%Y-%m') as p, {dsum("o_totalprice")} as v from orders group by 1 order by 1 limit 24),
+tn as (select p, v, row_number() over (order by p) - 1 as n from t),
+tr as (select min_by(v, n) as a, max_by(v, n) as b, avg(v) as m, max(v) as peak from tn),
+c as (select * from {STATUS_SQL}),
+cs as (select max(case when n = 0 then v end) as lead, max(case when n = 1 then v end) as second, min(v) as low, sum(v) as total from c),
+k as (select count(*) as rows, {dsum("o_totalprice")} as s, {davg("o_totalprice")} as a, max(o_totalprice) as hi, min(o_totalprice) as lo from orders),
+r as (
+select 'chart.trend.0.' || n as key, v as value, 'period_sum' as operation from tn
+union all select 'chart.category.0.' || n, v, 'group_sum' from c
+union all select 'trend.primary.change', b - a, 'period_change' from tr
+union all select 'trend.primary.average', m, 'period_average' from tr
+union all select 'trend.primary.change_rate', (b - a) / abs(a) * 100, 'period_change_rate' from tr
+union all select 'trend.primary.periods_above_average', (select count(*) from tn where v > m), 'periods_above_average' from tr
+union all select 'trend.primary.distance_from_peak', peak - b, 'last_period_distance_from_peak' from tr
+union all select 'category.primary.lead_margin', lead - second, 'leader_runner_up_gap' from cs
+union all select 'category.primary.gap', lead - low, 'top_bottom_gap' from cs
+union all select 'category.primary.top_share', lead / total * 100, 'top_category_share' from cs
+union all select 'distribution.primary.spread', hi - lo, 'range_spread' from k
+union all select 'distribution.primary.relative_spread', (hi - lo) / abs(a) * 100, 'relative_range_spread' from k
+union all select 'rows.total', rows, 'count' from k
+union all select 'sum.o_totalprice', s, 'sum' from k
+union all select 'metric.average.o_totalprice', a, 'average' from k union all select 'dist.o_totalprice.avg', a, 'average' from k
+union all select 'metric.max.o_totalprice', hi, 'max' from k union all select 'dist.o_totalprice.max', hi, 'max' from k
+union all select 'metric.min.o_totalprice', lo, 'min' from k union all select 'dist.o_totalprice.min', lo, 'min' from k)
+select key, round(value, 2) as value, operation from r
+""")
+def q_registry_values(spark, sf):
+    """The values that the end-to-end job registers (those of the quality report have queries of their own)."""
+    return analysed_orders(spark, sf).results.where(~F.col("key").startswith("quality.")).select("key", "value", "operation")
+
+
+@register("integrity_faults", """
+select 'chart' as place, 'chart.trend.0.3' as ref union all select 'kpi', 'sum.o_totalprice'
+""")
+def q_integrity_faults(spark, sf):
+    """Charts and KPIs against a registry that lost one row of each and kept one that nothing refers to."""
+    res = analysed_orders(spark, sf)
+    kept = res.results.where(~F.col("key").isin("chart.trend.0.3", "sum.o_totalprice")).select("key").unionByName(
+        spark.createDataFrame([("nothing refers to this",)], "key string"))
+    lost = [VF.missing_refs(frame.select(F.col("result_ref").alias("ref")), kept).distinct().select(F.lit(place).alias("place"), "ref")
+            for place, frame in (("chart", res.charts), ("kpi", res.kpis))]
+    return lost[0].unionByName(lost[1])
+
+
+@register("provenance_faults", f"""
+select format('{{:.2f}}', v + 0.01) as raw from {STATUS_SQL} where n = 1
+""")
+def q_provenance_faults(spark, sf):
+    """A sentence for each category, one of which quotes a cent too much."""
+    res = analysed_orders(spark, sf)
+    shown = res.results.where(F.col("key").startswith("chart.category.0.")).select("key", "value")
+    said = F.col("value") + F.when(F.col("key") == "chart.category.0.1", F.lit(0.01)).otherwise(F.lit(0.0))
+    texts = shown.select(F.format_string("The category «no. 7» reached %.2f.", said).alias("text"))
+    return VF.unproven_numbers(texts, res.results)
+
+
+@register("verified_values", f"""
+with k as (select {dsum("o_totalprice")} as s, {davg("o_totalprice")} as a, max(o_totalprice) as hi, min(o_totalprice) as lo from orders)
+select 'metric-o_totalprice' as id, 'sum.o_totalprice' as key, round(s, 2) as value, 'sum' as operation from k
+union all select 'average-o_totalprice', 'metric.average.o_totalprice', round(a, 2), 'average' from k
+union all select 'max-o_totalprice', 'metric.max.o_totalprice', hi, 'max' from k
+union all select 'min-o_totalprice', 'metric.min.o_totalprice', lo, 'min' from k
+union all select 'min-o_totalprice', 'metric.max.o_totalprice', hi, 'max' from k
+""")
+def q_verified_values(spark, sf):
+    """Each item with the values it refers to; one item refers to a second value and to one that does not exist."""
+    res = analysed_orders(spark, sf)
+    more = F.when(F.col("id") == "min-o_totalprice", F.array(F.col("result_ref"), F.lit("metric.max.o_totalprice"), F.lit("no such value")))
+    items = res.kpis.select("id", F.coalesce(more, F.array("result_ref")).alias("result_refs"))
+    out = VF.verified_summary(items, res.results).select("id", F.explode("values").alias("v"))
+    return out.select("id", "v.key", "v.value", "v.operation")
